@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, pii, superminhash
+from . import ann_srs, extract, imatch, langid, licenses, mixing, pieces, pii, superminhash, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_srs.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_docs(spark, sf_dir), words=3, percent=85)
 
@@ -21,6 +30,23 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_docs(spark, sf_dir))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_docs(spark, sf_dir))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: a directory for each source and thousand ids, in it every hundredth id a licence file."""
+    name = F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), name)
+    files = _docs(spark, sf_dir).select(path.alias("path"), "text")
+    doc_id = F.regexp_extract("path", r"([0-9]+)(\.txt)?$", 1).cast("long")
+    return licenses.scan(files).select(doc_id.alias("doc_id"), "path", "licence", "score", "origin", "from_directory")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     trees = langid.train(docs.where(~langid.held_out()))
@@ -35,6 +61,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_docs(spark, sf_dir), with_ids=False)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_pages(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -42,11 +72,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_superminhash": op2_superminhash,
     "op3_pii": op3_pii,
+    "op4_imatch": op4_imatch,
+    "op5_warc": op5_warc,
+    "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
+    "op10_main_text": op10_main_text,
     "pipeline": pipeline,
 }
 
