@@ -14,6 +14,9 @@ from ..shipping import ship
 #: One word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a Python worker holds at once; texts can be long.
+BATCH = 1_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one if unset."""
@@ -26,8 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInPandas`` with this package on the executors."""
-    ship(df.sparkSession)
+    """``mapInPandas`` with this package on the executors, and at most :data:`BATCH` rows of text at a time."""
+    spark = ship(df.sparkSession)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return df.mapInPandas(run, schema)
 
 

@@ -58,19 +58,20 @@ def _level(ordered: Column, level: int) -> Column:
     residue = lambda t: F.pmod(F.xxhash64(F.lit(level), t), F.lit(modulus))
     some = F.transform(F.filter(ordered, lambda t: residue(t) < SUBSETS), lambda t: F.struct(t.alias("t"), residue(t).alias("r")))
     step = lambda r: lambda acc, s: F.when(s["r"] == r, F.hash(acc, s["t"])).otherwise(acc)
-    each = lambda terms: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: F.aggregate(terms, F.lit(None).cast("int"), step(r)))
+    short = lambda h: (h.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")
+    each = lambda terms: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: short(F.aggregate(terms, F.lit(None).cast("int"), step(r))))
     # An array of one, so that the terms are picked once and not for each sub-lexicon.
     return F.element_at(F.transform(F.array(some), each), 1)
 
 
 def subset_hashes(ordered: Column) -> Column:
-    """An array of 32-bit hashes of the sorted terms of each sub-lexicon; null for an empty one."""
+    """An array of 16-bit hashes of the sorted terms of each sub-lexicon; null for an empty one."""
     return F.concat(*(_level(ordered, k) for k in range(len(MODULI))))
 
 
 def as_text(hashes: Column) -> Column:
     """A fingerprint as hexadecimal numbers with ``-`` for an empty sub-lexicon."""
-    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit("-"))), ",")
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h.cast("int") + 0x8000)), F.lit("-"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,12 +127,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keep = ["id", "th", "next_id", "next_th", "copies", "n_chars"]
     picked = both.select(*keep, "edited", term_hashes(F.col("text")).alias("f"), term_hashes(F.col("edited")).alias("e"))
     # The bitmap is one value of fixed size, so it can stand beside every row.
-    picked = picked.withColumn("bitmap", bitmap.scalar()).select(*keep, F.sha2("edited", 256).alias("edited_sha256"), *(lexicon_terms(F.col(c), F.col("bitmap")).alias(c) for c in "fe"))
-    made = materialize(picked.select(*keep, "edited_sha256", *(subset_hashes(F.col(c)).alias(c) for c in "fe")), "fingerprints")
+    picked = picked.withColumn("bitmap", bitmap.scalar()).select(*keep, F.unhex(F.sha2("edited", 256)).alias("sha"), *(lexicon_terms(F.col(c), F.col("bitmap")).alias(c) for c in "fe"))
+    made = materialize(picked.select(*keep, "sha", *(subset_hashes(F.col(c)).alias(c) for c in "fe")), "fingerprints")
     discard(order, bitmap)
     after = made.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("f").alias("g"))
     out = made.join(after, ["next_id", "next_th"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
-        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"),
     )

@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -24,7 +22,7 @@ from .common import map_batches
 #: Longest context in bytes.
 ORDER = 4
 #: Bounds of the training sample: documents and distinct words of a language.
-SAMPLE_DOCS, SAMPLE_WORDS = 2_000, 20_000
+SAMPLE_DOCS, SAMPLE_WORDS = 2_000, 10_000
 #: A text that costs more bits a byte than this in every language is in none of them. Bytes by
 #: chance cost over 8, prose in a learnt language 2 to 4.
 MOST_BITS = 7.0
@@ -37,9 +35,35 @@ def has_letter(text: str) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text)
 
 
-@dataclass
+def _grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The bytes to code of words that each end with a space.
+
+    Returns for each byte the word it belongs to and the context that it has, in bytes, and for
+    each gram length the bytes up to it as one number, the latest byte lowest.
+    """
+    text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    owner = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
+    start = np.concatenate([[0], ends[:-1]])[owner]
+    have = np.arange(1, len(text)) - start
+    keys, key = [], np.zeros(len(text), np.int64)
+    for back in range(order + 1):
+        key = key.copy()
+        key[back:] |= text[: len(text) - back].astype(np.int64) << (8 * back)
+        keys.append(key[1:])
+    return owner, have, keys
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class ContextTrees:
-    """The frozen trees of all languages.
+    """Byte context trees of all languages, built from word counts and then frozen.
 
     A word is coded byte by byte and ends with a space; the context of a byte is what precedes it
     in its word, the space before the word included, up to ``order`` bytes. A byte is coded at the
@@ -47,82 +71,86 @@ class ContextTrees:
     not; below the empty context all 256 bytes are equally likely.
     """
 
-    languages: list[str]
-    words: dict[str, dict[bytes, int]]
-    order: int = ORDER
-    remembered: int = 300_000
-    code: dict[bytes, np.ndarray] = field(default_factory=dict)
-    escape: dict[bytes, np.ndarray] = field(default_factory=dict)
-    seen: dict[bytes, np.ndarray] = field(default_factory=dict)
+    def __init__(self, words: dict[str, dict[bytes, int]], order: int = ORDER, remembered: int = 100_000):
+        if order > 6:
+            raise ValueError("a context and its byte must fit in 64 bits")
+        self.words, self.order, self.remembered = words, order, remembered
+        self.languages = sorted(words)
+        self.frozen = False
 
     def freeze(self) -> ContextTrees:
-        """Turn counts into code lengths: one array over languages for each context and byte."""
-        n = len(self.languages)
-        counts: dict[bytes, np.ndarray] = {}
+        """Turn counts into code lengths, a row over the languages for each gram and each context."""
+        n, counts = len(self.languages), []
         for at, lang in enumerate(self.languages):
-            grams: Counter = Counter()
-            for word, k in self.words[lang].items():
-                text = b" " + word + b" "
-                for i in range(1, len(text)):
-                    for start in range(max(0, i - self.order), i + 1):
-                        grams[text[start : i + 1]] += k
-            for gram, k in grams.items():
-                if gram not in counts:
-                    counts[gram] = np.zeros(n)
-                counts[gram][at] = k
-        total: dict[bytes, np.ndarray] = {}
-        kinds: dict[bytes, np.ndarray] = {}
-        for gram, k in counts.items():
-            context = gram[:-1]
-            if context not in total:
-                total[context], kinds[context] = np.zeros(n), np.zeros(n)
-            total[context] += k
-            kinds[context] += k > 0
-        for context in total:
-            t, d = total[context], kinds[context]
-            self.escape[context] = np.where(d > 0, np.log2(np.maximum(t + d, 1) / np.maximum(d, 1)), 0.0)
-        uniform = np.full(n, 8.0)
-        for gram in sorted(counts, key=len):
-            context, k = gram[:-1], counts[gram]
-            own = np.log2(np.maximum(total[context] + kinds[context], 1) / np.maximum(k, 1))
-            shorter = self.code[gram[1:]] if len(gram) > 1 else uniform
-            self.code[gram] = np.where(k > 0, own, self.escape[context] + shorter)
+            _, have, keys = _grams(list(self.words[lang]), self.order)
+            weight = np.repeat(list(self.words[lang].values()), [len(w) + 1 for w in self.words[lang]])
+            for back, key in enumerate(keys):
+                kinds, inverse = np.unique(key[have >= back], return_inverse=True)
+                counts.append((at, back, kinds, np.bincount(inverse, weights=weight[have >= back], minlength=len(kinds))))
+        self.gram, self.bits, self.context, self.escape = [], [], [], []
+        for back in range(self.order + 1):
+            mine = [c for c in counts if c[1] == back]
+            gram = np.unique(np.concatenate([c[2] for c in mine])) if mine else np.zeros(0, np.int64)
+            k = np.zeros((len(gram), n))
+            for at, _, kinds, number in mine:
+                k[np.searchsorted(gram, kinds), at] = number
+            context, inverse = np.unique(gram >> 8, return_inverse=True)
+            total, kinds = np.zeros((len(context), n)), np.zeros((len(context), n))
+            np.add.at(total, inverse, k)
+            np.add.at(kinds, inverse, k > 0)
+            both = np.maximum(total + kinds, 1)
+            escape = np.log2(both / np.maximum(kinds, 1))
+            shorter = self.bits[-1][np.searchsorted(self.gram[-1], gram & ((1 << 8 * back) - 1))] if back else 8.0
+            self.bits.append(np.where(k > 0, np.log2(both[inverse] / np.maximum(k, 1)), escape[inverse] + shorter))
+            self.gram.append(gram)
+            self.context.append(context)
+            self.escape.append(escape)
+        self.seen: dict[bytes, int] = {}
+        self.cost = np.zeros((1 << 12, n))
+        self.frozen = True
         return self
 
-    def bits(self, word: bytes) -> np.ndarray:
-        """Code length of a word and the space after it, in each language."""
-        text = b" " + word + b" "
-        out = np.zeros(len(self.languages))
-        code, escape = self.code, self.escape
-        for i in range(1, len(text)):
-            for start in range(max(0, i - self.order), i + 1):
-                if (found := code.get(text[start : i + 1])) is not None:
-                    out += found
-                    break
-                if (out_of := escape.get(text[start:i])) is not None:
-                    out += out_of
-            else:
-                out += 8.0
+    def word_bits(self, words: list[bytes]) -> np.ndarray:
+        """Code length of each word and the space after it, in each language."""
+        owner, have, keys = _grams(words, self.order)
+        out = np.zeros((len(owner), len(self.languages)))
+        todo = np.arange(len(owner))
+        for back in range(self.order, -1, -1):
+            ready = have[todo] >= back
+            now = todo[ready]
+            at, there = _find(self.gram[back], keys[back][now])
+            out[now[there]] += self.bits[back][at[there]]
+            miss = now[~there]
+            at, there = _find(self.context[back], keys[back][miss] >> 8)
+            out[miss[there]] += self.escape[back][at[there]]
+            todo = np.concatenate([todo[~ready], miss])
+        out[todo] += 8.0
+        return np.add.reduceat(out, np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]]), axis=0)
+
+    def text_bits(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """Code length of each whole text in each language, and the bytes coded."""
+        split = [t.lower().encode("utf-8", "surrogatepass").split() for t in texts]
+        new = set().union(*split) - self.seen.keys()
+        if len(self.seen) + len(new) > self.remembered and self.seen:
+            self.seen.clear()
+            new = set().union(*split)
+        if new:
+            words = list(new)
+            first = len(self.seen)
+            if first + len(words) > len(self.cost):
+                grown = np.zeros((2 * (first + len(words)), len(self.languages)))
+                grown[:first] = self.cost[:first]
+                self.cost = grown
+            for a in range(0, len(words), 20_000):
+                part = words[a : a + 20_000]
+                self.cost[first + a : first + a + len(part)] = self.word_bits(part)
+            self.seen.update(zip(words, range(first, first + len(words)), strict=True))
+        seen, out = self.seen.__getitem__, []
+        for words in split:
+            at = np.fromiter(map(seen, words), np.int64, len(words))
+            out.append((self.cost[at].sum(axis=0), sum(map(len, words)) + len(words)))
         return out
 
-    def text_bits(self, text: str) -> tuple[np.ndarray, int]:
-        """Code length of a whole text in each language, and the bytes coded."""
-        counts = Counter(text.lower().encode("utf-8", "surrogatepass").split())
-        seen = self.seen
-        if len(seen) > self.remembered:
-            seen.clear()
-        rows = []
-        for word in counts:
-            if (row := seen.get(word)) is None:
-                row = self.bits(word)
-                if len(word) <= 64:
-                    seen[word] = row
-            rows.append(row)
-        if not rows:
-            return np.zeros(len(self.languages)), 0
-        k = np.fromiter(counts.values(), np.float64, len(counts))
-        return k @ np.array(rows), sum(n * (len(w) + 1) for w, n in counts.items())
-
 
 def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> ContextTrees:
     """Learn from ``docs(text, lang)``: a sample of about ``sample_docs`` documents of each language.
@@ -134,15 +162,15 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, s
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs"))
     share = {r["lang"]: min(1.0, sample_docs / r["docs"]) for r in sizes.collect()}
     if not share:
-        return ContextTrees([], {}, order)
+        return ContextTrees({}, order)
     limit = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(part * 1_000_000))])
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit[F.col("lang")])
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     best = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= sample_words)
-    trees = ContextTrees(sorted(share), {lang: {} for lang in share}, order)
+    counts: dict[str, dict[bytes, int]] = {}
     for r in best.select("lang", "word", "n").collect():
-        trees.words[r["lang"]][r["word"].encode("utf-8", "surrogatepass")] = r["n"]
-    return trees
+        counts.setdefault(r["lang"], {})[r["word"].encode("utf-8", "surrogatepass")] = r["n"]
+    return ContextTrees(counts, order)
 
 
 #: The trees that this Python worker has frozen, by training.
@@ -156,20 +184,26 @@ def _frozen(shared, name: str) -> ContextTrees:
     return _FROZEN[name]
 
 
-def _judge(trees: ContextTrees, text: str | None, most_bits: float) -> tuple[str, float, float | None, bool]:
-    if not text or not trees.languages or not has_letter(text):
-        return UNKNOWN, 0.0, None, True
-    bits, n = trees.text_bits(text)
-    best = int(np.argmin(bits))
-    chance = 1.0 / np.exp2(np.minimum(bits[best] - bits, 0.0)).sum()
-    return trees.languages[best], float(chance), float(bits[best] / n), bool(bits[best] > most_bits * n)
+#: Texts that are scored together.
+TOGETHER = 200
+
+
+def _judged(trees: ContextTrees, texts: list, most_bits: float) -> list[tuple[str, float, float | None, bool]]:
+    out: list = [(UNKNOWN, 0.0, None, True)] * len(texts)
+    for a in range(0, len(texts), TOGETHER):
+        at = [i for i in range(a, min(a + TOGETHER, len(texts))) if texts[i] and trees.languages and has_letter(texts[i])]
+        for i, (bits, n) in zip(at, trees.text_bits([texts[i] for i in at]) if at else [], strict=True):
+            best = int(np.argmin(bits))
+            chance = 1.0 / np.exp2(np.minimum(bits[best] - bits, 0.0)).sum()
+            out[i] = (trees.languages[best], float(chance), float(bits[best] / n), bool(bits[best] > most_bits * n))
+    return out
 
 
 def _predict(shared, name: str, most_bits: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = _frozen(shared, name)
         for batch in batches:
-            found = pd.DataFrame([_judge(trees, t, most_bits) for t in batch["text"]], columns=["lang_pred", "score", "bits_per_byte", "rejected"], index=batch.index)
+            found = pd.DataFrame(_judged(trees, batch["text"].tolist(), most_bits), columns=["lang_pred", "score", "bits_per_byte", "rejected"], index=batch.index)
             yield pd.concat([batch[["doc_id"]], found], axis=1)
 
     return run
@@ -179,7 +213,7 @@ def _keep(shared, name: str, most_bits: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = _frozen(shared, name)
         for batch in batches:
-            yield batch[[not _judge(trees, t, most_bits)[3] for t in batch["text"]]]
+            yield batch[[not x[3] for x in _judged(trees, batch["text"].tolist(), most_bits)]]
 
     return run
 

@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,17 +19,35 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import map_batches
-from .superminhash import mix
 
 #: Where the model lies on every machine; a parameter of all that follows.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
-#: Segmentations of a word that the words of a text choose from by keyed hash.
+#: Texts whose new parts are encoded together.
+GROUP = 250
+#: Segmentations that a word has in all; a keyed hash of the document chooses.
 VARIANTS = 4
 SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ ]+| +")
 
 
+MASK = 2**64 - 1
+
+
+#: Parts up to this length are encoded together, so many at once.
+SHORT, TOGETHER = 40, 5_000
+
+
+def skipped(key, start, merged):
+    """A 64-bit number for a candidate merge, which is skipped if it is below a limit; of numbers or arrays."""
+    whole = not isinstance(key, np.ndarray)
+    c = [x if whole else np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 31, 32)]
+    cut = (lambda x: x & MASK) if whole else lambda x: x
+    x = cut((key ^ cut(start * c[0])) + merged * c[1])
+    x = cut((x ^ (x >> c[3])) * c[2])
+    return x ^ (x >> c[4])
+
+
 class Pieces:
     """A piece model with merge-dropout.
 
@@ -37,7 +56,7 @@ class Pieces:
     mark and all characters without a piece become byte pieces, so decoding gives back any text.
     """
 
-    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = 400_000):
+    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = 250_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -55,70 +74,164 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.ident):
             raise ValueError("a piece reaches over the start of a word")
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.out = [p.replace(SPACE, " ") for p in self.piece]
+        self.high = frozenset(i for b, i in self.byte.items() if b >= 128)
+        self.out = [chr(self.byte_of[i]) if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
+        self.merges = {
+            (self.ident[p[:k]], self.ident[p[k:]]): (-self.score[p], i)
+            for p, i in self.ident.items() for k in range(1, len(p)) if p[:k] in self.ident and p[k:] in self.ident
+        }
+        pairs = sorted((a << 32 | b, *f) for (a, b), f in self.merges.items())
+        self.point = np.full(0x110000, -1, np.int64)
+        for p, i in self.ident.items():
+            if len(p) == 1 and p != SPACE:
+                self.point[ord(p)] = i
+        self.point[ord(" ")] = self.ident.get(SPACE, -1)
+        self.pair, self.pair_rank, self.pair_piece = (np.array([p[k] for p in pairs], kind) for k, kind in enumerate((np.int64, float, np.int64)))
         self.dropout, self.seed, self.variants, self.remembered = dropout, seed, max(1, variants), remembered
         self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
     def segment(self, part: str, variant: int) -> tuple[int, ...]:
         """Pieces of one part: the agenda gives the best merge first, the leftmost of equals."""
         lead = len(part) - len(part.lstrip(" "))
-        # A literal mark is kept apart, so that it merges with nothing.
-        sym: list[str | None] = [SPACE] * lead + ["\0" + c if c == SPACE else c for c in part[lead:]]
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda: list[tuple[float, int, int, str]] = []
-        score = self.score
-        key = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & (2**64 - 1))
-        limit = int(self.dropout * 2**64)
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (s := score.get(both := sym[a] + sym[b])) is not None:
-                heapq.heappush(agenda, (-s, a, b, both))
+        ident, merges = self.ident, self.merges
+        # A literal mark, like a character without a piece, has no id, so it merges with nothing.
+        chars = SPACE * lead + part[lead:]
+        ids = [ident.get(c, -1) if i < lead or c != SPACE else -1 for i, c in enumerate(chars)]
+        key = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & MASK)
+        ids, start = self._merged(ids, key, int(self.dropout * 2**64), merges)
+        out: list[int] = []
+        for i, a in zip(ids, start, strict=True):
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [self.byte[x] for x in chars[a].encode("utf-8", "surrogatepass")]
+        return tuple(out)
 
-        for i in range(n - 1):
-            offer(i, i + 1)
+    @staticmethod
+    def _merged(ids: list[int], key: int, limit: int, merges: dict) -> tuple[list[int], list[int]]:
+        """The agenda as a heap, best rank first, then leftmost."""
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        live = [True] * n
+        agenda = [(f[0], i, ids[i], ids[i + 1], f[1]) for i in range(n - 1) if (f := merges.get((ids[i], ids[i + 1])))]
+        heapq.heapify(agenda)
         while agenda:
-            _, a, b, both = heapq.heappop(agenda)
-            if sym[a] is None or sym[b] is None or right[a] != b or sym[a] + sym[b] != both:
+            _, a, was_a, was_b, merged = heapq.heappop(agenda)
+            b = right[a] if live[a] else -1
+            if b < 0 or ids[a] != was_a or ids[b] != was_b:
                 continue
-            if limit and xxhash.xxh3_64_intdigest(b"%d,%d,%d" % (a, b, len(both)), key) < limit:
+            if limit and skipped(key, a, merged) < limit:
                 continue
-            sym[a], sym[b] = both, None
+            ids[a], live[b] = merged, False
             right[a] = right[b]
             if right[b] >= 0:
                 left[right[b]] = a
-            offer(left[a], a)
-            offer(a, right[a])
-        ids: list[int] = []
-        for s in sym:
-            if s is None:
-                continue
-            if (i := self.ident.get(s)) is not None:
-                ids.append(i)
+            for x, y in ((left[a], a), (a, right[a])):
+                if x >= 0 and y >= 0 and (f := merges.get((ids[x], ids[y]))):
+                    heapq.heappush(agenda, (f[0], x, ids[x], ids[y], f[1]))
+        at = [i for i in range(n) if live[i]]
+        return [ids[i] for i in at], at
+
+    def segments(self, parts: list[str], variant: int) -> list[tuple[int, ...]]:
+        """:meth:`segment` for many parts at once: each turn merges the best pair of every part."""
+        short = [i for i, p in enumerate(parts) if len(p) <= SHORT]
+        out: list = [None] * len(parts)
+        for i, p in enumerate(parts):
+            if len(p) > SHORT:
+                out[i] = self.segment(p, variant)
+        short.sort(key=lambda i: len(parts[i]))
+        for a in range(0, len(short), TOGETHER):
+            at = short[a : a + TOGETHER]
+            for i, ids in zip(at, self._segments([parts[i] for i in at], variant), strict=True):
+                out[i] = ids
+        return out
+
+    def _segments(self, parts: list[str], variant: int) -> list[tuple[int, ...]]:
+        """The symbols of all parts lie in one array; a merge keeps the left place and links over the right one."""
+        seed = (self.seed * 1_000_003 + variant) & MASK
+        n, m = len(parts), max(map(len, parts)) + 1
+        length = np.array([len(p) for p in parts])
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.concatenate([[0], np.cumsum(length)[:-1]])
+        place = np.arange(len(points)) - np.repeat(first, length) + np.repeat(np.arange(n) * m, length)
+        ids = np.full(n * m, -1, np.int64)
+        ids[place] = self.point[points]
+        # Spaces are marks at the start of a part only; parts of spaces are nothing else.
+        after = np.arange(1, n * m + 1)
+        before = np.arange(-1, n * m - 1)
+        rank = np.full(n * m, np.inf, np.float32)
+        merged = np.zeros(n * m, np.int64)
+        rank[:-1], merged[:-1] = self._pairs(ids[:-1], ids[1:])
+        limit = int(self.dropout * 2**64)
+        key = np.array([xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), seed) for p in parts] if limit else [0] * n, np.uint64)
+        live, rows = np.arange(n), rank.reshape(n, m)
+        alive = np.zeros(n * m, bool)
+        alive[place] = True
+        while len(live):
+            best = rows[live].argmin(axis=1)
+            at = live * m + best
+            some = rank[at] < np.inf
+            live, at, best = live[some], at[some], best[some]
+            if limit:
+                drop = skipped(key[live], best.astype(np.uint64), merged[at].astype(np.uint64)) < np.uint64(limit)
+                rank[at[drop]] = np.inf
+                at = at[~drop]
+            gone = after[at]
+            ids[at], alive[gone], rank[gone] = merged[at], False, np.inf
+            next_ = after[gone]
+            after[at] = next_
+            before[np.minimum(next_, n * m - 1)] = at
+            for left in (before[at], at):
+                left = left[left >= 0]
+                right = np.minimum(after[left], n * m - 1)
+                rank[left], merged[left] = self._pairs(ids[left], np.where(after[left] < n * m, ids[right], -1))
+        out = []
+        alive_ids, count = ids[alive], np.add.reduceat(alive, np.arange(n) * m)
+        ends = np.cumsum(count).tolist()
+        where = (np.flatnonzero(alive) % m).tolist()
+        flat, strange = alive_ids.tolist(), set((np.flatnonzero(alive & (ids < 0)) // m).tolist())
+        a = 0
+        for i, b in enumerate(ends):
+            if i in strange:
+                got: list[int] = []
+                for x, at_ in zip(flat[a:b], where[a:b], strict=True):
+                    got += (x,) if x >= 0 else [self.byte[c] for c in parts[i][at_].encode("utf-8", "surrogatepass")]
+                out.append(tuple(got))
             else:
-                ids += [self.byte[x] for x in s.lstrip("\0").encode("utf-8", "surrogatepass")]
-        return tuple(ids)
+                out.append(tuple(flat[a:b]))
+            a = b
+        return out
 
-    def encode(self, text: str, key: int = 0) -> list[int]:
-        """Piece ids of a text; ``key`` chooses the variants, so equal texts may differ by key."""
-        parts = _SEGMENT.findall(text)
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of the merge of each pair; infinite if there is none."""
+        key = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        there = self.pair[at] == key
+        return np.where(there, self.pair_rank[at], np.inf), self.pair_piece[at]
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[list[int]]:
+        """Piece ids of each text; its key chooses the variants, so equal texts may differ by key."""
         if sum(map(len, self.known)) > self.remembered:
             for known in self.known:
                 known.clear()
-        with np.errstate(over="ignore"):
-            choice = (mix(np.arange(len(parts), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & (2**64 - 1))) % np.uint64(self.variants)).tolist() if self.dropout and self.variants > 1 else [0] * len(parts)
-        ids: list[int] = []
-        for part, v in zip(parts, choice, strict=True):
-            known = self.known[v]
-            if (got := known.get(part)) is None:
-                got = self.segment(part, v)
-                if len(part) <= 64:
-                    known[part] = got
-            ids += got
-        return ids
+        cut, new = [], [set() for _ in self.known]
+        for text, key in zip(texts, keys, strict=True):
+            v = xxhash.xxh3_64_intdigest(b"%d" % key, self.seed & MASK) % self.variants if self.dropout else 0
+            parts = _SEGMENT.findall(text)
+            cut.append((parts, v))
+            new[v].update(parts)
+        for v, known in enumerate(self.known):
+            todo = list(new[v] - known.keys())
+            known.update(zip(todo, self.segments(todo, v), strict=True))
+        return [list(chain.from_iterable(map(self.known[v].__getitem__, parts))) for parts, v in cut]
+
+    def encode(self, text: str, key: int = 0) -> list[int]:
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
+        if self.high.isdisjoint(ids):
+            return "".join(map(self.out.__getitem__, ids))
         out, raw, byte_of, put = [], bytearray(), self.byte_of, self.out
         for i in ids:
             if i in byte_of:
@@ -146,13 +259,13 @@ def _encode(setting: tuple, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = loaded(*setting)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text = text or ""
-                ids = pieces.encode(text, xxhash.xxh3_64_intdigest(str(doc).encode()))
-                back = pieces.decode(ids)
-                row = (len(ids), hashlib.sha256(np.array(ids, np.int32).tobytes()).hexdigest(), back == text)
-                rows.append((*row, ids) if with_ids else row)
+            rows, texts, docs = [], [t or "" for t in batch["text"]], batch["doc_id"].tolist()
+            for a in range(0, len(texts), GROUP):
+                some = texts[a : a + GROUP]
+                keys = [0 if pd.isna(d) else int(d) + 1 for d in docs[a : a + GROUP]]
+                for text, ids in zip(some, pieces.encode_all(some, keys), strict=True):
+                    row = (len(ids), hashlib.sha256(np.array(ids, np.int32).tobytes()).hexdigest(), pieces.decode(ids) == text)
+                    rows.append((*row, ids) if with_ids else row)
             found = pd.DataFrame(rows, columns=["n_pieces", "pieces_sha256", "lossless", *["pieces"] * with_ids], index=batch.index)
             yield pd.concat([batch[["doc_id"]], found], axis=1)
 

@@ -121,7 +121,10 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "。": ".", "․": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-",
 }
-_ODD = re.compile("[ ­ʰ-˿Ͱ-ԧ٠-٩۰-۹०-९ -⁯⁰-₟℀-⅏−①-⓿　-。﹐-﻿＀-￯\U0001d400-\U0001d7ff]")
+_ODD = re.compile(
+    "[ ­ʰ-˿Ͱ-ԧ٠-٩۰-۹०-९ -⁯⁰-ₜ℀-⅏−①-⓿"
+    "　-。﹐-﹯﻿＀-￯\U0001d400-\U0001d7ff]"
+)
 
 
 def _plain(c: str) -> str:

@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes; remembers the hashes of words it has seen."""
 
-    def __init__(self, words: int, remembered: int = 400_000):
+    def __init__(self, words: int, remembered: int = 200_000):
         self.words, self.remembered, self.seen = words, remembered, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
