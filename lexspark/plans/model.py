@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clauses import classify
 from .corpus import AS_OF, corpus
 
-as_of = F.lit(AS_OF).cast("date")
+
+def as_of() -> Column:
+    """The day on which the queries judge deadlines."""
+    return F.lit(AS_OF).cast("date")
 
 
 def model(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
