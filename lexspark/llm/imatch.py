@@ -90,7 +90,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def following(keys: DataFrame) -> DataFrame:
-    """``keys(id, th, n)`` with ``next_id, next_th``, the next row by (id, th); after the last, the first.
+    """``keys(id, th, ...)`` with ``next_id, next_th``, the next row by (id, th); after the last, the first.
 
     Rows are dealt by range, so each range finds its followers alone; only the first key of each
     range, one row a partition, is looked at together.
@@ -102,7 +102,7 @@ def following(keys: DataFrame) -> DataFrame:
     order = Window.orderBy("part")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = firsts.withColumn("after", F.coalesce(F.lead("first").over(order), F.min("first").over(whole))).select("part", "after")
-    return led.join(after, "part").withColumn("next", F.coalesce("next", "after")).select("id", "th", "n", F.col("next.id").alias("next_id"), F.col("next.th").alias("next_th"))
+    return led.join(after, "part").withColumn("next", F.coalesce("next", "after")).select(*keys.columns, F.col("next.id").alias("next_id"), F.col("next.th").alias("next_th"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -117,11 +117,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = base.withColumn("th", F.xxhash64("text"))
-    unique = keyed.groupBy("id", "th").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    order = materialize(following(keyed.select("id", "th", F.length("text").alias("n")).distinct()), "order")
+    # Both uses of the texts below are one plan, so that Spark shuffles them once.
+    unique = keyed.dropDuplicates(["id", "th"])
+    order = materialize(following(keyed.groupBy("id", "th").agg(F.first(F.length("text")).alias("n"), F.count("*").alias("copies"))), "order")
     bitmap = materialize(lexicon(base.select("text")), "lexicon")
-    wanted = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 4).cast("int").alias("need"))
-    heads = unique.select("id", "th", "text").join(wanted, ["id", "th"]).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.col("id").alias("next_id"), F.col("th").alias("next_th"), "need", F.expr("substring(text, 1, need)").alias("head"))
+    wanted = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "copies", F.floor(F.col("n") / 4).cast("int").alias("need"))
+    heads = unique.join(wanted, ["id", "th"]).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.col("id").alias("next_id"), F.col("th").alias("next_th"), "copies", "need", F.expr("substring(text, 1, need)").alias("head"))
     both = unique.join(heads, ["id", "th"]).withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - need)"), "head"))
     keep = ["id", "th", "next_id", "next_th", "copies", "n_chars"]
