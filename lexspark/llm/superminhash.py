@@ -3,8 +3,9 @@
 Path: shingle sets -> one row per distinct set -> SuperMinHash -> banding -> exact verification ->
 union-find and contraction. Copies of a set are one node, so a group of exact copies costs one row
 however large it is. In a bucket every member is compared with one centre, so a bucket of n members
-gives n links to verify and not n * n; members that are still apart afterwards are compared with
-each other where a bound on their overlap allows a link at all.
+gives n links to verify and not n * n. For members that are still apart afterwards the shingles that
+most of their family have are set aside: what a member lacks or has besides, its departures, is
+short, and two members can only be linked if both depart little or in the same shingles.
 """
 
 from __future__ import annotations
@@ -168,6 +169,46 @@ def _verified(percent: int):
     return run
 
 
+def _departures(percent: int):
+    """How each set differs from its family's core: the shingles, and the slack.
+
+    With departures of sizes a and b of which o are shared, two sets of sizes n and m differ in
+    a + b - 2o shingles, so they are linked when (100 + percent) * (a + b - 2o) is at most
+    (100 - percent) * (n + m). The slack of a set is its part of that sum.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            diff = [np.setxor1d(s, np.sort(c) if c is not None else s[:0], assume_unique=True) for s, c in zip(batch["shingles"], batch["core"], strict=True)]
+            slack = [(100 + percent) * len(d) - (100 - percent) * len(s) for d, s in zip(diff, batch["shingles"], strict=True)]
+            yield batch[["centre", "node", "root"]].assign(slack=slack, departures=diff)
+
+    return run
+
+
+def _within_families(family: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``family(centre, node, root, shingles)`` with different roots that may be linked; none that is, is left out.
+
+    Two members whose slacks sum to at most 0 are linked, and then each is to the member of least
+    slack, so for those a star is enough. Other linked pairs share departures.
+    """
+    size = family.groupBy("centre").agg(F.count("*").alias("members"))
+    common = family.select("centre", F.explode("shingles").alias("s")).groupBy("centre", "s").agg(F.count("*").alias("df")).join(size, "centre").where("2 * df > members")
+    # The shingles that over half of a family have: at most twice the mean set, whatever the family.
+    core = common.groupBy("centre").agg(F.collect_list("s").alias("core"))
+    far = materialize(map_batches(family.join(core, "centre", "left"), _departures(percent), "centre binary, node binary, root binary, slack long, departures array<long>"), "departures")
+    least = far.groupBy("centre").agg(F.min(F.struct("slack", "node", "root")).alias("m"))
+    star = far.join(least, "centre").where((F.col("root") != F.col("m.root")) & (F.col("slack") + F.col("m.slack") <= 0)).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
+    each = far.select("centre", F.explode("departures").alias("s"), "node", "root", "slack")
+    shared = each.groupBy("centre", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("centre", "s")
+    each = each.join(shared, ["centre", "s"])
+    x, y = (each.select("centre", "s", *(F.col(c).alias(f"{c}{i}") for c in ("node", "root", "slack"))) for i in "12")
+    both = x.join(y, ["centre", "s"]).where((F.col("root1") < F.col("root2")) & (F.col("slack1") + F.col("slack2") > 0))
+    met = both.groupBy("centre", "node1", "node2").agg(F.count("*").alias("o"), F.first(F.col("slack1") + F.col("slack2")).alias("slack"))
+    close = met.where(F.col("slack") <= 2 * (100 + percent) * F.col("o")).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    return star.unionByName(close).distinct()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -216,15 +257,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         # Shingles that no other of these nodes has can be in no intersection with one of them.
         own = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
         most = rest.join(own.groupBy("node").agg(F.count("*").alias("own")), "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-        most = materialize(apart(most.where(f"100 * most >= {percent} * n").select("band", "node", "n", "root", "most")), "bounded")
-        x, y = (most.select("band", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root", "most"))) for i in "12")
-        reach = F.least("most1", "most2")
-        pairs = x.join(y, "band").where((F.col("root1") < F.col("root2")) & (100 * reach >= percent * (F.col("n1") + F.col("n2") - reach))).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+        most = apart(most.where(f"100 * most >= {percent} * n").select("band", "node", "root"))
+        group = materialize(most.join(centre, "band").select(F.col("b").alias("centre"), "node", "root").distinct(), "families")
+        mixed = group.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("centre")
+        family = materialize(group.join(mixed, "centre", "left_semi").join(sets, "node"), "family")
+        pairs = _within_families(family, percent)
         more = materialize(_verify(pairs, sets, percent), "links")
         if more.limit(1).count():
             discard(roots)
             roots = materialize(connected_components(links.unionByName(more)), "roots")
-        discard(most, more)
+        discard(group, family, more)
     discard(member, sets, links, rest)
 
     named = nodes.select("node", "doc").join(roots, "node", "left")
