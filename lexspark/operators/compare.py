@@ -113,7 +113,7 @@ def period_change(before: Column, after: Column) -> Column:
 def count_changes(changes: DataFrame, scopes: list[str], by: list[str]) -> DataFrame:
     """A row for each scope with a column for each kind of change, zeros included."""
     grid = changes.select(*by).distinct().withColumn("scope", F.explode(F.array(*[F.lit(s) for s in scopes])))
-    wide = changes.groupBy(*by, "scope").pivot("change", CHANGES).agg(F.count("*"))
+    wide = changes.groupBy(*by, "scope").pivot("change", CHANGES).agg(F.count(F.lit(1)))
     return grid.join(wide, [*by, "scope"], "left").na.fill(0, CHANGES)
 
 

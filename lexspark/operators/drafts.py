@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import FENCE, fenced, phrase
@@ -44,7 +45,7 @@ def prompt(chunks: DataFrame) -> DataFrame:
 def call(prompts: DataFrame, provider: Provider, retries: int = 1) -> DataFrame:
     """``reply`` or ``error`` of a provider for each prompt; an error is a row and not a failed job."""
     ship(prompts.sparkSession)
-    schema = prompts.schema.add("reply", "string").add("error", "string")
+    schema = StructType([*prompts.schema.fields, StructField("reply", StringType()), StructField("error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
