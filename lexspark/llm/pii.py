@@ -237,14 +237,14 @@ def _needs(step: Callable, text: str) -> bool:
 
 
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """Base spans, and all spans: a disguised one joins if it overlaps no base span of its kind."""
+    """Base spans, and all spans: a disguised one joins if it lies in no base span of its kind."""
     if not text:
         return {k: [] for k in KINDS}, {k: [] for k in KINDS}
     base = detect(text)
     more = disguised(text)
     every = {}
     for kind in KINDS:
-        new = [s for s in more.get(kind, ()) if not any(s[0] < e and b < s[1] for b, e in base[kind])]
+        new = [s for s in more.get(kind, ()) if not any(b <= s[0] and s[1] <= e for b, e in base[kind])]
         every[kind] = sorted({*base[kind], *new})
     return base, every
 
