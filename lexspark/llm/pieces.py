@@ -1,8 +1,9 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 The merges are those of a public SentencePiece BPE model. A candidate merge that comes off the
-agenda is skipped with a fixed probability, decided by a hash keyed with the seed, so a text has
-many segmentations that all decode to it and each is reproduced by its seed.
+agenda is skipped with a fixed probability, decided by a hash keyed with the seed, the document and
+the place in its text, so every occurrence of a word is split on its own and each is reproduced by
+its seed.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,10 @@ from .common import map_batches
 #: Where the model lies on every machine; a parameter of all that follows.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
-#: Texts whose new parts are encoded together.
-GROUP = 250
-#: Segmentations that a word has in all; a keyed hash of the document chooses.
-VARIANTS = 4
+#: Texts whose parts are encoded together.
+GROUP = 500
+#: Occurrences after which a part's agendas are remembered, and how many new ones of a part in one group.
+OFTEN, WAVES = 16, 4
 SPACE = "▁"
 _SEGMENT = re.compile(r" *[^ ]+| +")
 
@@ -48,15 +50,25 @@ def skipped(key, start, merged):
     return x ^ (x >> c[4])
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread evenly (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Pieces:
     """A piece model with merge-dropout.
 
     A text is cut before each run of spaces; no piece of such a model reaches over such a cut, so
-    the parts are encoded one by one and remembered. A space becomes the piece mark; a literal
+    the parts are encoded one by one. Each occurrence of a part has a key of its own, which decides
+    its candidate merges. What a part's agenda offers after given decisions does not depend on the
+    key, so for frequent parts that is remembered as a tree: a node is a candidate merge, its
+    branches lead to what follows if it is taken or skipped, and a leaf holds the pieces. A space becomes the piece mark; a literal
     mark and all characters without a piece become byte pieces, so decoding gives back any text.
     """
 
-    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, remembered: int = 250_000):
+    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, remembered: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -87,18 +99,26 @@ class Pieces:
                 self.point[ord(p)] = i
         self.point[ord(" ")] = self.ident.get(SPACE, -1)
         self.pair, self.pair_rank, self.pair_piece = (np.array([p[k] for p in pairs], kind) for k, kind in enumerate((np.int64, float, np.int64)))
-        self.dropout, self.seed, self.variants, self.remembered = dropout, seed, max(1, variants), remembered
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-
-    def segment(self, part: str, variant: int) -> tuple[int, ...]:
-        """Pieces of one part: the agenda gives the best merge first, the leftmost of equals."""
+        self.dropout, self.seed, self.remembered = dropout, seed, remembered
+        self.limit = int(self.dropout * 2**64)
+        # The trees: a branch is a node, a leaf as -2 - its number, or -1 where no occurrence went yet.
+        self.root: dict[str, int] = {}
+        self.seen: Counter[str] = Counter()
+        self.leaves: list[tuple[int, ...]] = []
+        self.nodes = 0
+        self.candidate, self.branch = np.zeros((2, 1_024), np.uint64), np.full(2 * 1_024, -1, np.int64)
+
+    def segment(self, part: str, key: int, asked: list | None = None) -> tuple[int, ...]:
+        """Pieces of one part: the agenda gives the best merge first, the leftmost of equals.
+
+        ``asked`` gets the candidates that the key decided on, as ``(start, merged, skipped)``.
+        """
         lead = len(part) - len(part.lstrip(" "))
         ident, merges = self.ident, self.merges
         # A literal mark, like a character without a piece, has no id, so it merges with nothing.
         chars = SPACE * lead + part[lead:]
         ids = [ident.get(c, -1) if i < lead or c != SPACE else -1 for i, c in enumerate(chars)]
-        key = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & MASK)
-        ids, start = self._merged(ids, key, int(self.dropout * 2**64), merges)
+        ids, start = self._merged(ids, key, self.limit, merges, asked)
         out: list[int] = []
         for i, a in zip(ids, start, strict=True):
             if i >= 0:
@@ -108,7 +128,7 @@ class Pieces:
         return tuple(out)
 
     @staticmethod
-    def _merged(ids: list[int], key: int, limit: int, merges: dict) -> tuple[list[int], list[int]]:
+    def _merged(ids: list[int], key: int, limit: int, merges: dict, asked: list | None = None) -> tuple[list[int], list[int]]:
         """The agenda as a heap, best rank first, then leftmost."""
         n = len(ids)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -120,7 +140,10 @@ class Pieces:
             b = right[a] if live[a] else -1
             if b < 0 or ids[a] != was_a or ids[b] != was_b:
                 continue
-            if limit and skipped(key, a, merged) < limit:
+            skip = bool(limit) and skipped(key, a, merged) < limit
+            if asked is not None:
+                asked.append((a, merged, skip))
+            if skip:
                 continue
             ids[a], live[b] = merged, False
             right[a] = right[b]
@@ -132,23 +155,22 @@ class Pieces:
         at = [i for i in range(n) if live[i]]
         return [ids[i] for i in at], at
 
-    def segments(self, parts: list[str], variant: int) -> list[tuple[int, ...]]:
+    def segments(self, parts: list[str], keys: np.ndarray) -> list[tuple[int, ...]]:
         """:meth:`segment` for many parts at once: each turn merges the best pair of every part."""
         short = [i for i, p in enumerate(parts) if len(p) <= SHORT]
         out: list = [None] * len(parts)
         for i, p in enumerate(parts):
             if len(p) > SHORT:
-                out[i] = self.segment(p, variant)
+                out[i] = self.segment(p, int(keys[i]))
         short.sort(key=lambda i: len(parts[i]))
         for a in range(0, len(short), TOGETHER):
             at = short[a : a + TOGETHER]
-            for i, ids in zip(at, self._segments([parts[i] for i in at], variant), strict=True):
+            for i, ids in zip(at, self._segments([parts[i] for i in at], keys[at]), strict=True):
                 out[i] = ids
         return out
 
-    def _segments(self, parts: list[str], variant: int) -> list[tuple[int, ...]]:
+    def _segments(self, parts: list[str], key: np.ndarray) -> list[tuple[int, ...]]:
         """The symbols of all parts lie in one array; a merge keeps the left place and links over the right one."""
-        seed = (self.seed * 1_000_003 + variant) & MASK
         n, m = len(parts), max(map(len, parts)) + 1
         length = np.array([len(p) for p in parts])
         points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -162,8 +184,7 @@ class Pieces:
         rank = np.full(n * m, np.inf, np.float32)
         merged = np.zeros(n * m, np.int64)
         rank[:-1], merged[:-1] = self._pairs(ids[:-1], ids[1:])
-        limit = int(self.dropout * 2**64)
-        key = np.array([xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), seed) for p in parts] if limit else [0] * n, np.uint64)
+        limit = self.limit
         live, rows = np.arange(n), rank.reshape(n, m)
         alive = np.zeros(n * m, bool)
         alive[place] = True
@@ -209,21 +230,91 @@ class Pieces:
         there = self.pair[at] == key
         return np.where(there, self.pair_rank[at], np.inf), self.pair_piece[at]
 
+    def learn(self, part: str, key: int) -> tuple[int, ...]:
+        """:meth:`segment`, with its candidates and decisions added to the part's tree."""
+        asked: list[tuple[int, int, bool]] = []
+        found = self.segment(part, key, asked)
+        if self.nodes + len(asked) > self.candidate.shape[1]:
+            self.candidate = np.concatenate([self.candidate, np.zeros_like(self.candidate)], axis=1)
+            self.branch = np.concatenate([self.branch, np.full_like(self.branch, -1)])
+        last, at = -1, self.root.get(part, -1)
+        for start, merged, skip in asked:
+            if at == -1:
+                at = self.nodes
+                self.nodes += 1
+                self.candidate[:, at] = start, merged
+                self._branch(part, last, at)
+            last = 2 * at + skip
+            at = int(self.branch[last])
+        if at == -1:
+            self.leaves.append(found)
+            self._branch(part, last, -1 - len(self.leaves))
+        return found
+
+    def _branch(self, part: str, last: int, to: int) -> None:
+        if last < 0:
+            self.root[part] = to
+        else:
+            self.branch[last] = to
+
+    def walk(self, root: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The leaf that each key leads to from its root; -1 where the tree has none yet."""
+        at = root.copy()
+        live = np.flatnonzero(at >= 0)
+        node, key = at[live], keys[live]
+        while len(live):
+            skip = skipped(key, self.candidate[0, node], self.candidate[1, node]) < np.uint64(self.limit)
+            at[live] = node = self.branch[2 * node + skip]
+            more = node >= 0
+            live, node, key = live[more], node[more], key[more]
+        return at
+
+    def encode_parts(self, parts: list[str], keys: np.ndarray) -> list[tuple[int, ...]]:
+        """Pieces of each part by its key: along the trees where they reach, else by :meth:`segments`."""
+        kind, distinct = pd.factorize(np.array(parts, object))
+        distinct = distinct.tolist()
+        if not self.limit:
+            found = self.segments(distinct, np.zeros(len(distinct), np.uint64))
+            return [found[k] for k in kind.tolist()]
+        if len(self.seen) > self.remembered:
+            self.seen.clear()
+        self.seen.update(dict(zip(distinct, np.bincount(kind).tolist(), strict=True)))
+        root = np.fromiter(map(self.root.get, distinct, repeat(-1)), np.int64, len(distinct))
+        often = (np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct)) >= OFTEN) | (root != -1)
+        often &= np.fromiter(map(len, distinct), np.int64, len(distinct)) <= SHORT
+        leaf, open_ = np.full(len(parts), -1), np.arange(len(parts))
+        for wave in range(WAVES + 1):
+            leaf[open_] = self.walk(root[kind[open_]], keys[open_])
+            open_ = open_[leaf[open_] == -1]
+            able = open_[often[kind[open_]]]
+            if wave == WAVES or not len(able) or len(self.leaves) >= self.remembered:
+                break
+            # One occurrence of each frequent part shows the way for those that decide alike.
+            for i in able[np.unique(kind[able], return_index=True)[1]].tolist():
+                self.learn(parts[i], int(keys[i]))
+                root[kind[i]] = self.root[parts[i]]
+        out: list = [self.leaves[k] for k in (-2 - leaf).tolist()] if self.leaves else [()] * len(parts)
+        rest = open_.tolist()
+        for i, ids in zip(rest, self.segments([parts[i] for i in rest], keys[open_]), strict=True):
+            out[i] = ids
+        return out
+
+    def keys(self, texts: list[str], docs: list[int], counts: list[int]) -> np.ndarray:
+        """A key for each part of each text, by seed, document, text and the part's place in the text."""
+        seed = self.seed & MASK
+        own = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(b"%d" % d, seed)) for t, d in zip(texts, docs, strict=True)], np.uint64)
+        first = np.cumsum([0, *counts[:-1]])
+        place = (np.arange(sum(counts)) - np.repeat(first, counts)).astype(np.uint64)
+        return mixed(np.repeat(own, counts) + place * np.uint64(0x9E3779B97F4A7C15))
+
     def encode_all(self, texts: list[str], keys: list[int]) -> list[list[int]]:
-        """Piece ids of each text; its key chooses the variants, so equal texts may differ by key."""
-        if sum(map(len, self.known)) > self.remembered:
-            for known in self.known:
-                known.clear()
-        cut, new = [], [set() for _ in self.known]
-        for text, key in zip(texts, keys, strict=True):
-            v = xxhash.xxh3_64_intdigest(b"%d" % key, self.seed & MASK) % self.variants if self.dropout else 0
-            parts = _SEGMENT.findall(text)
-            cut.append((parts, v))
-            new[v].update(parts)
-        for v, known in enumerate(self.known):
-            todo = list(new[v] - known.keys())
-            known.update(zip(todo, self.segments(todo, v), strict=True))
-        return [list(chain.from_iterable(map(self.known[v].__getitem__, parts))) for parts, v in cut]
+        """Piece ids of each text; the decisions depend on its key too, so equal texts may differ by key."""
+        if not texts:
+            return []
+        cut = [_SEGMENT.findall(text) for text in texts]
+        ends = np.cumsum([0, *map(len, cut)]).tolist()
+        found = self.encode_parts(list(chain.from_iterable(cut)), self.keys(texts, keys, list(map(len, cut))))
+        return [list(chain.from_iterable(found[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         return self.encode_all([text], [key])[0]
@@ -272,16 +363,16 @@ def _encode(setting: tuple, with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, with_ids: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_pieces, pieces_sha256, lossless[, pieces])``.
 
     ``pieces_sha256`` is of the ids as 32-bit little-endian numbers; ``lossless`` tells that the
-    ids decode to the text. The ids depend on model, dropout, seed, variants, doc_id and text
-    only. A null or empty text has no pieces. Repeated rows give equal results.
+    ids decode to the text. The ids depend on model, dropout, seed, doc_id and text only; each
+    candidate merge of each occurrence of a word is decided for itself. A null or empty text has no pieces. Repeated rows give equal results.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_pieces long, pieces_sha256 string, lossless boolean" + ", pieces array<int>" * with_ids
-    return map_batches(rows, _encode((model, dropout, seed, variants), with_ids), schema)
+    return map_batches(rows, _encode((model, dropout, seed), with_ids), schema)
 
 
 def _decode(setting: tuple):
@@ -295,4 +386,4 @@ def _decode(setting: tuple):
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded(doc_id, pieces)`` to ``(doc_id, text)``; null pieces give a null text."""
-    return map_batches(encoded.select("doc_id", "pieces"), _decode((model, 0.0, 0, 1)), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_batches(encoded.select("doc_id", "pieces"), _decode((model, 0.0, 0)), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

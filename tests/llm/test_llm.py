@@ -272,6 +272,25 @@ def test_pieces_without_dropout_match_the_public_encoder(docs):
     assert pieces.Pieces(seed=1).encode("internationalisation of everything", 3) != model.encode("internationalisation of everything") or pieces.Pieces(seed=2).encode("internationalisation of everything", 3) != model.encode("internationalisation of everything")
 
 
+def test_every_occurrence_is_split_for_itself(spark):
+    """A word repeated in one document, and at the same place of many documents, has many segmentations."""
+    word = " internationalisation"
+    model, text = pieces.Pieces(), word * 400
+    assert model.decode(model.encode(text, 1)) == text
+    keys = model.keys([text], [1], [400])
+    alone = [model.segment(word, int(k)) for k in keys]
+    assert model.encode_parts([word] * 400, keys) == model.encode_parts([word] * 400, keys) == alone == model.segments([word] * 400, keys)
+    assert len(set(alone)) > 20 and model.encode(text, 1) == [i for ids in alone for i in ids]
+    docs = spark.createDataFrame([(i, word[1:]) for i in range(300)], "doc_id long, text string")
+    assert pieces.encode(docs).select("pieces").distinct().count() > 20
+    first = []
+    for key in model.keys([text], [2], [400]):
+        asked = []
+        model.segment(word, int(key), asked)
+        first.append(asked[0][2])
+    assert abs(np.mean(first) - pieces.DROPOUT) < 0.05
+
+
 # --- main text ---------------------------------------------------------------------------------
 
 
