@@ -211,17 +211,17 @@ TRANSDUCERS = (fold_look_alikes, digits_for_words, signs_for_words)
 
 
 def disguised(text: str) -> dict[str, list[Span]]:
-    """Source spans that only the rewritten text shows."""
+    """Source spans that only the rewritten text shows; deleted characters leave no mark, so a span is compared with its source."""
     whole = None
     for step in TRANSDUCERS:
         if whole is None and not _needs(step, text):
             continue
         whole = step(whole if whole is not None else Mapped.of(text))
-    if whole is None or not any(whole.changed):
+    if whole is None or whole.text == text:
         return {}
     found: dict[str, list[Span]] = {}
     for kind, spans in detect(whole.text).items():
-        found[kind] = [(whole.start[a], whole.end[b - 1]) for a, b in spans if any(whole.changed[a:b])]
+        found[kind] = [(whole.start[a], whole.end[b - 1]) for a, b in spans if any(whole.changed[a:b]) or text[whole.start[a] : whole.end[b - 1]] != whole.text[a:b]]
     return found
 
 

@@ -151,6 +151,15 @@ def test_pii_scan_and_disguises(spark, odd, none):
     assert pii.redact("a jane@x.org b", pii.find("a jane@x.org b")[1]) == "a [EMAIL] b"
 
 
+@pytest.mark.parametrize("mark", ["\u00ad", "\u200b", "\u200d", "\u2060", "\ufeff"])
+@pytest.mark.parametrize(("kind", "parts"), [("email", ("jane@exam", "ple.com")), ("ip", ("10.20.", "30.40")), ("card", ("4111 1111 ", "1111 1111")), ("phone", ("+49 30 ", "1234567"))])
+def test_pii_broken_by_deleted_characters(kind, parts, mark):
+    text = f"so {mark}{mark.join(parts)}{mark} it is"
+    base, every = pii.find(text)
+    assert every[kind] == [(4, 5 + len("".join(parts)))] and base[kind] == []
+    assert pii.redact(text, every) == f"so {mark}[{kind.upper()}]{mark} it is"
+
+
 # --- fingerprints ------------------------------------------------------------------------------
 
 
