@@ -2,8 +2,9 @@
 
 A streaming parser of the standard library turns a page into lines, one for each block element. A
 line's ratio is its characters over its tags; the ratios are smoothed with a Gaussian and the lines
-above a threshold cluster. The region with most clustered text is the content; all its lines are
-kept, short ones too, without the parts that are page furniture by element, role or name.
+above a threshold cluster. All clusters are content, and so is each article or main element or, without
+one, the innermost region around all clusters; their lines are kept, short ones too, with those between
+them and the headings before them, without the parts that are page furniture by element, role or name.
 """
 
 from __future__ import annotations
@@ -40,16 +41,17 @@ CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "option", "leg
 ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 REGIONS = frozenset("article main section div td body blockquote".split())
 _NAME = re.compile("[A-Z]?[a-z]+|[A-Z]+")
-#: Spread of the Gaussian in lines, and the share of the largest region's clustered text that an inner region must hold to stand for it.
-SIGMA, INNER = 1.0, 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Spread of the Gaussian in lines.
+SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """Events to lines ``[text, tags, furniture, regions]``; regions are the open elements that can hold content."""
+    """Events to lines ``[text, tags, furniture, regions, element]``; regions are the open elements that can hold content."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, bool, tuple[int, ...], str]] = []
         self.stack: list[tuple[str, bool]] = []  # element, whether it or one around it is furniture
         self.regions: list[tuple[int, int, str]] = []  # depth, number, element
         self.count = 0
@@ -63,7 +65,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(1, self.tags), self.hidden(), tuple(r[1] for r in self.regions)))
+            self.lines.append((text, max(1, self.tags), self.hidden(), tuple(r[1] for r in self.regions), next((t for t, _ in reversed(self.stack) if t in BLOCKS), "")))
             self.tags = 0
         self.parts = []
 
@@ -143,6 +145,25 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), weight / weight.sum(), mode="valid")
 
 
+def chosen(lines: list[tuple[tuple[int, ...], str, bool]], kind: dict[int, str]) -> list[bool]:
+    """Which visible lines ``(regions, element, clustered)`` are content."""
+    clustered = [set(regions) for regions, _, high in lines if high]
+    if any(kind[r] in ("article", "main") for regions, _, _ in lines for r in regions):
+        keep = [high or any(kind[r] in ("article", "main") for r in regions) for regions, _, high in lines]
+    elif best := max(set.intersection(*clustered), default=0) if clustered else 0:
+        keep = [best in regions for regions, _, _ in lines]
+    else:
+        return [True] * len(lines)
+    some = [i for i, kept in enumerate(keep) if kept]
+    a, b = some[0], some[-1] + 1
+    # Headings before the content and closing paragraphs after it lie beside its element on many pages.
+    while a and lines[a - 1][1] in HEADINGS:
+        a -= 1
+    while b < len(lines) and lines[b][1] == "p":
+        b += 1
+    return [a <= i < b for i in range(len(lines))]
+
+
 def main_text(html: str | None) -> str:
     """The content lines of a page, joined by two line feeds; empty if there are none."""
     if not html:
@@ -154,24 +175,11 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    level = smoothed(np.array([len(text) / tags for text, tags, _, _ in lines]))
+    level = smoothed(np.array([len(text) / tags for text, tags, *_ in lines]))
     limit = min(level.std(), level.mean())
-    held: dict[int, int] = {}
-    every = 0
-    for (text, _, hidden, regions), high in zip(lines, level >= limit, strict=True):
-        if not hidden:
-            weight = len(text) if high else 0
-            every += weight
-            for r in regions:
-                held[r] = held.get(r, 0) + weight
-    # An article or main element stands for the page; without one, the innermost region with nearly all the clustered text.
-    marked = [r for r in held if parser.kind[r] in ("article", "main")]
-    if marked:
-        top = max(held[r] for r in marked)
-        best = max(r for r in marked if held[r] >= INNER * top)
-    else:
-        best = max((r for r in held if held[r] >= INNER * every), default=0)
-    return "\n\n".join(text for text, _, hidden, regions in lines if not hidden and (not best or best in regions))
+    shown = [(line, high) for line, high in zip(lines, (level >= limit).tolist(), strict=True) if not line[2]]
+    keep = chosen([(regions, element, high) for (_, _, _, regions, element), high in shown], parser.kind)
+    return "\n\n".join(line[0] for (line, _), kept in zip(shown, keep, strict=True) if kept)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -309,6 +309,22 @@ def test_main_text():
     assert extract.main_text(None) == extract.main_text("") == extract.main_text("<nav>Menu</nav>") == ""
 
 
+LONG = "A paragraph that is long enough to stand well above the threshold of the page, with more words than any of the others has. " * 4
+
+
+@pytest.mark.parametrize("html", [
+    "<body><article><p>One. {0}</p></article><article><h2>Two</h2><p>Short.</p></article><article><p>Three. {0}</p></article></body>",
+    "<body><main><h1>Title</h1><article><p>{0}</p><p>{0}</p></article><p>closing</p></main></body>",
+    "<body><h1>Title</h1><article><p>{0}</p></article><p>{0}</p></body>",
+    "<body><h1>Title</h1><div><p>{0}</p><p>{0}</p><p>{0}</p></div><p>closing</p></body>",
+    "<body><div><p>{0}</p></div><div><p>short</p></div><blockquote>{0}{0}{0}{0}{0}{0}{0}{0}{0}{0}{0}{0}</blockquote></body>",
+])
+def test_main_text_is_whole(html):
+    """Several articles, text beside the article, and plain elements with most of the text: nothing is lost."""
+    page = html.format(LONG)
+    assert extract.main_text(page).split() == re.sub("<[^>]*>", " ", page).split()
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some text</p>", 1), (1, "u", "<p>Some text</p>", 1), (None, None, None, 1)], "page_id long, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in extract.extract(pages).collect()) == [("", 0), ("Some text", 9), ("Some text", 9)]
