@@ -26,6 +26,10 @@ ARCHIVE_BYTES = 32 << 20
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1_000
 PIECE = 1 << 20
+#: Ending of the file that lists where each record of an archive starts.
+SIDECAR = ".idx"
+#: A payload that more than this share of the repeated pages have is hot, so fewer than 1 / HOT_SHARE are.
+HOT_SHARE = 0.001
 _WARC, _END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Fixed value: the profile of a revisit with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,9 +77,10 @@ def inflated(stream) -> Iterator[bytes]:
     inflater = zlib.decompressobj(31)
     while data := stream.read(PIECE):
         while data:
-            yield inflater.decompress(data)
-            data = inflater.unused_data
+            yield inflater.decompress(data, PIECE)
+            data = inflater.unconsumed_tail
             if inflater.eof:
+                data = inflater.unused_data
                 inflater = zlib.decompressobj(31)
     if rest := inflater.flush():
         yield rest
@@ -99,13 +104,11 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             del have[:1]
         if not need(1):
             return
-        size = 1
-        while (at := have.find(b"\r\n\r\n")) < 0:
-            size += PIECE
-            if not need(size) and not more:
-                break
-        if at < 0:
-            raise ValueError("a record's head does not end")
+        done = 0  # bytes searched for the end of the head
+        while (at := have.find(_END, max(0, done - 3))) < 0:
+            done = len(have)
+            if not need(done + 1):
+                raise ValueError("a record's head does not end")
         head = headers(bytes(have[:at]))
         total = at + 4 + int(head["content-length"])
         if not need(total):
@@ -117,7 +120,7 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 # --- writing, normalising, reading -------------------------------------------------------------
 
 
-def _writer(folder: str):
+def _writer(folder: str, archive_bytes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, path, size, n, made = None, "", 0, 0, []
         gz = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -140,7 +143,7 @@ def _writer(folder: str):
                 raw = record(None if pd.isna(page_id) else int(page_id), url, (html or "").encode("utf-8", "surrogatepass"), None if pd.isna(refers_to) else int(refers_to))
                 out.write(gz.compress(raw))
                 size, n = size + len(raw), n + 1
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     close()
         close()
         yield pd.DataFrame(made, columns=["archive", "records"])
@@ -148,7 +151,7 @@ def _writer(folder: str):
     return run
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
+def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """``pages(page_id, url, html, refers_to)`` to whole-file gzip archives; ``(archive, records)`` of those written.
 
     File names are new for each attempt of a task, so a repeated task leaves a file that is in no
@@ -157,7 +160,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     store, inner = _store(folder)
     store.create_dir(inner, recursive=True)
     rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
-    return materialize(map_batches(rows, _writer(folder), "archive string, records long"), "archives")
+    return materialize(map_batches(rows, _writer(folder, archive_bytes), "archive string, records long"), "archives")
 
 
 def _normaliser(folder: str, level: int):
@@ -167,18 +170,16 @@ def _normaliser(folder: str, level: int):
                 target = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                 store, inner = _store(source)
                 to, to_inner = _store(target)
-                index, offset = [], 0
-                with store.open_input_stream(inner, compression=None) as stream, to.open_output_stream(to_inner, compression=None) as out:
+                n, offset = 0, 0
+                with store.open_input_stream(inner, compression=None) as stream, to.open_output_stream(to_inner, compression=None) as out, to.open_output_stream(to_inner + SIDECAR, compression=None) as side:
                     for head, raw in records(inflated(stream)):
                         gz = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = gz.compress(raw + _END) + gz.flush()
                         out.write(member)
-                        index.append((target, head.get("warc-record-id", ""), head.get("warc-type", ""), offset, len(member)))
-                        offset += len(member)
-                with to.open_output_stream(to_inner + ".idx", compression=None) as out:
-                    for _, ident, kind, at, size in index:
-                        out.write((json.dumps({"id": ident, "type": kind, "offset": at, "length": size}) + "\n").encode())
-                yield pd.DataFrame(index, columns=["archive", "record_id", "record_type", "offset", "length"])
+                        entry = {"archive": target, "record_id": head.get("warc-record-id", ""), "record_type": head.get("warc-type", ""), "offset": offset, "length": len(member)}
+                        side.write((json.dumps(entry) + "\n").encode())
+                        n, offset = n + 1, offset + len(member)
+                yield pd.DataFrame([(target, n)], columns=["archive", "records"])
 
     return run
 
@@ -186,12 +187,19 @@ def _normaliser(folder: str, level: int):
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """``archives(archive)`` of whole-file gzip to archives of one member a record in ``folder``, each with a sidecar ``.idx``.
 
-    Returns the index: ``(archive, record_id, record_type, offset, length)``.
+    Returns ``(archive, records)`` of the archives written. A repeated task writes new names, so a
+    file that is in no row is of a lost attempt.
     """
     store, inner = _store(folder)
     store.create_dir(inner, recursive=True)
     spread = archives.select("archive").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 2), "archive")
-    return materialize(map_batches(spread, _normaliser(folder, level), "archive string, record_id string, record_type string, offset long, length long"), "index")
+    return materialize(map_batches(spread, _normaliser(folder, level), "archive string, records long"), "normalised")
+
+
+def index(archives: DataFrame, folder: str) -> DataFrame:
+    """``(archive, record_id, record_type, offset, length)`` from the sidecars in ``folder`` of ``archives(archive)``."""
+    entries = archives.sparkSession.read.schema("archive string, record_id string, record_type string, offset long, length long").json(folder, pathGlobFilter="*" + SIDECAR)
+    return entries.join(archives.select("archive"), "archive", "left_semi")
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,22 +232,29 @@ def marked(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """``pages(page_id, url, html)`` with ``refers_to``: of equal payloads from ``least_bytes`` on, the largest page_id if another page has it."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.when(F.col("bytes") >= least_bytes, F.sha2("html", 256)))
-    last = keyed.where("digest is not null").groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(last, ["digest", "bytes"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
-
-
-def archive(pages: DataFrame, least_bytes: int = REVISIT_BYTES, keep: str | None = None) -> DataFrame:
+    last = materialize(keyed.where("digest is not null").groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    # Pages with a hot payload, or one too short to look up, stay where they are; no other payload is a hot key.
+    share = F.lit((last.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE)
+    hot = F.broadcast(last.where(F.col("n") > share).select("digest", "bytes", F.col("top").alias("hot_top")))
+    known = keyed.join(hot, ["digest", "bytes"], "left")
+    near = known.where("digest is null or hot_top is not null").withColumn("top", F.col("hot_top"))
+    far = known.where("digest is not null and hot_top is null").join(last.where(F.col("n") <= share).drop("n"), ["digest", "bytes"], "left")
+    columns = ["page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to")]
+    return near.select(*columns).unionByName(far.select(*columns))
+
+
+def archive(pages: DataFrame, least_bytes: int = REVISIT_BYTES, keep: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as WARC, normalise the archives, and read them back.
 
     Returns ``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` and the place of
     each record. The normalised archives stay in ``keep``, by default a new shared folder.
 
-    A null page has an empty payload. Repeated rows with one id are all responses if theirs is the
+    A null page has an empty payload; one of any length is one record. Repeated rows with one id are all responses if theirs is the
     largest id of the payload. A row without id refers to the largest id as others do, and is a
     response where no row of its payload has one. An empty table gives an empty result.
     """
     spark: SparkSession = pages.sparkSession
     raw, folder = shared_path(spark, "warc-stream"), keep or shared_path(spark, "warc")
-    index = normalise(write(marked(pages, least_bytes), raw), folder)
+    made = normalise(write(marked(pages, least_bytes), raw, archive_bytes), folder)
     delete(spark, raw)
-    return read(index)
+    return read(index(made, folder))

@@ -199,6 +199,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_records_at_every_cut():
+    """Pieces of any length: a head, a body and what separates records may straddle a cut anywhere."""
+    rows = [warc.record(1, "u", b"<p>" * 20), warc.record(2, "v", b""), warc.record(3, None, b"x" * 90, 1)]
+    whole = b"".join(rows)
+    want = [r.rstrip(b"\r\n") for r in rows]
+    for size in [*range(1, 40), *range(40, len(whole) + 2, 7)]:
+        got = [raw.rstrip(b"\r\n") for _, raw in warc.records(iter([whole[a : a + size] for a in range(0, len(whole), size)]))]
+        assert got == want
+    for cut in range(len(whole)):
+        assert len(list(warc.records(iter([whole[:cut], whole[cut:]])))) == 3
+    with pytest.raises(ValueError):
+        list(warc.records(iter([whole[:30]])))
+
+
+def test_archives_of_many_pieces(spark):
+    """Archives over several pieces, a payload longer than a piece, a hot payload, clashing columns."""
+    rows = [(i, "u", ("hot " * 400) if i % 3 == 0 else f"<p>{i}</p>" * (300_000 if i == 7 else 300), i) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, top int").withColumn("digest", F.lit("x")).coalesce(1)
+    got = {r["page_id"]: r for r in warc.archive(pages, archive_bytes=1 << 20).collect()}
+    assert len(got) == 120
+    for i, _, html, _ in rows:
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(html), hashlib.sha1(html.encode()).hexdigest())
+        assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", 117) if i % 3 == 0 and i < 117 else ("response", None))
+    assert len({r["archive"] for r in got.values()}) > 1
+
+
 # --- licences ----------------------------------------------------------------------------------
 
 
