@@ -68,3 +68,18 @@ def delete(spark: SparkSession, path: str) -> None:
 def n_words(text: Column | str) -> Column:
     """Words of a text by :data:`WORD`; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: A key with more than this share of the rows is hot, so fewer than 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.001
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, total: int, number: str = "members") -> DataFrame:
+    """``rows`` left-joined to ``table``, which has one row a key and in ``number`` how many rows have the key.
+
+    The rows of hot keys stay where they are: fewer than 1 / HOT_SHARE keys are hot, so these are
+    broadcast. The others are shuffled, and none of their keys fills a task. Both tables should be written ones.
+    """
+    hot = F.broadcast(table.where(F.col(number) > total * HOT_SHARE).drop(number))
+    cold = table.where(F.col(number) <= total * HOT_SHARE).drop(number)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))

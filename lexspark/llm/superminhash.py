@@ -3,12 +3,13 @@
 Path: shingle sets -> one row per distinct set -> SuperMinHash -> banding -> exact verification ->
 union-find and contraction. Copies of a set are one node, so a group of exact copies costs one row
 however large it is. In a bucket every member is compared with one centre, so a bucket of n members
-gives n links to verify and not n * n; members that are still apart afterwards are compared with
-each other where a bound on their overlap allows a link at all.
+gives n links to verify and not n * n; members that are still apart afterwards meet where they share a
+shingle that is rare among them, by prefix filtering, which loses no pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialize
+from .common import discard, look_up, map_batches, materialize
 from .components import connected_components
 
 #: Bands times rows give the signature's length. At a similarity of 0.85 a pair shares no band
@@ -25,6 +26,8 @@ from .components import connected_components
 BANDS, ROWS = 36, 7
 #: Words of a shingle and the similarity in percent, unless a contract says otherwise.
 WORDS, PERCENT = 5, 80
+#: Ratio of the sizes in a class of sets.
+CLASS = 1.02
 #: Shingles that one vectorised pass holds; bounds the memory of the rank permutations.
 PASS = 60_000
 #: Steps whose swaps are looked up one by one before whole permutations are laid out.
@@ -141,7 +144,7 @@ def _sketch(words: int, bands: int, rows: int):
                 for i, row in zip(full[start:end], got, strict=True):
                     bucket[i] = row
                 start = end
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "node": keys, "bands": bucket})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n_shingles": [len(s) for s in sets], "node": keys, "bands": bucket})
 
     return run
 
@@ -175,29 +178,61 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), _verified(percent), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id, kept)``, one row a document.
-
-    Two documents are linked when ``100 * intersection >= percent * union`` of their sets of
-    distinct shingles of ``words`` lower-cased (A-Z) words; a shorter text is one shingle.
-    ``component_id`` is the smallest doc_id that links reach. Every link is confirmed on the full
-    sets; shingles are compared by 64-bit and sets by 128-bit hashes.
+def sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets(node, shingles, n, root)`` to all pairs ``(a, b)`` of different roots that may be similar enough.
 
-    A null or empty text, or one of white space, has no shingle and no link and keeps its own id. A
-    repeated row gives repeated result rows. A row without doc_id still links; its ``component_id``
-    is the smallest id in its component, null if there is none, and ``kept`` is then false or true.
-    Other columns are ignored. An empty table gives an empty result.
+    Prefix filtering: in the order of rising document frequency, two sets of n and m shingles that
+    share ``need(n, m)`` of them share one of the first n - need + 1 of one and m - need + 1 of the
+    other, and after the first that they share both have enough left. So only sets that share a
+    rare shingle meet, and members of a family whose edits differ do not. Sizes go in classes of
+    :data:`CLASS`, and the larger set of a pair looks for the smaller one in each class that may
+    have it, since the bound is close only for known sizes.
+    """
+    n = F.col("n")
+    need = lambda x, y: F.ceil(percent * (x + y) / (100 + percent))
+    size_class = lambda x: F.floor(F.log(x.cast("double")) / math.log(CLASS))
+    rows = materialize(sets.select("node", "n", "root", F.explode("shingles").alias("s")), "shingles")
+    # A shingle of one set only is first in the order and meets nothing: it only moves the places of the others.
+    seen = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    seen = materialize(seen.withColumn("members", F.col("df")), "frequencies")
+    known = look_up(rows, seen, "s", rows.count()).where("df is not null")
+    ordered = known.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("known"))
+    ordered = materialize(ordered.withColumn("own", n - F.size("known")).where(F.col("own") <= n - F.ceil(percent * n / 100)), "ordered")
+    # The places up to a length, counted with the set's own shingles before the known ones.
+    first = lambda length: F.slice(F.transform("known", lambda x, i: F.struct((i + F.col("own")).alias("place"), x["s"].alias("s"))), F.lit(1), F.greatest(F.lit(0), length - F.col("own")).cast("int"))
+    small = ordered.select("node", "n", "root", size_class(n).alias("class"), F.explode(first(n - need(n, n) + 1)).alias("at"))
+    least = F.ceil(percent * n / 100)
+    looked = ordered.withColumn("class", F.explode(F.sequence(size_class(least), size_class(n))))
+    floor_of = F.greatest(least, F.floor(F.pow(F.lit(CLASS), F.col("class"))) - 1)
+    large = looked.select("node", "n", "root", "class", F.explode(first(n - need(n, floor_of) + 1)).alias("at"))
+    columns = ["node", "n", "root", F.col("at.s").alias("s"), "class", F.col("at.place").alias("place")]
+    keys = materialize(small.select(*columns, F.lit(0).alias("role")).unionByName(large.select(*columns, F.lit(1).alias("role"))), "keys")
+    met = keys.groupBy("s", "class").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("role").alias("r0"), F.max("role").alias("r1")).where("lo <> hi and r0 < r1").select("s", "class")
+    live = materialize(keys.join(met, ["s", "class"], "left_semi"), "met")
+    x, y = (live.where(F.col("role") == i).select("s", "class", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root", "place"))) for i in (0, 1))
+    order = (F.col("n0") < F.col("n1")) | ((F.col("n0") == F.col("n1")) & (F.col("node0") < F.col("node1")))
+    enough = F.least(F.col("n0") - F.col("place0"), F.col("n1") - F.col("place1")) >= need(F.col("n0"), F.col("n1"))
+    pairs = materialize(x.join(y, ["s", "class"]).where((F.col("root0") != F.col("root1")) & order & enough).select(F.col("node0").alias("a"), F.col("node1").alias("b")).distinct(), "pairs")
+    discard(rows, seen, ordered, keys, live)
+    return pairs
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, text_key, n_shingles, class, component_id)``, one row a document.
+
+    ``text_key`` is a hash of the text; ``class`` names the group of linked documents, with or
+    without ids, and is null for a document without shingles. See :func:`near_duplicates`.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = materialize(map_batches(docs, _sketch(words, bands, rows), "doc_id long, n_shingles long, node binary, bands array<long>"), "sketch")
-    nodes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    sketch = materialize(map_batches(docs, _sketch(words, bands, rows), "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"), "sketch")
+    nodes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("members"))
     reps = sketch.where("node is not null").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = reps.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     member = materialize(reps.join(shared, "band"), "members")
     mine = member.select("node").distinct()
     # One text for each node in a shared bucket; the sets are made again from the text, so that they are not kept for all documents.
     chosen = sketch.select("doc_id", "node").join(mine, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))).alias("s")).select(F.col("s.doc_id").alias("doc_id")).distinct()
-    texts = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(chosen, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(chosen, "doc_id", "left_semi")
     sets = materialize(map_batches(texts, _sets(words), "node binary, shingles array<long>").where("node is not null").dropDuplicates(["node"]), "sets")
 
     # First round: each bucket's centre is the member that meets most others in its buckets.
@@ -211,25 +246,58 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # Second round: members of one bucket that are still apart.
     placed = member.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     apart = lambda df: df.join(df.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"), "band", "left_semi")
-    rest = materialize(apart(placed), "apart")
+    rest = materialize(apart(placed).select("node", "n", "root").distinct(), "apart")
     if rest.limit(1).count():
-        # Shingles that no other of these nodes has can be in no intersection with one of them.
-        own = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
-        most = rest.join(own.groupBy("node").agg(F.count("*").alias("own")), "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-        most = materialize(apart(most.where(f"100 * most >= {percent} * n").select("band", "node", "n", "root", "most")), "bounded")
-        x, y = (most.select("band", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "root", "most"))) for i in "12")
-        reach = F.least("most1", "most2")
-        pairs = x.join(y, "band").where((F.col("root1") < F.col("root2")) & (100 * reach >= percent * (F.col("n1") + F.col("n2") - reach))).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+        pairs = sharing_rare(sets.join(rest, "node"), percent)
         more = materialize(_verify(pairs, sets, percent), "links")
         if more.limit(1).count():
             discard(roots)
             roots = materialize(connected_components(links.unionByName(more)), "roots")
-        discard(most, more)
+        discard(pairs, more)
     discard(member, sets, links, rest)
 
-    named = nodes.select("node", "doc").join(roots, "node", "left")
+    named = nodes.select("node", "doc", "members").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     lowest = named.where("root is not null").groupBy("root").agg(F.min("doc").alias("low"))
-    named = named.join(lowest, "root", "left").select("node", F.coalesce("low", "doc").alias("low"))
-    out = sketch.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    named = materialize(named.join(lowest, "root", "left").select("node", "members", "class", F.coalesce("low", "doc").alias("low")), "classes")
+    each = sketch.select("doc_id", "text_key", "n_shingles", "node")
+    bare = each.where("node is null").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("component_id"))
+    full = look_up(each.where("node is not null"), named, "node", each.count())
+    return full.select("doc_id", "text_key", "n_shingles", "class", F.col("low").alias("component_id")).unionByName(bare)
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id, kept)``, one row a document.
+
+    Two documents are linked when ``100 * intersection >= percent * union`` of their sets of
+    distinct shingles of ``words`` lower-cased (A-Z) words; a shorter text is one shingle.
+    ``component_id`` is the smallest doc_id that links reach. Every link is confirmed on the full
+    sets; shingles are compared by 64-bit and sets by 128-bit hashes.
+
+    A null or empty text, or one of white space, has no shingle and no link and keeps its own id. A
+    repeated row gives repeated result rows. A row without doc_id still links; its ``component_id``
+    is the smallest id in its component, null if there is none, and ``kept`` is then false or true.
+    Other columns are ignored. An empty table gives an empty result.
+    """
+    found = classes(docs, words, percent, bands, rows)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def survivors(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each class of near-duplicates.
+
+    The row with the smallest doc_id stays, a null one last, of equal ids that with the smallest
+    hash of its text; of rows that repeat in id and text one stays. So a document that shares its
+    id with a copy is kept for itself, and a class without ids keeps one row. Documents without
+    shingles are in no class; all of them stay but repeated rows. Columns of any name pass through.
+    """
+    ident = lambda df, name: df["doc_id"].cast("long").alias(name)
+    twice = docs.groupBy(ident(docs, "__id"), F.xxhash64(docs["text"].cast("string")).alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1")
+    if twice.limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    found = materialize(classes(docs, words, percent).where("class is not null"), "found")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    groups = materialize(found.groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("members")).where("members > 1"), "groups")
+    gone = look_up(found, groups, "class", found.count()).where((F.col("first") != rank)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    hit = docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__key"])
+    return docs.join(gone, hit, "left_anti").select(docs.columns)

@@ -1,5 +1,7 @@
 """The corpus pipeline stage by stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexspark.llm import mixing, pii, superminhash
 
@@ -23,3 +25,26 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and set(out.columns) == {"doc_id", "n_pieces", "pieces_sha256", "lossless", "pieces"}
+
+
+def test_near_dedup_keeps_what_shares_an_id(spark):
+    """A unique text whose id a copy has too stays; copies without id go, but for one where none has an id."""
+    a, b, c = ("one two three four five six seven eight nine " * 3, "ten eleven twelve thirteen fourteen fifteen " * 3, "lone text of its own with more than five words in it")
+    rows = [(1, a, 9), (4, a, 9), (4, c, 9), (None, a, 9), (None, b, 9), (None, b, 9), (7, None, 9), (7, None, 9), (8, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int").withColumn("class", F.lit(1)).withColumn("members", F.lit("m"))
+    got = superminhash.survivors(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect())) == sorted([(1, a), (4, c), (0, b), (7, ""), (8, "")])
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated rows, a very long text, an empty table, clashing column names: no stage fails or loses columns."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, size string, node int"
+    rows = [(1, None, "en", "a", 0, "s", 1), (2, "", None, None, 0, None, None), (3, "word another " * 40_000, "en", "a", 1, "s", 1), (4, "Ein Satz mit Worten.", None, None, None, "s", 1), (4, "Ein Satz mit Worten.", None, None, None, "s", 1), (None, "no id here at all, mail a@b.org", "en", "b", 1, "s", 1)]
+    for table in (spark.createDataFrame(rows, kinds), spark.createDataFrame([], kinds)):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            assert name == "pieces" or out.columns == docs.columns
+            assert out.count() <= 3 * max(1, docs.count())
+            docs = out
