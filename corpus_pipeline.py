@@ -20,12 +20,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate group the row with the smallest doc_id, and of repeated rows one."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").isNull().cast("int")).alias("no_id")).where("n > 1 or no_id = 1")
-    if ids.limit(1).count():  # the table has rows that doc_id does not tell apart
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    gone = superminhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keep of each near-duplicate group the row with the smallest doc_id, and of repeated rows one; see :func:`superminhash.survivors`."""
+    return superminhash.survivors(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
