@@ -11,67 +11,78 @@ from ..schemas import RECURRENCES
 
 #: Duties come due within so many days, today included.
 SOON_DAYS = 30
-STATUSES = ["overdue", "due", "upcoming", "conditional", "unresolved", "informational", "unknown"]
+#: Most steps of a recurrence.
+MOST_STEPS = 400
+STATUSES = ["overdue", "due", "upcoming", "conditional", "informational", "unknown"]
 BUCKETS = ["past", "due-soon", "future", "undated"]
 
 
-def add_period(start: Column, amount: Column, unit: Column, overflow: bool = False) -> Column:
-    """O1: a date plus days, weeks, months or years; a day that a month lacks is its last, or with ``overflow`` runs on."""
+def add_period(start: Column, amount: Column, unit: Column) -> Column:
+    """O1: a date plus days, weeks, months or years; where a month lacks the day, it runs on into the next."""
     months = F.when(unit == "year", amount * 12).otherwise(amount)
-    clamped = F.add_months(start, months.cast("int"))
-    run_on = F.date_add(F.trunc(F.add_months(F.trunc(start, "month"), months.cast("int")), "month"), F.dayofmonth(start) - 1)
+    run_on = F.date_add(F.add_months(F.trunc(start, "month"), months.cast("int")), F.dayofmonth(start) - 1)
     days = F.when(unit == "week", amount * 7).otherwise(amount)
-    return F.when(unit.isin("day", "week"), F.date_add(start, days.cast("int"))).when(unit.isin("month", "year"), run_on if overflow else clamped)
+    return F.when(unit.isin("day", "week"), F.date_add(start, days.cast("int"))).when(unit.isin("month", "year"), run_on)
 
 
-def next_occurrence(anchor: Column, recurrence: Column, as_of: Column) -> Column:
-    """The first date of a recurrence on or after ``as_of``, without stepping through those before."""
+def next_occurrence(anchor: Column, recurrence: Column, as_of: Column, most: int = MOST_STEPS) -> Column:
+    """The first date of a recurrence on or after ``as_of``, or that after ``most`` steps; null for an unknown recurrence.
+
+    Days are counted at once. Months are stepped through one by one, because each step runs on from
+    the one before where a month lacks the day.
+    """
+    step = lambda n: lambda at, _: F.when(at < as_of, add_period(at, F.lit(n), F.lit("month"))).otherwise(at)
     out = F.when(F.lit(False), anchor)
     for name, (n, unit) in RECURRENCES.items():
         if unit == "day":
-            steps = F.greatest(F.lit(0), F.ceil(F.datediff(as_of, anchor) / n))
+            steps = F.least(F.lit(most), F.greatest(F.lit(0), F.ceil(F.datediff(as_of, anchor) / n)))
             value = F.date_add(anchor, (steps * n).cast("int"))
         else:
-            about = F.greatest(F.lit(0), F.floor(F.months_between(as_of, anchor) / n)).cast("int")
-            early = F.add_months(anchor, about * n)
-            value = F.when(early >= as_of, early).otherwise(F.add_months(anchor, (about + 1) * n))
-        out = out.when(recurrence == name, value)
+            value = F.aggregate(F.sequence(F.lit(1), F.lit(most)), anchor, step(n))
+        out = out.when(F.lower(recurrence) == name, value)
     return out
 
 
-def resolve(deadlines: DataFrame, as_of: Column) -> DataFrame:
-    """O2: ``resolved_date`` and ``reason``: a stated date, a recurrence, an offset from the anchor, or why there is none."""
+def resolve(deadlines: DataFrame, as_of: Column, effective: DataFrame | None = None) -> DataFrame:
+    """O2: ``resolved_date`` and ``reason``: a stated date, a recurrence, an offset from the anchor, or why there is none.
+
+    A recurrence counts for deadlines of type ``recurring`` only. Without an anchor date the
+    document's ``effective(document_id, effective_date)`` is the anchor.
+    """
     c = F.col
-    has_offset = c("offset_amount").isNotNull() & c("offset_unit").isNotNull()
+    rows = deadlines.join(effective.select("document_id", "effective_date"), "document_id", "left") if effective is not None else deadlines.withColumn("effective_date", F.lit(None).cast("date"))
+    anchor = F.coalesce("anchor_date", "effective_date")
+    recurring = (c("date_type") == "recurring") & (F.coalesce("recurrence", F.lit("")) != "")
+    has_offset = (F.coalesce("offset_amount", F.lit(0)) != 0) & c("offset_unit").isNotNull()
     date = (
         F.when(c("date").isNotNull(), c("date"))
-        .when(c("recurrence").isNotNull() & c("anchor_date").isNotNull(), next_occurrence(c("anchor_date"), c("recurrence"), as_of))
-        .when(has_offset & c("anchor_date").isNotNull(), add_period(c("anchor_date"), c("offset_amount"), c("offset_unit")))
+        .when(recurring, next_occurrence(anchor, c("recurrence"), as_of))
+        .when(has_offset, add_period(anchor, c("offset_amount"), c("offset_unit")))
     )
-    reason = F.when(date.isNotNull(), None).when(c("recurrence").isNotNull() | has_offset, "no-anchor-date").otherwise("no-date-stated")
-    return deadlines.withColumn("resolved_date", date).withColumn("reason", reason)
+    reason = F.when(c("resolved_date").isNotNull(), None).when(recurring, "no-start-or-unit").when(has_offset, "no-anchor-date").otherwise("no-date-stated")
+    return rows.withColumn("resolved_date", date).withColumn("reason", reason).drop("effective_date")
 
 
-def status(informational: Column, has_deadline: Column, has_trigger: Column, due: Column, as_of: Column, soon: int = SOON_DAYS) -> Column:
-    """O3: the state of a duty on a day."""
+def status(informational: Column, has_trigger: Column, due: Column, as_of: Column, soon: int = SOON_DAYS) -> Column:
+    """O3: the state of a duty on a day; without a date it is conditional if a condition triggers it, else unknown."""
     left = F.datediff(due, as_of)
     return (
         F.when(informational, "informational")
-        .when(~has_deadline, F.when(has_trigger, "conditional").otherwise("unknown"))
-        .when(due.isNull(), "unresolved")
+        .when(due.isNull(), F.when(has_trigger, "conditional").otherwise("unknown"))
         .when(left < 0, "overdue")
         .when(left <= soon, "due")
         .otherwise("upcoming")
     )
 
 
-def assess(obligations: DataFrame, deadlines: DataFrame, as_of: Column) -> DataFrame:
-    """Duties with their resolved date, days left and status."""
-    dated = resolve(deadlines, as_of).select("document_id", F.col("id").alias("deadline_id"), "resolved_date", F.lit(True).alias("found"))
+def assess(obligations: DataFrame, deadlines: DataFrame, as_of: Column, effective: DataFrame | None = None) -> DataFrame:
+    """Duties with their resolved date, days left, status, and whether their deadline is there."""
+    dated = resolve(deadlines, as_of, effective).select("document_id", F.col("id").alias("deadline_id"), "resolved_date", F.lit(True).alias("found"))
     out = obligations.join(dated, ["document_id", "deadline_id"], "left")
-    trigger = F.col("trigger_condition_id").isNotNull() | (F.coalesce("trigger_text", F.lit("")) != "")
-    state = status(F.coalesce("informational", F.lit(False)), F.coalesce("found", F.lit(False)), trigger, F.col("resolved_date"), as_of)
-    return out.withColumn("status", state).withColumn("days_left", F.datediff("resolved_date", as_of)).drop("found")
+    informational = F.coalesce("informational", F.lit(False)) | (F.coalesce("standard", F.lit("")) == "informational")
+    state = status(informational, F.col("trigger_condition_id").isNotNull(), F.col("resolved_date"), as_of)
+    left = F.when(~informational, F.datediff("resolved_date", as_of))
+    return out.withColumn("status", state).withColumn("days_left", left).withColumn("deadline_found", F.coalesce("found", F.lit(False))).drop("found")
 
 
 def linked_consequences(obligations: DataFrame, consequences: DataFrame, null_matches_null: bool = False) -> DataFrame:
@@ -146,7 +157,7 @@ def board(assessed: DataFrame) -> DataFrame:
     n = lambda *s: F.count_if(F.col("status").isin(*s))
     return assessed.groupBy("document_id").agg(
         F.count("*").alias("total"), n("overdue").alias("overdue"), n("due").alias("due"), n("upcoming").alias("upcoming"),
-        n("conditional").alias("conditional"), n("unresolved", "unknown").alias("undated"), n("informational").alias("informational"),
+        n("conditional").alias("conditional"), n("unknown").alias("undated"), n("informational").alias("informational"),
     )
 
 

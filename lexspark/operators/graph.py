@@ -195,24 +195,50 @@ def cycles(edges: DataFrame, most: int = 25) -> DataFrame:
     return edges.select("document_id", "from_id", "to_id").groupBy("document_id").applyInPandas(walk, "document_id bigint, cycle int, path array<string>")
 
 
-# What an edge type is about.
-SEMANTICS = {
-    "structure": ["document-has-party", "document-has-clause", "clause-references", "clause-defines", "definition-applies-to"],
-    "duty": ["clause-imposes-obligation", "party-obligated-by", "obligation-owed-to", "clause-grants-right", "party-holds-right", "right-held-against"],
-    "timing": ["clause-sets-deadline", "obligation-has-deadline", "condition-has-deadline", "deadline-anchored-to"],
-    "effect": ["clause-states-condition", "clause-states-consequence", "obligation-triggered-by", "obligation-results-in", "condition-triggers", "consequence-follows-condition", "consequence-affected-party"],
-    "finding": ["clause-flags-risk", "risk-about", "inconsistency-between", "entity-relates-to"],
+# What an edge type is about, and how it reads.
+EDGE_WORDS = {
+    "document-has-party": ("structure", "has party"),
+    "document-has-clause": ("structure", "has clause"),
+    "clause-references": ("reference", "references clause"),
+    "clause-defines": ("structure", "defines"),
+    "clause-imposes-obligation": ("duties", "imposes obligation"),
+    "clause-grants-right": ("duties", "grants right"),
+    "clause-states-condition": ("time", "states condition"),
+    "clause-sets-deadline": ("time", "sets deadline"),
+    "clause-states-consequence": ("findings", "states consequence"),
+    "clause-flags-risk": ("findings", "flags risk"),
+    "party-obligated-by": ("duties", "is obligated by"),
+    "obligation-owed-to": ("duties", "is owed to"),
+    "party-holds-right": ("duties", "holds right"),
+    "right-held-against": ("duties", "is held against"),
+    "obligation-triggered-by": ("time", "triggered by"),
+    "obligation-has-deadline": ("time", "has deadline"),
+    "obligation-results-in": ("findings", "results in"),
+    "condition-triggers": ("time", "triggers"),
+    "condition-has-deadline": ("time", "has deadline"),
+    "consequence-follows-condition": ("findings", "follows condition"),
+    "consequence-affected-party": ("findings", "affects party"),
+    "definition-applies-to": ("reference", "applies to"),
+    "deadline-anchored-to": ("time", "anchored to"),
+    "risk-about": ("findings", "about"),
+    "inconsistency-between": ("findings", "between"),
+    "entity-relates-to": ("reference", "relates to"),
 }
 
 
+def _edge_word(kind: Column, at: int, other: Column) -> Column:
+    words = F.create_map(*[F.lit(x) for k, w in EDGE_WORDS.items() for x in (k, w[at])])
+    return F.coalesce(F.try_element_at(words, kind), other)
+
+
 def semantics(kind: Column) -> Column:
-    """The category of an edge type."""
-    return reduce(lambda acc, k: acc.when(kind.isin(SEMANTICS[k]), k), SEMANTICS, F.when(F.lit(False), F.lit(""))).otherwise("other")
+    """The category of an edge type; plain associations and unknown types are references."""
+    return _edge_word(kind, 0, F.lit("reference"))
 
 
 def label(kind: Column) -> Column:
-    """A type as words."""
-    return F.initcap(F.replace(kind, F.lit("-"), F.lit(" ")))
+    """An edge type as words; of an unknown one its parts."""
+    return _edge_word(kind, 1, F.replace(kind, F.lit("-"), F.lit(" ")))
 
 
 def search(nodes: DataFrame, text: str) -> DataFrame:

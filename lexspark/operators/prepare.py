@@ -25,8 +25,8 @@ def checklist(assessed: DataFrame, risks: DataFrame, inconsistencies: DataFrame,
     parts = [
         item(duty("overdue"), "overdue", "high", F.col("id"), words("Overdue: ")),
         item(duty("due"), "due", "medium", F.col("id"), words("Due soon: ")),
-        item(duty("unresolved"), "undated-deadline", "medium", F.col("id"), words("Deadline without date: ")),
-        item(duty("unknown"), "undated-duty", "medium", F.col("id"), words("Duty without timing: ")),
+        item(duty("unknown").where("deadline_found"), "undated-deadline", "medium", F.col("id"), words("Deadline without date: ")),
+        item(duty("unknown").where("not deadline_found"), "undated-duty", "medium", F.col("id"), words("Duty without timing: ")),
         item(risks.where(severity_rank(F.col("severity")) <= 2), "risk", F.col("severity"), F.col("finding_id"), F.col("title")),
         item(inconsistencies, "inconsistency", F.col("severity"), F.col("finding_id"), F.col("title")),
     ]
@@ -47,7 +47,7 @@ def as_text(items: DataFrame) -> DataFrame:
 def questions(assessed: DataFrame, risks: DataFrame) -> DataFrame:
     """What to ask: duties without timing or without a party, and graver risks."""
     parts = [
-        item(assessed.where(F.col("status").isin("unknown", "unresolved")), "questions", "medium", F.concat(F.lit("timing:"), "id"), F.concat(F.lit("When is due: "), cut(F.col("summary"), 80))),
+        item(assessed.where("status = 'unknown'"), "questions", "medium", F.concat(F.lit("timing:"), "id"), F.concat(F.lit("When is due: "), cut(F.col("summary"), 80))),
         item(assessed.where("obligor_party_id is null"), "questions", "high", F.concat(F.lit("party:"), "id"), F.concat(F.lit("Who owes: "), cut(F.col("summary"), 80))),
         item(risks.where(severity_rank(F.col("severity")) <= 2), "questions", F.col("severity"), F.concat(F.lit("risk:"), "finding_id"), F.concat(F.lit("Is this meant: "), F.col("title"))),
     ]
@@ -59,7 +59,7 @@ def facts(parties: DataFrame, assessed: DataFrame, definitions: DataFrame | None
     parts = [
         item(parties, "facts", "info", F.concat(F.lit("party:"), "id"), F.concat(F.lit("Party: "), F.col("name"))),
         item(assessed.where("obligor_party_id is null"), "facts", "medium", F.concat(F.lit("open:"), "id"), F.lit("Duty without party")),
-        item(assessed.where("status = 'unresolved'"), "facts", "medium", F.concat(F.lit("date:"), "id"), F.lit("Deadline without date")),
+        item(assessed.where("status = 'unknown' and deadline_found"), "facts", "medium", F.concat(F.lit("date:"), "id"), F.lit("Deadline without date")),
     ]
     if definitions is not None:
         parts.append(item(definitions.where(F.coalesce("text", F.lit("")) == ""), "facts", "medium", F.concat(F.lit("term:"), "id"), F.concat(F.lit("Empty definition: "), F.col("term"))))

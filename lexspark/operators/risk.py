@@ -42,7 +42,7 @@ PATTERNS = {
         r"from time to time",
         r"materially",
     ],
-    "termination-act": [r"(?:may|shall|can|is entitled to) (?:\w+ )?(?:terminate|suspend|cease)", r"right to (?:terminate|suspend)"],
+    "termination-act": [r"may (?:terminate|suspend|cease)", r"shall be entitled to terminate", r"right to terminate"],
 }
 NOTICE = r"notice|notify|notification"
 QUALIFIED = ["best-efforts", "reasonable-efforts", "commercially-reasonable"]

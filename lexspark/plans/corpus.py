@@ -38,8 +38,12 @@ VIEWS: dict[str, str] = {
           SELECT l_orderkey, concat('s', CAST(s_suppkey AS {text})), s_name, 'supplier' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) p""",
     "corpus_obligations": """
         SELECT document_id, concat('o', clause_id) AS obligation_id, ord, clause_id, concat('c', CAST(o_custkey AS {text})) AS obligor_id, concat('s', CAST(l_suppkey AS {text})) AS obligee_id,
-               CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE concat('d', clause_id) END AS deadline_id, l_linenumber % 5 = 0 AS informational, text AS summary, l_partkey % 2 = 0 AS has_consequence
+               CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE concat('d', clause_id) END AS deadline_id, l_linenumber % 5 = 0 AS informational, text AS summary, l_partkey % 2 = 0 AS has_consequence,
+               CASE WHEN l_linenumber = 6 OR (l_linenumber = 4 AND l_partkey % 2 = 1) THEN concat('k', clause_id) END AS trigger_id
         FROM corpus_a JOIN orders ON o_orderkey = document_id WHERE l_returnflag = 'A'""",
+    "corpus_conditions": """
+        SELECT document_id, concat('k', clause_id) AS condition_id, clause_id, CASE l_returnflag WHEN 'A' THEN 'breach' WHEN 'R' THEN 'termination' ELSE 'renewal' END AS condition_type
+        FROM corpus_a WHERE l_linenumber = 6 OR (l_linenumber = 4 AND l_partkey % 2 = 1)""",
     "corpus_rights": """
         SELECT document_id, concat('r', clause_id) AS right_id, ord, clause_id, concat('s', CAST(l_suppkey AS {text})) AS holder_id, concat('c', CAST(o_custkey AS {text})) AS counterparty_id, text AS summary
         FROM corpus_a JOIN orders ON o_orderkey = document_id WHERE l_returnflag = 'R'""",

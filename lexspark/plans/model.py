@@ -17,7 +17,7 @@ def as_of() -> Column:
 
 
 def model(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    a, b, parties, obligations, rights, deadlines = corpus(spark, sf_dir, "corpus_a", "corpus_b", "corpus_parties", "corpus_obligations", "corpus_rights", "corpus_deadlines")
+    a, b, parties, obligations, rights, deadlines, conditions = corpus(spark, sf_dir, "corpus_a", "corpus_b", "corpus_parties", "corpus_obligations", "corpus_rights", "corpus_deadlines", "corpus_conditions")
     null = F.lit(None).cast("string")
     return SimpleNamespace(
         clauses=classify(a.select("document_id", "ord", "clause_id", "number", "heading", "text", "n_days")),
@@ -26,13 +26,13 @@ def model(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
         parties=parties.select("document_id", F.col("party_id").alias("id"), "name", "role", F.array().cast("array<string>").alias("aliases")),
         obligations=obligations.select(
             "document_id", F.col("obligation_id").alias("id"), "ord", "clause_id", F.col("obligor_id").alias("obligor_party_id"), F.col("obligee_id").alias("obligee_party_id"), "deadline_id", "informational", "summary",
-            F.when(F.col("has_consequence"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("consequence_ids"), null.alias("consequence_text"), null.alias("trigger_condition_id"), null.alias("trigger_text"), null.alias("standard"),
+            F.when(F.col("has_consequence"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("consequence_ids"), null.alias("consequence_text"), F.col("trigger_id").alias("trigger_condition_id"), null.alias("trigger_text"), null.alias("standard"),
         ),
         rights=rights.select("document_id", F.col("right_id").alias("id"), "ord", "clause_id", F.col("holder_id").alias("holder_party_id"), F.col("counterparty_id").alias("counterparty_party_id"), "summary"),
         deadlines=deadlines.select(
             "document_id", F.col("deadline_id").alias("id"), "ord", "clause_id", "date_type", "date", "offset_amount", F.when(F.col("offset_amount").isNotNull(), "day").alias("offset_unit"), null.alias("recurrence"), "anchor_date", "description", null.alias("event"), null.alias("anchor_event"),
         ),
-        conditions=spark.createDataFrame([], "document_id bigint, id string, clause_id string, condition_type string"),
+        conditions=conditions.select("document_id", F.col("condition_id").alias("id"), "clause_id", "condition_type"),
         definitions=spark.createDataFrame([], "document_id bigint, id string, clause_id string, term string, text string"),
     )
 

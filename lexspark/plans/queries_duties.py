@@ -14,8 +14,9 @@ from .queries_text import sql_clause_type, sql_phrase
 from .registry import query
 
 RESOLVED = "resolved AS (SELECT *, CASE WHEN date IS NOT NULL THEN date WHEN offset_amount IS NOT NULL THEN CAST(anchor_date + offset_amount AS DATE) END AS resolved_date, CASE WHEN date IS NULL AND offset_amount IS NULL THEN 'no-date-stated' END AS reason FROM corpus_deadlines)"
-ASSESSED = f"""assessed AS (SELECT o.document_id, o.obligation_id, o.ord, o.obligor_id, o.summary, CAST(r.resolved_date - DATE '{AS_OF}' AS INT) AS days_left,
-  CASE WHEN o.informational THEN 'informational' WHEN r.deadline_id IS NULL THEN 'unknown' WHEN r.resolved_date IS NULL THEN 'unresolved'
+ASSESSED = f"""assessed AS (SELECT o.document_id, o.obligation_id, o.ord, o.obligor_id, o.summary, CASE WHEN NOT o.informational THEN CAST(r.resolved_date - DATE '{AS_OF}' AS INT) END AS days_left,
+  r.deadline_id IS NOT NULL AS deadline_found,
+  CASE WHEN o.informational THEN 'informational' WHEN r.resolved_date IS NULL THEN CASE WHEN o.trigger_id IS NOT NULL THEN 'conditional' ELSE 'unknown' END
     WHEN r.resolved_date < DATE '{AS_OF}' THEN 'overdue' WHEN r.resolved_date - DATE '{AS_OF}' <= {D.SOON_DAYS} THEN 'due' ELSE 'upcoming' END AS status
   FROM corpus_obligations o LEFT JOIN resolved r ON r.document_id = o.document_id AND r.deadline_id = o.deadline_id)"""
 DUTIES = ctes("corpus_obligations", "corpus_deadlines", "corpus_parties", "corpus_rights") + f", {RESOLVED}, {ASSESSED} "
@@ -80,7 +81,7 @@ def timeline_kind(spark, sf_dir):
 @query(
     "obligation_board", "O8 O13",
     DUTIES + """SELECT document_id, count(*) AS total, count(*) FILTER (status = 'overdue') AS overdue, count(*) FILTER (status = 'due') AS due, count(*) FILTER (status = 'upcoming') AS upcoming,
-      count(*) FILTER (status = 'conditional') AS conditional, count(*) FILTER (status IN ('unresolved', 'unknown')) AS undated, count(*) FILTER (status = 'informational') AS informational FROM assessed GROUP BY document_id""",
+      count(*) FILTER (status = 'conditional') AS conditional, count(*) FILTER (status = 'unknown') AS undated, count(*) FILTER (status = 'informational') AS informational FROM assessed GROUP BY document_id""",
 )
 def obligation_board(spark, sf_dir):
     return D.board(assessed(spark, sf_dir))
@@ -134,7 +135,7 @@ def _rule(name: str, clause: str, entity: str, title: str, rest: str, severity:
 
 
 K_SQL = {
-    "obligation-without-deadline": _rule("obligation-without-deadline", "clause_id", "obligation_id", f"concat('No timing: ', {sql_cut('summary', 80)})", "FROM corpus_obligations WHERE NOT informational AND deadline_id IS NULL"),
+    "obligation-without-deadline": _rule("obligation-without-deadline", "clause_id", "obligation_id", f"concat('No timing: ', {sql_cut('summary', 80)})", "FROM corpus_obligations WHERE NOT informational AND deadline_id IS NULL AND trigger_id IS NULL"),
     "obligation-without-consequence": _rule("obligation-without-consequence", "clause_id", "obligation_id", f"concat('No consequence: ', {sql_cut('summary', 80)})", "FROM corpus_obligations WHERE NOT informational AND NOT has_consequence"),
     "deadline-unresolvable": _rule("deadline-unresolvable", "clause_id", "deadline_id", f"concat('No date: ', {sql_cut('description', 80)})", "FROM resolved WHERE reason IS NOT NULL"),
     "short-notice-period": _rule("short-notice-period", "clause_id", "deadline_id", "concat('Notice period of ', n_days, ' days')", "FROM (SELECT d.*, a.n_days, a.l_returnflag FROM corpus_deadlines d JOIN corpus_a a USING (document_id, clause_id)) z WHERE l_returnflag <> 'A' AND n_days BETWEEN 1 AND 29"),
@@ -206,7 +207,7 @@ def k9(spark, sf_dir):
     return _shown(K.one_sided_termination(m.clauses, known, m.rights))
 
 
-@query("k_renewal_without_window", "K10", ctes("corpus_a") + _rule("renewal-without-notice-window", "clause_id", "clause_id", "'Renewal without notice deadline: RENEWAL'", "FROM corpus_a WHERE l_returnflag NOT IN ('A', 'R') AND l_linenumber % 4 = 0"))
+@query("k_renewal_without_window", "K10", ctes("corpus_a") + _rule("renewal-without-notice-window", "clause_id", "clause_id", "'Renewal without notice deadline: RENEWAL'", "FROM corpus_a WHERE l_returnflag NOT IN ('A', 'R') AND l_linenumber = 4 AND l_partkey % 2 = 0"))
 def k10(spark, sf_dir):
     m = model(spark, sf_dir)
     return _shown(K.renewal_without_window(m.clauses, m.deadlines.where("date_type <> 'unspecified'"), m.conditions))

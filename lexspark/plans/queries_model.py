@@ -189,7 +189,7 @@ def cycles(spark, sf_dir):
     return R.cycles(cross_references(a).select("document_id", F.col("clause_id").alias("from_id"), F.col("to_clause_id").alias("to_id")))
 
 
-@query("edge_semantics", "R12 R16 R17 R18", DUTIES + f""", {_DERIVED} SELECT document_id, CASE WHEN type IN ('document-has-party', 'document-has-clause') THEN 'structure' WHEN type IN ('clause-sets-deadline', 'obligation-has-deadline') THEN 'timing' ELSE 'duty' END AS about, count(*) AS n FROM derived GROUP BY ALL""")
+@query("edge_semantics", "R12 R16 R17 R18", DUTIES + f""", {_DERIVED} SELECT document_id, CASE WHEN type IN ('document-has-party', 'document-has-clause') THEN 'structure' WHEN type IN ('clause-sets-deadline', 'obligation-has-deadline') THEN 'time' ELSE 'duties' END AS about, count(*) AS n FROM derived GROUP BY ALL""")
 def edge_semantics(spark, sf_dir):
     m = model(spark, sf_dir)
     e = R.derive_edges(m.clauses, m.parties, m.obligations, m.rights, m.deadlines)
@@ -380,7 +380,7 @@ def clause_search(spark, sf_dir):
 
 @query(
     "checklist", "P1",
-    DUTIES + f""", {SIGNALS} SELECT document_id, CASE status WHEN 'unresolved' THEN 'undated-deadline' WHEN 'unknown' THEN 'undated-duty' ELSE status END AS kind, CASE status WHEN 'overdue' THEN 'high' ELSE 'medium' END AS severity, obligation_id AS item_id FROM assessed WHERE status IN ('overdue', 'due', 'unresolved', 'unknown')
+    DUTIES + f""", {SIGNALS} SELECT document_id, CASE WHEN status = 'unknown' AND deadline_found THEN 'undated-deadline' WHEN status = 'unknown' THEN 'undated-duty' ELSE status END AS kind, CASE status WHEN 'overdue' THEN 'high' ELSE 'medium' END AS severity, obligation_id AS item_id FROM assessed WHERE status IN ('overdue', 'due', 'unknown')
       UNION ALL SELECT document_id, 'risk', severity, finding_id FROM signals WHERE severity = 'medium'""",
 )
 def checklist(spark, sf_dir):
@@ -477,7 +477,7 @@ def interval_merge(spark, sf_dir):
 
 @query(
     "workspace_gaps", "U7",
-    DUTIES + f", {SIGNALS} SELECT document_id, CASE status WHEN 'unknown' THEN 'no-timing' ELSE 'no-date' END AS gap, count(*) AS n FROM assessed WHERE status IN ('unknown', 'unresolved') GROUP BY ALL UNION ALL SELECT document_id, concat('finding-', severity), count(*) FROM signals GROUP BY ALL",
+    DUTIES + f", {SIGNALS} SELECT document_id, CASE WHEN deadline_found THEN 'no-date' ELSE 'no-timing' END AS gap, count(*) AS n FROM assessed WHERE status = 'unknown' GROUP BY ALL UNION ALL SELECT document_id, concat('finding-', severity), count(*) FROM signals GROUP BY ALL",
 )
 def workspace_gaps(spark, sf_dir):
     return U.gaps(assessed(spark, sf_dir), signals(spark, sf_dir))

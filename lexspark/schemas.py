@@ -46,7 +46,7 @@ EDGE_TYPES: dict[str, tuple[list[str], list[str]]] = {
 SEVERITIES = ["critical", "high", "medium", "low", "info", "unknown"]
 UNIT_DAYS = {"day": (1, True), "week": (7, True), "month": (30, False), "year": (365, False)}
 # Months or days of a named recurrence.
-RECURRENCES = {"daily": (1, "day"), "weekly": (7, "day"), "monthly": (1, "month"), "quarterly": (3, "month"), "yearly": (12, "month"), "annually": (12, "month")}
+RECURRENCES = {"daily": (1, "day"), "weekly": (7, "day"), "monthly": (1, "month"), "quarterly": (3, "month"), "annually": (12, "month"), "semi-annually": (6, "month")}
 
 _BASE = "document_id bigint, id string"
 TABLES = {

@@ -5,12 +5,14 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.operators import ask as A
 from lexspark.operators import clauses as C
 from lexspark.operators import compare as M
 from lexspark.operators import consistency as I
 from lexspark.operators import deadlines as D
 from lexspark.operators import drafts as X
 from lexspark.operators import graph as R
+from lexspark.operators import risk as K
 from lexspark.operators import views as U
 
 
@@ -36,22 +38,24 @@ def test_periods(spark):
 
 def test_status_truth_table(spark):
     day = F.lit("2026-01-01").cast("date")
-    case = lambda *a: one(spark, D.status(*[F.lit(x) for x in a[:3]], F.lit(a[3]).cast("date"), day))
-    assert case(True, True, False, "2020-01-01") == "informational"
-    assert case(False, False, True, None) == "conditional"
-    assert case(False, False, False, None) == "unknown"
-    assert case(False, True, False, None) == "unresolved"
-    assert [case(False, True, False, d) for d in ("2025-12-31", "2026-01-01", "2026-01-31", "2026-02-01")] == ["overdue", "due", "due", "upcoming"]
+    case = lambda *a: one(spark, D.status(*[F.lit(x) for x in a[:2]], F.lit(a[2]).cast("date"), day))
+    assert case(True, False, "2020-01-01") == "informational"
+    assert case(False, True, None) == "conditional"
+    assert case(False, False, None) == "unknown"
+    assert [case(False, False, d) for d in ("2025-12-31", "2026-01-01", "2026-01-31", "2026-02-01")] == ["overdue", "due", "due", "upcoming"]
 
 
 def test_recurrence_and_month_ends(spark):
     day = F.lit("2026-03-15").cast("date")
     nxt = lambda a, r: one(spark, D.next_occurrence(F.lit(a).cast("date"), F.lit(r), day))
-    assert nxt("2026-01-31", "monthly") == date(2026, 3, 31)
-    assert nxt("2025-03-15", "yearly") == date(2026, 3, 15)
+    assert nxt("2026-01-31", "monthly") == date(2026, 4, 3)  # by way of 3 March, which the day before ran on to
+    assert nxt("2025-03-15", "annually") == date(2026, 3, 15)
+    assert nxt("2025-09-15", "Semi-Annually") == date(2026, 3, 15)
+    assert nxt("2020-01-01", "daily") == date(2021, 2, 4)  # 400 steps
+    assert nxt("2020-01-01", "fortnightly") is None
     assert nxt("2026-03-01", "weekly") == date(2026, 3, 15)
-    assert one(spark, D.add_period(F.lit("2026-01-31").cast("date"), F.lit(1), F.lit("month"))) == date(2026, 2, 28)
-    assert one(spark, D.add_period(F.lit("2026-01-31").cast("date"), F.lit(1), F.lit("month"), overflow=True)) == date(2026, 3, 3)
+    assert one(spark, D.add_period(F.lit("2026-01-31").cast("date"), F.lit(1), F.lit("month"))) == date(2026, 3, 3)
+    assert one(spark, D.add_period(F.lit("2024-02-29").cast("date"), F.lit(1), F.lit("year"))) == date(2025, 3, 1)
 
 
 def test_notice_conflict_reads_only_near_notice_words(spark):
@@ -97,3 +101,35 @@ def test_streaming_arrivals_import():
     from lexspark.streaming import arrivals
 
     assert arrivals.__doc__
+
+
+def test_duties_by_trigger_standard_and_effective_date(spark):
+    """What the truth table of the reference says: a trigger needs a condition, an effective date is an anchor, recurrence needs its type."""
+    as_of = F.lit("2026-01-01").cast("date")
+    deadlines = spark.createDataFrame(
+        [(1, "r", None, "recurring", None, None, "monthly", None), (1, "n", None, "relative", None, None, "monthly", None), (1, "o", None, "relative", 10, "day", None, None), (2, "o", None, "relative", 10, "day", None, None), (1, "f", date(2026, 1, 31), "fixed", 10, "day", None, None)],
+        "document_id long, id string, date date, date_type string, offset_amount int, offset_unit string, recurrence string, anchor_date date",
+    )
+    effective = spark.createDataFrame([(1, date(2025, 12, 20))], "document_id long, effective_date date")
+    got = values(D.resolve(deadlines, as_of, effective).select("document_id", "id", "resolved_date", "reason"), "document_id", "id")
+    assert got == [(1, "f", date(2026, 1, 31), None), (1, "n", None, "no-date-stated"), (1, "o", date(2025, 12, 30), None), (1, "r", date(2026, 1, 20), None), (2, "o", None, "no-anchor-date")]
+    duties = spark.createDataFrame(
+        [(1, "a", "o", None, None, None, False), (2, "b", "o", "k", None, None, False), (2, "c", "o", None, "on delivery", None, False), (2, "d", None, None, "on delivery", None, False), (1, "e", "f", None, None, "informational", False), (1, "g", "gone", "k", None, None, False)],
+        "document_id long, id string, deadline_id string, trigger_condition_id string, trigger_text string, standard string, informational boolean",
+    )
+    assert values(D.assess(duties, deadlines, as_of, effective).select("id", "status", "days_left"), "id") == [("a", "overdue", -2), ("b", "conditional", None), ("c", "unknown", None), ("d", "unknown", None), ("e", "informational", None), ("g", "conditional", None)]
+
+
+def test_edge_words(spark):
+    rows = spark.createDataFrame([("clause-references",), ("condition-triggers",), ("document-has-party",), ("made-up-type",)], "t string").select("t", R.semantics(F.col("t")), R.label(F.col("t")))
+    assert values(rows, "t") == [("clause-references", "reference", "references clause"), ("condition-triggers", "time", "triggers"), ("document-has-party", "structure", "has party"), ("made-up-type", "reference", "made up type")]
+
+
+def test_confidence(spark):
+    level = lambda *a: one(spark, A.confidence(*[F.lit(x) for x in a]))  # noqa: E731  top score, verified, failed, cited, injected
+    assert [level(9, 2, 0, 2, False), level(9, 1, 1, 2, False), level(9, 1, 0, 2, False), level(5, 2, 0, 2, False), level(1, 0, 1, 1, True), level(1, 0, 1, 1, False), level(1, 0, 0, 1, False)] == ["high", "low", "medium", "medium", "none", "none", "low"]
+
+
+def test_termination_wording(spark):
+    says = lambda text: one(spark, T.matches(F.lit(text), K.PATTERNS["termination-act"]))
+    assert [says(t) for t in ("The Buyer shall be entitled to terminate", "The Buyer may suspend", "a right to terminate", "shall terminate", "is entitled to terminate", "right to suspend", "may lawfully terminate")] == [True, True, True, False, False, False, False]
