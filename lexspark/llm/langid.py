@@ -15,43 +15,48 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import map_batches
 
 #: Longest context in bytes.
 ORDER = 4
-#: Bounds of the training sample: documents and distinct words of a language.
-SAMPLE_DOCS, SAMPLE_WORDS = 2_000, 10_000
+#: Bound of the training sample: distinct texts of a language.
+SAMPLE_DOCS = 2_000
 #: A text that costs more bits a byte than this in every language is in none of them. Bytes by
 #: chance cost over 8, prose in a learnt language 2 to 4.
 MOST_BITS = 7.0
 
+#: Texts that are scored together, and bytes that one vectorised pass codes.
+TOGETHER, PASS = 100, 200_000
+
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
+#: What a context tree reads: lower-cased UTF-8 with one space between words and around the text.
+_PAD = b"    "
 
 
 def has_letter(text: str) -> bool:
     return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text)
 
 
-def _grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The bytes to code of words that each end with a space.
+def coded(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").split()) + b" "
+
 
-    Returns for each byte the word it belongs to and the context that it has, in bytes, and for
-    each gram length the bytes up to it as one number, the latest byte lowest.
+def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each text's bytes start, and for each gram length the bytes up to each byte as one number, the latest lowest.
+
+    The context of a text's first bytes is a run of spaces, and not the text before it.
     """
-    text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    owner = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])
-    start = np.concatenate([[0], ends[:-1]])[owner]
-    have = np.arange(1, len(text)) - start
-    keys, key = [], np.zeros(len(text), np.int64)
+    text = np.frombuffer(b"".join(_PAD[:order] + t for t in texts), np.uint8)
+    length = np.array([len(t) for t in texts])
+    start = np.cumsum(length) - length
+    at = np.arange(length.sum()) + np.repeat((np.arange(len(texts)) + 1) * order, length)
+    keys, key = [], np.zeros(len(at), np.int64)
     for back in range(order + 1):
-        key = key.copy()
-        key[back:] |= text[: len(text) - back].astype(np.int64) << (8 * back)
-        keys.append(key[1:])
-    return owner, have, keys
+        key = key | text[at - back].astype(np.int64) << (8 * back)
+        keys.append(key)
+    return start, keys
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,114 +68,121 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ContextTrees:
-    """Byte context trees of all languages, built from word counts and then frozen.
+    """Byte context trees of all languages, built from counts of the longest grams and then frozen.
 
-    A word is coded byte by byte and ends with a space; the context of a byte is what precedes it
-    in its word, the space before the word included, up to ``order`` bytes. A byte is coded at the
-    longest context of the tree that has seen it, after an escape for each longer context that has
-    not; below the empty context all 256 bytes are equally likely.
+    A text is coded byte by byte; the context of a byte is what precedes it, over the spaces too,
+    up to ``order`` bytes. A byte is coded at the longest context of the tree that has seen it,
+    after an escape for each longer context that has not; below the empty context all 256 bytes
+    are equally likely.
     """
 
-    def __init__(self, words: dict[str, dict[bytes, int]], order: int = ORDER, remembered: int = 100_000):
-        if order > 6:
-            raise ValueError("a context and its byte must fit in 64 bits")
-        self.words, self.order, self.remembered = words, order, remembered
-        self.languages = sorted(words)
+    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        """``grams``: for each language the distinct grams of ``order + 1`` bytes as numbers, and their counts."""
+        if order > len(_PAD):
+            raise ValueError(f"contexts have at most {len(_PAD)} bytes")
+        self.grams, self.order = grams, order
+        self.languages = sorted(grams)
         self.frozen = False
 
+    @classmethod
+    def of_texts(cls, texts: dict[str, list[str]], order: int = ORDER) -> ContextTrees:
+        return cls({lang: np.unique(_grams([coded(t) for t in some], order)[1][order], return_counts=True) for lang, some in texts.items()}, order)
+
     def freeze(self) -> ContextTrees:
         """Turn counts into code lengths, a row over the languages for each gram and each context."""
-        n, counts = len(self.languages), []
-        for at, lang in enumerate(self.languages):
-            _, have, keys = _grams(list(self.words[lang]), self.order)
-            weight = np.repeat(list(self.words[lang].values()), [len(w) + 1 for w in self.words[lang]])
-            for back, key in enumerate(keys):
-                kinds, inverse = np.unique(key[have >= back], return_inverse=True)
-                counts.append((at, back, kinds, np.bincount(inverse, weights=weight[have >= back], minlength=len(kinds))))
+        n = len(self.languages)
         self.gram, self.bits, self.context, self.escape = [], [], [], []
         for back in range(self.order + 1):
-            mine = [c for c in counts if c[1] == back]
-            gram = np.unique(np.concatenate([c[2] for c in mine])) if mine else np.zeros(0, np.int64)
+            low = (1 << 8 * (back + 1)) - 1
+            gram = np.unique(np.concatenate([self.grams[lang][0] & low for lang in self.languages])) if n else np.zeros(0, np.int64)
             k = np.zeros((len(gram), n))
-            for at, _, kinds, number in mine:
-                k[np.searchsorted(gram, kinds), at] = number
+            for at, lang in enumerate(self.languages):
+                grams, counts = self.grams[lang]
+                k[:, at] = np.bincount(np.searchsorted(gram, grams & low), weights=counts, minlength=len(gram))
             context, inverse = np.unique(gram >> 8, return_inverse=True)
             total, kinds = np.zeros((len(context), n)), np.zeros((len(context), n))
             np.add.at(total, inverse, k)
             np.add.at(kinds, inverse, k > 0)
             both = np.maximum(total + kinds, 1)
-            escape = np.log2(both / np.maximum(kinds, 1))
+            escape = np.where(kinds > 0, np.log2(both / np.maximum(kinds, 1)), 0.0)
             shorter = self.bits[-1][np.searchsorted(self.gram[-1], gram & ((1 << 8 * back) - 1))] if back else 8.0
             self.bits.append(np.where(k > 0, np.log2(both[inverse] / np.maximum(k, 1)), escape[inverse] + shorter))
             self.gram.append(gram)
             self.context.append(context)
             self.escape.append(escape)
-        self.seen: dict[bytes, int] = {}
-        self.cost = np.zeros((1 << 12, n))
         self.frozen = True
         return self
 
-    def word_bits(self, words: list[bytes]) -> np.ndarray:
-        """Code length of each word and the space after it, in each language."""
-        owner, have, keys = _grams(words, self.order)
-        out = np.zeros((len(owner), len(self.languages)))
-        todo = np.arange(len(owner))
+    def byte_bits(self, keys: list[np.ndarray]) -> np.ndarray:
+        """Code length of each byte in each language."""
+        out = np.zeros((len(keys[0]), len(self.languages)))
+        todo = np.arange(len(out))
         for back in range(self.order, -1, -1):
-            ready = have[todo] >= back
-            now = todo[ready]
-            at, there = _find(self.gram[back], keys[back][now])
-            out[now[there]] += self.bits[back][at[there]]
-            miss = now[~there]
-            at, there = _find(self.context[back], keys[back][miss] >> 8)
-            out[miss[there]] += self.escape[back][at[there]]
-            todo = np.concatenate([todo[~ready], miss])
+            at, there = _find(self.gram[back], keys[back][todo])
+            out[todo[there]] += self.bits[back][at[there]]
+            todo = todo[~there]
+            at, there = _find(self.context[back], keys[back][todo] >> 8)
+            out[todo[there]] += self.escape[back][at[there]]
         out[todo] += 8.0
-        return np.add.reduceat(out, np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])[:-1]]), axis=0)
+        return out
 
     def text_bits(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """Code length of each whole text in each language, and the bytes coded."""
-        split = [t.lower().encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*split) - self.seen.keys()
-        if len(self.seen) + len(new) > self.remembered and self.seen:
-            self.seen.clear()
-            new = set().union(*split)
-        if new:
-            words = list(new)
-            first = len(self.seen)
-            if first + len(words) > len(self.cost):
-                grown = np.zeros((2 * (first + len(words)), len(self.languages)))
-                grown[:first] = self.cost[:first]
-                self.cost = grown
-            for a in range(0, len(words), 20_000):
-                part = words[a : a + 20_000]
-                self.cost[first + a : first + a + len(part)] = self.word_bits(part)
-            self.seen.update(zip(words, range(first, first + len(words)), strict=True))
-        seen, out = self.seen.__getitem__, []
-        for words in split:
-            at = np.fromiter(map(seen, words), np.int64, len(words))
-            out.append((self.cost[at].sum(axis=0), sum(map(len, words)) + len(words)))
+        """Code length of each whole text in each language, and the bytes coded; texts of a white space only have one."""
+        raw = [coded(t) for t in texts]
+        out: list[tuple[np.ndarray, int]] = []
+        a = 0
+        while a < len(raw):
+            b, size = a, 0
+            while b < len(raw) and (b == a or size + len(raw[b]) <= PASS):
+                size += len(raw[b])
+                b += 1
+            if b == a + 1 and size > PASS:  # one long text, piece by piece, each with the bytes before it as its context
+                total = np.zeros(len(self.languages))
+                for i in range(0, size, PASS):
+                    first = max(0, i - self.order)
+                    _, keys = _grams([raw[a][first : i + PASS]], self.order)
+                    total += self.byte_bits([k[i - first :] for k in keys]).sum(axis=0)
+                out.append((total, size))
+            else:
+                start, keys = _grams(raw[a:b], self.order)
+                out += zip(np.add.reduceat(self.byte_bits(keys), start, axis=0), map(len, raw[a:b]), strict=True)
+            a = b
         return out
 
 
-def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> ContextTrees:
-    """Learn from ``docs(text, lang)``: a sample of about ``sample_docs`` documents of each language.
+def _count(order: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, part in batch.groupby("lang", sort=False):
+                grams, counts = np.unique(_grams([coded(t) for t in part["text"]], order)[1][order], return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": grams, "n": counts})
 
-    The sample is drawn by a hash of the text, so it does not depend on partitions. What reaches
-    the driver is at most ``sample_words`` words with counts for each language.
+    return run
+
+
+def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
+    """Learn from ``docs(text, lang)``: a sample of about ``sample_docs`` distinct texts of each language, all if there are fewer.
+
+    A text is drawn by its hash, and once however many copies it has, so the sample depends neither
+    on partitions nor on groups of copies. Only the counts of its grams come to the driver; the
+    sample bounds them.
     """
-    labelled = docs.where("text is not null and lang is not null").select("text", "lang")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs"))
-    share = {r["lang"]: min(1.0, sample_docs / r["docs"]) for r in sizes.collect()}
+    labelled = docs.where("text is not null and lang is not null").select("text", "lang").withColumn("h", F.xxhash64("text"))
+    # Copies fall together before anything is shuffled: a pair of hashes for each row, one for each group of copies.
+    sizes = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("texts"))
+    share = {r["lang"]: sample_docs / r["texts"] for r in sizes.collect()}
     if not share:
         return ContextTrees({}, order)
-    limit = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, int(part * 1_000_000))])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit[F.col("lang")])
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    best = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= sample_words)
-    counts: dict[str, dict[bytes, int]] = {}
-    for r in best.select("lang", "word", "n").collect():
-        counts.setdefault(r["lang"], {})[r["word"].encode("utf-8", "surrogatepass")] = r["n"]
-    return ContextTrees(counts, order)
+    limit = F.create_map(*[F.lit(x) for lang, part in share.items() for x in (lang, hash_limit(part))])
+    sample = labelled.where(F.col("h") <= limit[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    counts = map_batches(sample.select("lang", "text"), _count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = counts.orderBy("lang", "gram").toPandas()
+    return ContextTrees({lang: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(float)) for lang, part in found.groupby("lang")}, order)
+
+
+def hash_limit(share: float) -> int:
+    """The signed 64-bit hash up to which this share of hashes lies; never below the smallest few, whatever the number of texts."""
+    return min(2**63 - 1, -(2**63) + max(1, int(share * 2**64)))
 
 
 #: The trees that this Python worker has frozen, by training.
@@ -184,15 +196,11 @@ def _frozen(shared, name: str) -> ContextTrees:
     return _FROZEN[name]
 
 
-#: Texts that are scored together.
-TOGETHER = 200
-
-
 def _judged(trees: ContextTrees, texts: list, most_bits: float) -> list[tuple[str, float, float | None, bool]]:
     out: list = [(UNKNOWN, 0.0, None, True)] * len(texts)
     for a in range(0, len(texts), TOGETHER):
         at = [i for i in range(a, min(a + TOGETHER, len(texts))) if texts[i] and trees.languages and has_letter(texts[i])]
-        for i, (bits, n) in zip(at, trees.text_bits([texts[i] for i in at]) if at else [], strict=True):
+        for i, (bits, n) in zip(at, trees.text_bits([texts[i] for i in at]), strict=True):
             best = int(np.argmin(bits))
             chance = 1.0 / np.exp2(np.minimum(bits[best] - bits, 0.0)).sum()
             out[i] = (trees.languages[best], float(chance), float(bits[best] / n), bool(bits[best] > most_bits * n))
