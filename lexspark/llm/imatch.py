@@ -1,8 +1,8 @@
 """I-Match document fingerprints (Chowdhury et al., 2002; several lexicons after Kolcz et al., 2004).
 
 DataFrame functions only. Document frequencies of all terms give a lexicon: the terms within a band
-of inverse document frequency. The lexicon is a bitmap of fixed size over term hashes, so it stays
-small whatever the corpus. Of a text's distinct lexicon terms, sorted, several randomised subsets
+of inverse document frequency. It holds the hashes of these terms, no others, in a fixed number of
+buckets; the band bounds their number whatever the corpus. Of a text's distinct lexicon terms, sorted, several randomised subsets
 are hashed, one hash for each sub-lexicon; two texts are alike as far as these hashes agree.
 """
 
@@ -16,8 +16,9 @@ from .common import discard, materialize
 
 #: Band of the share of documents that have a term: at least 2 documents, and at most this share.
 LEAST_DOCS, LEAST_SHARE, MOST_SHARE = 2, 0.001, 0.1
-#: Bits of the lexicon's bitmap. At most (mean distinct terms) / LEAST_SHARE terms are in the band.
-BITS = 1 << 20
+#: Buckets of the lexicon, so that a look-up reads a few terms. At most (mean distinct terms) / LEAST_SHARE
+#: terms are in the band: 100,000 where texts have 100 distinct terms, 800 KB, of a corpus of any size.
+BUCKETS = 1 << 16
 #: Sub-lexicons: of each level one residue in MODULI[level] of a keyed hash, for SUBSETS residues.
 MODULI, SUBSETS = (16, 64, 256, 1024), 16
 #: Non-empty sub-lexicons that a level needs to count, besides the first.
@@ -31,24 +32,19 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE, bits: int = BITS) -> DataFrame:
-    """One row with ``bitmap``: 64-bit words in which the bits of the band's terms are set.
-
-    Two terms may share a bit; then both are in the lexicon if one is, for every text alike.
-    """
+def lexicon(docs: DataFrame, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE, buckets: int = BUCKETS) -> DataFrame:
+    """One row with ``lexicon``: the hashes of the band's terms, as one array for each bucket."""
     total = F.lit(docs.count())
     seen = docs.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = seen.where((F.col("df") >= F.greatest(F.lit(least_docs), total * least_share)) & (F.col("df") <= F.greatest(F.lit(float(least_docs)), total * most_share)))
-    bit = F.pmod("term", F.lit(bits))
-    word = band.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(term, {bits}) % 64 as int))")).alias("word"))
-    every = docs.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("at")).join(word, "at", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))), lambda s: s["word"]).alias("bitmap"))
+    filled = band.groupBy(F.pmod("term", F.lit(buckets)).cast("int").alias("at")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms")))), lambda s: s["terms"]).alias("lexicon"))
 
 
-def lexicon_terms(terms: Column, bitmap: Column, bits: int = BITS) -> Column:
+def lexicon_terms(terms: Column, lexicon: Column, buckets: int = BUCKETS) -> Column:
     """The terms that are in the lexicon, sorted; all terms of a text that has none of it."""
-    at = lambda t: F.pmod(t, F.lit(bits))
-    inside = F.filter(terms, lambda t: F.getbit(F.element_at(bitmap, (F.shiftright(at(t), 6) + 1).cast("int")), (at(t) % 64).cast("int")) == 1)
+    inside = F.filter(terms, lambda t: F.array_contains(F.element_at(lexicon, (F.pmod(t, F.lit(buckets)) + 1).cast("int")), t))
     chosen = F.transform(F.array(inside), lambda found: F.when(F.size(found) > 0, found).otherwise(terms))
     return F.sort_array(F.element_at(chosen, 1))
 
@@ -120,17 +116,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # Both uses of the texts below are one plan, so that Spark shuffles them once.
     unique = keyed.dropDuplicates(["id", "th"])
     order = materialize(following(keyed.groupBy("id", "th").agg(F.first(F.length("text")).alias("n"), F.count("*").alias("copies"))), "order")
-    bitmap = materialize(lexicon(base.select("text")), "lexicon")
+    words = materialize(lexicon(base.select("text")), "lexicon")
     wanted = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), "copies", F.floor(F.col("n") / 4).cast("int").alias("need"))
     heads = unique.join(wanted, ["id", "th"]).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.col("id").alias("next_id"), F.col("th").alias("next_th"), "copies", "need", F.expr("substring(text, 1, need)").alias("head"))
     both = unique.join(heads, ["id", "th"]).withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - need)"), "head"))
     keep = ["id", "th", "next_id", "next_th", "copies", "n_chars"]
     picked = both.select(*keep, "edited", term_hashes(F.col("text")).alias("f"), term_hashes(F.col("edited")).alias("e"))
-    # The bitmap is one value of fixed size, so it can stand beside every row.
-    picked = picked.withColumn("bitmap", bitmap.scalar()).select(*keep, F.unhex(F.sha2("edited", 256)).alias("sha"), *(lexicon_terms(F.col(c), F.col("bitmap")).alias(c) for c in "fe"))
+    # The lexicon is one value of bounded size, so it can stand beside every row.
+    picked = picked.withColumn("lexicon", words.scalar()).select(*keep, F.unhex(F.sha2("edited", 256)).alias("sha"), *(lexicon_terms(F.col(c), F.col("lexicon")).alias(c) for c in "fe"))
     made = materialize(picked.select(*keep, "sha", *(subset_hashes(F.col(c)).alias(c) for c in "fe")), "fingerprints")
-    discard(order, bitmap)
+    discard(order, words)
     after = made.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("f").alias("g"))
     out = made.join(after, ["next_id", "next_th"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(

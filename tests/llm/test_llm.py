@@ -177,6 +177,23 @@ def test_fingerprints(spark, docs):
     assert sum(g["near_edited"] for g in got.values()) > sum(g["near_next"] for g in got.values()) + 0.2 * len(ids)
 
 
+def test_lexicon_is_the_band(spark, docs):
+    """Exactly the terms within the band, whatever the number of buckets; a look-up finds these and no others."""
+    sets = [set(re.findall(r"[^\W_]+", (r["text"] or "").lower())) for r in docs.collect()]
+    df = defaultdict(int)
+    for x in sets:
+        for term in x:
+            df[term] += 1
+    band = {t for t, n in df.items() if max(2, 0.001 * len(sets)) <= n <= max(2, 0.1 * len(sets))}
+    hashed = lambda terms: {r["h"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.xxhash64("t").alias("h")).collect()}
+    for buckets in (1 << 16, 7):
+        row = imatch.lexicon(docs, buckets=buckets).first()["lexicon"]
+        assert len(row) == buckets and {h for part in row for h in part} == hashed(band)
+    some = sorted(band)[:50] + sorted(set(df) - band)[:50]
+    words = imatch.lexicon(docs, buckets=7).crossJoin(spark.createDataFrame([(some,)], "terms array<string>")).select("lexicon", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
+    assert set(words.select(imatch.lexicon_terms(F.col("terms"), F.col("lexicon"), 7).alias("x")).first()["x"]) == hashed(some[:50])
+
+
 def test_fingerprints_odd_rows(odd, none):
     got = imatch.fingerprints(odd).collect()
     assert len(got) == 7 and imatch.fingerprints(none).count() == 0
@@ -248,11 +265,52 @@ def test_language_held_out_accuracy(spark, none, odd):
     assert langid.identify(none, langid.train(none)).count() == 0
 
 
-def test_code_lengths_sum_to_one():
-    """Escape probabilities leave no more than the whole for each byte."""
-    trees = langid.ContextTrees({"x": {b"ab": 3, b"ac": 1}}).freeze()
-    bits = trees.word_bits([bytes([c]) for c in range(33, 256)])[:, 0]
-    assert (2.0**-bits).sum() <= 1 and trees.word_bits([b"ab"])[0, 0] < trees.word_bits([b"ac"])[0, 0] < trees.word_bits([b"zz"])[0, 0]
+def brute_bits(learnt, text, order):
+    """Prediction by partial matching with escape method C, a byte at a time, from all counts of all contexts."""
+    seen = defaultdict(lambda: defaultdict(int))
+    for t in learnt:
+        raw = b" " * order + langid.coded(t)
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                seen[raw[i - k : i]][raw[i]] += 1
+    raw, bits = b" " * order + langid.coded(text), 0.0
+    for i in range(order, len(raw)):
+        for k in range(order, -1, -1):
+            after = seen.get(raw[i - k : i])
+            if after is None:
+                continue
+            both = sum(after.values()) + len(after)
+            if raw[i] in after:
+                bits -= np.log2(after[raw[i]] / both)
+                break
+            bits -= np.log2(len(after) / both)
+        else:
+            bits += 8.0
+    return bits
+
+
+def test_code_lengths_are_those_of_ppm(monkeypatch):
+    learnt = {"x": ["the cat sat on the mat", "that hat"], "y": ["der Hund und die Katze", "den Hut", "ü"]}
+    trees = langid.ContextTrees.of_texts(learnt).freeze()
+    texts = ["the hat", "der cat und", "zzz  zz", "Ünd", "a" * 50, "the der " * 30]
+    for limit in (langid.PASS, 64, 7):
+        monkeypatch.setattr(langid, "PASS", limit)
+        for text, (bits, n) in zip(texts, trees.text_bits(texts), strict=True):
+            assert n == len(langid.coded(text)) and np.allclose(bits, [brute_bits(learnt[lang], text, 4) for lang in "xy"])
+
+
+def test_language_sample_of_any_size(spark):
+    """The share of hashes is kept at billions of documents; a language of a few hot texts is learnt once each."""
+    for docs in (10**4, 3 * 10**9, 10**13):
+        assert abs((langid.hash_limit(2_000 / docs) + 2**63) / 2**64 * docs - 2_000) < 1
+    assert langid.hash_limit(1.0) == langid.hash_limit(7.5) == 2**63 - 1
+    rows = [("the cat sat on the mat", "en")] * 3_000 + [("der Hund und die Katze", "de")] * 3 + [(None, "fr"), ("le chat", None)]
+    table = spark.createDataFrame(rows, "text string, lang string").withColumn("gram", F.lit(1))
+    trees = langid.train(table, sample_docs=5)
+    want = langid.ContextTrees.of_texts({"en": [rows[0][0]], "de": [rows[3_000][0]]})
+    assert trees.languages == ["de", "en"]
+    for lang in trees.languages:
+        assert all((a == b).all() for a, b in zip(trees.grams[lang], want.grams[lang], strict=True))
 
 
 # --- mixing ------------------------------------------------------------------------------------
