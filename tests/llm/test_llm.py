@@ -409,7 +409,39 @@ def test_main_text_is_whole(html):
     assert extract.main_text(page).split() == re.sub("<[^>]*>", " ", page).split()
 
 
+def test_ratios_decide_what_is_content(monkeypatch):
+    """Without any element or name to go by, the ratios find the text; turned round, they find something else."""
+    links = "<div>" + "<a href='x'>Some link</a><br>" * 8 + "</div>"
+    page = f"<body><div>{'<span><i><b>Go</b></i></span><div>On</div>' * 9}</div>{links}<div><h2>Head</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>{links}<div>{'<div>x</div>' * 20}</div></body>"
+    assert extract.main_text(page).split() == ["Head", *LONG.split(), "Short.", *LONG.split()]
+    plain = f"<body><nav>{links}</nav><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></article></body>"
+    right = [extract.main_text(p) for p in (page, plain)]
+    monkeypatch.setattr(extract, "clustered", lambda ratio: (level := extract.smoothed(-np.log1p(ratio))) >= level.mean())
+    assert all(extract.main_text(p) != r for p, r in zip((page, plain), right, strict=True))
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><div class='promo'><article><p>Real text</p></article></div></body>", "Real text"),
+    ("<body><div class='social-study'><p>{0}</p></div><nav>Menu</nav></body>", "{0}"),
+    ("<body><article><p>Real text here</p></article><div class='promo'><p>{0}</p></div></body>", "Real text here"),
+    ("<body><article><p>{0}</p></article><div id='comments'><article><h1>Re</h1><p>{0}{0}{0}</p></article></div></body>", "{0}"),
+    ("<body>" + "<p>same line</p>" * 5 + "</body>", "\n\n".join(["same line"] * 5)),
+])
+def test_names_and_ties(html, want):
+    assert extract.main_text(html.format(LONG.strip())) == want.format(LONG.strip())
+
+
+def test_deep_and_long_pages():
+    """Unclosed elements at any depth, and stray end tags, in linear time; a very long text is whole."""
+    n = 20_000
+    assert extract.main_text("<div>x " * n).split() == ["x"] * n
+    assert extract.main_text("<b>x " * n + "</p>" * n).split() == ["x"] * n
+    assert len(extract.main_text(f"<p>{'word ' * 500_000}</p>")) == 2_499_999
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>Some text</p>", 1), (1, "u", "<p>Some text</p>", 1), (None, None, None, 1)], "page_id long, url string, html string, text int")
     assert sorted((r["text"], r["n_chars"]) for r in extract.extract(pages).collect()) == [("", 0), ("Some text", 9), ("Some text", 9)]
+    wide = pages.withColumn("n_chars", F.lit("x")).withColumn("named", F.lit(1))
+    assert extract.extract(wide).columns == ["page_id", "url", "text", "n_chars"]
     assert extract.extract(pages.limit(0)).count() == 0
