@@ -251,6 +251,70 @@ def test_licence_inheritance(spark):
     assert got == {"a/LICENSE": ("MIT", "own", None), "a/b/c/x.py": ("MIT", "inherited", "a"), "a/b/y.py": ("Apache-2.0", "own", None), "z.py": (None, "none", None), "a/b/COPYING.txt": ("MIT", "inherited", "a"), "q/w.py": (None, "none", None)}
 
 
+GPL3 = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main() {}
+"""
+WRAPPED = {
+    "gpl3.c": (GPL3, "GPL-3.0"), "gpl2.c": (GPL3.replace("version 3", "version 2"), "GPL-2.0"),
+    "lgpl.py": ("\n".join("# " + x for x in GPL3.split("\n")).replace("program", "library").replace("General Public", "Lesser General Public").replace("version 3", "version 2.1"), "LGPL-2.1"),
+    "isc.js": ("// Copyright (c) 2020, Someone\n//\n// Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby granted, provided that the above\n// copyright notice and this permission notice appear in all copies.\n\nvar x;", "ISC"),
+    "epl.java": ("/*\n * This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0/\n */", "EPL-2.0"),
+    "apache.py": ('# Copyright 2021 Someone\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\nimport os', "Apache-2.0"),
+    "spdx.c": ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), "both.rs": ("/* SPDX-License-Identifier: (mit or Apache-2.0) */\n", "(mit OR Apache-2.0)"),
+    "with.c": ("# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\nx", "GPL-2.0-only WITH Linux-syscall-note"),
+    "m/LICENSE": (f"MIT License\n\nCopyright (c) 2020 Some One\n\n{licenses._MIT}\n\n{licenses._MIT_KEEP}\n\n{licenses._AS_IS}\n", "MIT"),
+    "b/LICENSE.txt": (f"Copyright (c) 2020, Some One\n\n{licenses._BSD}\n\n{licenses._BSD_2}\n\n{licenses._BSD_AS_IS}\n", "BSD-2-Clause"),
+    "long.txt": ("prose without any cue " * 20_000 + "\nReleased under the MIT License.\n", "MIT"), "none.txt": ("We need a license to drive, and copyright is a topic of law.", None),
+}
+
+
+def test_licence_headers_and_files(spark):
+    """Wrapped headers, SPDX expressions, whole licence files; extra columns and a very long text."""
+    files = spark.createDataFrame([(p, t) for p, (t, _) in WRAPPED.items()], "path string, text string").withColumn("licence", F.lit("x")).withColumn("score", F.lit(1))
+    got = {r["path"]: r for r in licenses.scan(files).collect()}
+    assert {p: got[p]["licence"] for p in WRAPPED} == {p: want for p, (_, want) in WRAPPED.items()}
+    assert licenses.scan(files.limit(0)).count() == 0
+
+
+def test_licence_cosine_by_brute_force(spark, docs):
+    """The score of each document's own licence is the best cosine over its segments, and no template within reach is missed."""
+    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    split = lambda text: [w for w in re.split(r"[^a-z0-9.]+|\.(?![0-9])", text.lower()) if w]
+    n, df = len(licenses.TEMPLATES), defaultdict(int)
+    for _, text in licenses.TEMPLATES:
+        for w in set(split(text)):
+            df[w] += 1
+    idf = lambda w: np.log((1 + n) / (1 + df[w])) + 1 if w in df else np.log((1 + n) / 2) + 1
+
+    def vector(text):
+        out = defaultdict(float)
+        for w in split(text):
+            out[w] += idf(w)
+        return out, np.sqrt(sum(x * x for x in out.values()))
+
+    known = [(name, *vector(text)) for name, text in licenses.TEMPLATES]
+    best = {}
+    for r in licenses.segments(files).collect():
+        v, length = vector(r["segment"])
+        for name, t, norm in known:
+            score = round(sum(x * t[w] for w, x in v.items() if w in t) / (length * norm), 9) if length else 0.0
+            if score >= licenses.LEAST:
+                best[r["path"]] = min(best.get(r["path"], (0.0, "")), (-score, name))
+    got = {r["path"]: (-r["score"], r["licence"]) for r in licenses.own_licences(files).collect()}
+    assert got.keys() == best.keys() and len(best) >= 3
+    assert all(abs(got[p][0] - best[p][0]) < 1e-6 and got[p][1] == best[p][1] for p in best)
+
+
 # --- language ----------------------------------------------------------------------------------
 
 
