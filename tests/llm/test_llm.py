@@ -56,6 +56,45 @@ def test_neighbours_odd_rows(spark):
     assert ann_srs.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_nearest(rows, k):
+    """Of ``(vec_id, vector)`` the ``k`` best ids and scores of each id divisible by 20, over all others."""
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
+    out = {}
+    for q in {i for i in ids.tolist() if i % 20 == 0}:
+        best = {}
+        for mine in v[ids == q]:
+            for i, s in zip(ids.tolist(), (v @ mine).tolist(), strict=True):
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), s)
+        out[q] = sorted((-s, i) for i, s in best.items())[:k]
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.3, 1.0])
+def test_neighbours_over_many_blocks(spark, spread):
+    """Many cells, a hot vector that fills several blocks, ids with several vectors: recall, and how much is not looked at."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 16))
+    rows = [(i, (centres[i % 30] + spread * rng.standard_normal(16)).tolist()) for i in range(4_000)]
+    rows += [(i, [1.0] * 16) for i in range(4_000, 5_500)] + [(7, rng.standard_normal(16).tolist()), (7, [3.0] * 16), (40, [2.0] * 16)]
+    rows = [(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit("x")).withColumn("bound", F.lit(1))
+    work = []
+    got = defaultdict(list)
+    for r in ann_srs.nearest(table, F.col("vec_id") % 20 == 0, k=10, block=500, work=work).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    want = brute_nearest(rows, 10)
+    met = 0
+    for q, best in want.items():
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 11)) and len({i for _, i, _ in found}) == 10
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        met += sum(s >= -best[-1][0] - 1e-9 for _, _, s in found)
+    assert met >= 0.9 * 10 * len(want)
+    n_queries = sum(i % 20 == 0 for i, _ in rows)
+    assert work[1] < {0.05: 0.5, 0.3: 0.5, 1.0: 0.9}[spread] * n_queries * len(rows)
+
+
 # --- near-duplicates ---------------------------------------------------------------------------
 
 
