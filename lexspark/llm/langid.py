@@ -27,7 +27,7 @@ SAMPLE_DOCS = 2_000
 MOST_BITS = 7.0
 
 #: Texts that are scored together, and bytes that one vectorised pass codes.
-TOGETHER, PASS = 100, 200_000
+TOGETHER, PASS = 100, 100_000
 
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -154,8 +154,10 @@ def _count(order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, part in batch.groupby("lang", sort=False):
-                grams, counts = np.unique(_grams([coded(t) for t in part["text"]], order)[1][order], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": grams, "n": counts})
+                texts = part["text"].tolist()
+                for a in range(0, len(texts), TOGETHER):
+                    grams, counts = np.unique(_grams([coded(t) for t in texts[a : a + TOGETHER]], order)[1][order], return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "gram": grams, "n": counts})
 
     return run
 

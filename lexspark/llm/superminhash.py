@@ -29,7 +29,7 @@ WORDS, PERCENT = 5, 80
 #: Ratio of the sizes in a class of sets.
 CLASS = 1.02
 #: Shingles that one vectorised pass holds; bounds the memory of the rank permutations.
-PASS = 60_000
+PASS = 30_000
 #: Steps whose swaps are looked up one by one before whole permutations are laid out.
 LAZY = 8
 
@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes; remembers the hashes of words it has seen."""
 
-    def __init__(self, words: int, remembered: int = 200_000):
+    def __init__(self, words: int, remembered: int = 100_000):
         self.words, self.remembered, self.seen = words, remembered, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
