@@ -234,7 +234,7 @@ def risk_signals(spark, sf_dir):
     return signals(spark, sf_dir).select(*_SHOWN, "place", "finding_id")
 
 
-@query("risk_counts", "K13 K14", DUTIES + f", {SIGNALS} SELECT document_id, rule_id, severity, count(*) AS n FROM signals GROUP BY ALL")
+@query("risk_counts", "K13", DUTIES + f", {SIGNALS} SELECT document_id, rule_id, severity, count(*) AS n FROM signals GROUP BY ALL")
 def risk_counts(spark, sf_dir):
     return rulekit.counts(signals(spark, sf_dir))
 
@@ -320,7 +320,7 @@ def i7(spark, sf_dir):
     return _shown(I.orphan_references(entities, m.clauses, edges))
 
 
-@query("inconsistency_findings", "I8 I10")
+@query("inconsistency_findings", "I8")
 def inconsistency_findings(spark, sf_dir):
     m = model(spark, sf_dir)
     entities = m.obligations.select("document_id", "id", "clause_id").unionByName(m.parties.select("document_id", "id", F.lit(None).cast("string").alias("clause_id")))

@@ -13,7 +13,6 @@ from ..operators import graph as R
 from ..operators import prepare as P
 from ..operators import validate as L
 from ..operators import views as U
-from ..operators.clauses import cross_references
 from ..sources.ingest import search_clauses
 from .corpus import corpus, ctes
 from .model import as_of, model
@@ -64,7 +63,7 @@ def clause_evidence(spark, sf_dir):
     return V.roll_up(V.collect_facts({"obligation": model(spark, sf_dir).obligations}), quotes(spark, sf_dir))
 
 
-@query("evidence_rejected", "V4 V7", ctes("corpus_obligations") + f", {_QUOTES}, {_GOOD} SELECT document_id, obligation_id FROM facts WHERE status IS DISTINCT FROM 'verified'")
+@query("evidence_rejected", "V4", ctes("corpus_obligations") + f", {_QUOTES}, {_GOOD} SELECT document_id, obligation_id FROM facts WHERE status IS DISTINCT FROM 'verified'")
 def evidence_rejected(spark, sf_dir):
     facts = V.collect_facts({"obligation": model(spark, sf_dir).obligations})
     return V.rejected(facts, quotes(spark, sf_dir)).select("document_id", F.col("id").alias("obligation_id"))
@@ -120,7 +119,7 @@ def edge_validate(spark, sf_dir):
 
 
 @query(
-    "graph_stats", "R4 R11",
+    "graph_stats", "R11",
     DUTIES + f""", {_NODES}, n AS (SELECT document_id, count(*) AS nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM corpus_obligations o WHERE o.document_id = nodes.document_id AND (o.obligor_id = nodes.id OR o.obligation_id = nodes.id))) AS orphans FROM nodes GROUP BY document_id),
       e AS (SELECT document_id, count(*) AS edges FROM corpus_obligations GROUP BY document_id) SELECT n.document_id, nodes, coalesce(edges, 0) AS edges, orphans, round(2 * coalesce(edges, 0) / nodes, 2) AS average_degree FROM n LEFT JOIN e USING (document_id)""",
 )
@@ -150,7 +149,7 @@ def neighbours(spark, sf_dir):
 
 
 @query(
-    "bfs_levels", "R6 R8",
+    "bfs_levels", "R6",
     DUTIES + """SELECT DISTINCT document_id, obligor_id AS id, 0 AS depth, CAST(NULL AS VARCHAR) AS via FROM corpus_obligations UNION ALL SELECT document_id, obligation_id, 1, obligor_id FROM corpus_obligations
       UNION ALL SELECT document_id, obligee_id, 2, min(obligation_id) FROM corpus_obligations GROUP BY document_id, obligee_id""",
 )
@@ -161,7 +160,7 @@ def bfs_levels(spark, sf_dir):
 
 
 @query(
-    "clusters_topk", "R13 R14",
+    "clusters_topk", "R14",
     DUTIES + f""", {_NODES}, g AS (SELECT document_id, obligor_id AS id, count(*) AS degree FROM corpus_obligations GROUP BY ALL UNION ALL SELECT document_id, obligation_id, 1 FROM corpus_obligations),
       r AS (SELECT n.*, coalesce(degree, 0) AS degree, CAST(row_number() OVER (PARTITION BY document_id, entity_type ORDER BY coalesce(degree, 0) DESC, label, id) AS INT) AS place, greatest(count(*) OVER (PARTITION BY document_id, entity_type) - 3, 0) AS hidden FROM nodes n LEFT JOIN g USING (document_id, id))
       SELECT document_id, entity_type, id, degree, place, hidden FROM r WHERE place <= 3""",
@@ -183,13 +182,7 @@ def shortest_path(spark, sf_dir):
     return found.select("document_id", "a", "b", F.array_join("path", ">").alias("path"))
 
 
-@query("cycles", "R10")
-def cycles(spark, sf_dir):
-    (a,) = corpus(spark, sf_dir, "corpus_a")
-    return R.cycles(cross_references(a).select("document_id", F.col("clause_id").alias("from_id"), F.col("to_clause_id").alias("to_id")))
-
-
-@query("edge_semantics", "R12 R16 R17 R18", DUTIES + f""", {_DERIVED} SELECT document_id, CASE WHEN type IN ('document-has-party', 'document-has-clause') THEN 'structure' WHEN type IN ('clause-sets-deadline', 'obligation-has-deadline') THEN 'time' ELSE 'duties' END AS about, count(*) AS n FROM derived GROUP BY ALL""")
+@query("edge_semantics", "R18", DUTIES + f""", {_DERIVED} SELECT document_id, CASE WHEN type IN ('document-has-party', 'document-has-clause') THEN 'structure' WHEN type IN ('clause-sets-deadline', 'obligation-has-deadline') THEN 'time' ELSE 'duties' END AS about, count(*) AS n FROM derived GROUP BY ALL""")
 def edge_semantics(spark, sf_dir):
     m = model(spark, sf_dir)
     e = R.derive_edges(m.clauses, m.parties, m.obligations, m.rights, m.deadlines)
@@ -239,7 +232,7 @@ def change_kinds(spark, sf_dir):
 
 
 @query(
-    "change_counts", "D13 D18",
+    "change_counts", "D13",
     ctes("corpus_a") + f", {_KINDS} SELECT document_id, 'clause' AS scope, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'unchanged') AS unchanged FROM kinds GROUP BY document_id",
 )
 def change_counts(spark, sf_dir):
@@ -287,7 +280,7 @@ def graph_diff(spark, sf_dir):
     return M.node_changes(nodes(a), nodes(b), ["text"]).select("document_id", F.col("id_a").alias("clause_id"), "change")
 
 
-@query("word_diff", "D7 D9 D10 D20 D21")
+@query("word_diff", "D9 D10")
 def word_diff(spark, sf_dir):
     changed = _kinds(spark, sf_dir).where("change = 'modified'")
     return M.word_diff(changed.select("document_id", "id_a", "text_a", "text_b"), "text_a", "text_b")
@@ -358,7 +351,7 @@ def citation_check(spark, sf_dir):
 
 
 @query(
-    "prose_check", "A10 A11 A12 A13",
+    "prose_check", "A11 A12 A13",
     ctes("corpus_a") + """SELECT document_id, clause_id, CASE WHEN ord % 4 = 0 THEN 'empty' WHEN ord % 4 = 1 THEN 'no-citation' WHEN NOT EXISTS (SELECT 1 FROM corpus_a n WHERE n.document_id = a.document_id AND n.number = concat(a.l_linenumber, '.1')) THEN 'unknown-number'
       WHEN a.l_linenumber <> 1 THEN 'out-of-scope' END AS withheld FROM corpus_a a""",
 )
@@ -388,7 +381,7 @@ def checklist(spark, sf_dir):
     return P.checklist(assessed(spark, sf_dir), found, found.limit(0)).select("document_id", "kind", "severity", "item_id")
 
 
-@query("prep_plan", "P2 P3 P4 P5 P6 P7")
+@query("prep_plan", "P3 P4 P5 P6 P7")
 def prep_plan(spark, sf_dir):
     found, duties = signals(spark, sf_dir), assessed(spark, sf_dir)
     changes = _kinds(spark, sf_dir).select("document_id", F.col("id_a").alias("id"), F.lit("clause").alias("scope"), "change")
@@ -442,7 +435,7 @@ def unique_ids(spark, sf_dir):
     return X.unique_ids(a.select("document_id", "ord", F.col("heading").alias("id")), ["ord"])
 
 
-@query("hinted_types", "X12 X13", ctes("corpus_a") + f"SELECT document_id, clause_id, CASE WHEN t = 'other' THEN 'hinted' ELSE t END AS clause_type FROM (SELECT *, {sql_clause_type('number', 'text')} AS t FROM corpus_a) z")
+@query("hinted_types", "X12", ctes("corpus_a") + f"SELECT document_id, clause_id, CASE WHEN t = 'other' THEN 'hinted' ELSE t END AS clause_type FROM (SELECT *, {sql_clause_type('number', 'text')} AS t FROM corpus_a) z")
 def hinted_types(spark, sf_dir):
     (a,) = corpus(spark, sf_dir, "corpus_a")
     from ..operators.clauses import classify
@@ -484,7 +477,7 @@ def workspace_gaps(spark, sf_dir):
 
 
 @query(
-    "party_rows", "U1 U5 U6 U8",
+    "party_rows", "U6",
     DUTIES + "SELECT p.document_id, p.party_id, (SELECT count(*) FROM corpus_obligations o WHERE o.document_id = p.document_id AND o.obligor_id = p.party_id) AS duties, (SELECT count(*) FROM corpus_rights r WHERE r.document_id = p.document_id AND r.holder_id = p.party_id) AS rights FROM corpus_parties p",
 )
 def party_rows(spark, sf_dir):
@@ -492,7 +485,7 @@ def party_rows(spark, sf_dir):
     return U.party_rows(m.parties, m.obligations, m.rights).select("document_id", F.col("id").alias("party_id"), "duties", "rights")
 
 
-@query("type_filters", "U10 U11", ctes("corpus_a") + f""", t AS (SELECT document_id, {sql_clause_type('heading', 'concat(heading, chr(10), text)')} AS clause_type, count(*) AS n FROM corpus_a GROUP BY ALL)
+@query("type_filters", "U10", ctes("corpus_a") + f""", t AS (SELECT document_id, {sql_clause_type('heading', 'concat(heading, chr(10), text)')} AS clause_type, count(*) AS n FROM corpus_a GROUP BY ALL)
       SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY n DESC, clause_type) AS INT) AS place FROM t""")
 def type_filters(spark, sf_dir):
     return U.type_filters(model(spark, sf_dir).clauses)

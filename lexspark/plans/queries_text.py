@@ -29,7 +29,7 @@ def sql_clause_type(head: str, whole: str) -> str:
     return "CASE " + " ".join(rules) + " ELSE 'other' END"
 
 
-@query("clause_types", "C7 C8", ctes("corpus_a") + f"SELECT document_id, clause_id, {sql_clause_type('heading', 'concat(heading, chr(10), text)')} AS clause_type FROM corpus_a")
+@query("clause_types", "C7", ctes("corpus_a") + f"SELECT document_id, clause_id, {sql_clause_type('heading', 'concat(heading, chr(10), text)')} AS clause_type FROM corpus_a")
 def clause_types(spark, sf_dir):
     return model(spark, sf_dir).clauses.select("document_id", "clause_id", "clause_type")
 
@@ -114,7 +114,7 @@ def cross_references(spark, sf_dir):
 _OFFSETS = "placed AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_offset FROM corpus_a)"
 
 
-@query("offset_to_clause", "C14 C15 C18 C19", ctes("corpus_a") + f", {_OFFSETS} SELECT document_id, start_offset + CAST(n_days AS INT) AS \"offset\", clause_id FROM placed")
+@query("offset_to_clause", "C15", ctes("corpus_a") + f", {_OFFSETS} SELECT document_id, start_offset + CAST(n_days AS INT) AS \"offset\", clause_id FROM placed")
 def offset_to_clause(spark, sf_dir):
     (a,) = corpus(spark, sf_dir, "corpus_a")
     placed = C.with_offsets(a)
@@ -123,7 +123,7 @@ def offset_to_clause(spark, sf_dir):
 
 
 @query(
-    "clause_range_overlap", "C16 C17",
+    "clause_range_overlap", "C16",
     ctes("corpus_a") + f""", {_OFFSETS} SELECT p.document_id, p.clause_id AS range_id, q.clause_id FROM placed p JOIN placed q ON p.document_id = q.document_id
       AND q.start_offset <= p.start_offset + length(p.text) + 10 AND q.start_offset + length(q.text) >= p.start_offset""",
 )
@@ -134,12 +134,6 @@ def clause_range_overlap(spark, sf_dir):
     return C.clauses_in_range(ranges, placed)
 
 
-@query("chunk_pack", "C10 C11 C12")
-def chunk_pack(spark, sf_dir):
-    (a,) = corpus(spark, sf_dir, "corpus_a")
-    return C.overlap_chunks(C.pack_chunks(C.with_offsets(a), most=200))
-
-
 _LINES = "lines0 AS (SELECT doc_id AS document_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)"
 
 
@@ -156,7 +150,7 @@ def paragraphs(spark, sf_dir):
 
 
 @query(
-    "page_index", "S4 S5 S9 S10",
+    "page_index", "S4 S5",
     f"""WITH {_LINES}, p AS (SELECT document_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM lines0)
       SELECT document_id, CAST(pos + 1 AS INT) AS page_number, CAST(coalesce(sum(length(t) + 2) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS char_start, length(t) AS n_chars FROM p""",
 )
@@ -166,7 +160,7 @@ def page_index(spark, sf_dir):
 
 
 @query(
-    "text_search", "S11 S12 S14",
+    "text_search", "S12",
     """WITH s AS (SELECT doc_id AS document_id, string_split(lower(text), 'ing ') AS parts FROM documents WHERE text IS NOT NULL),
       g AS (SELECT document_id, unnest(list_transform(parts[1:len(parts) - 1], lambda x: length(x))) AS n, generate_subscripts(parts[1:len(parts) - 1], 1) - 1 AS pos FROM s),
       o AS (SELECT document_id, pos, sum(n + 4) OVER (PARTITION BY document_id ORDER BY pos) - 4 AS o FROM g)
@@ -177,7 +171,7 @@ def text_search(spark, sf_dir):
 
 
 @query(
-    "upload_gate", "S1 S2 S3 S7 S8",
+    "upload_gate", "S1 S2",
     """WITH f AS (SELECT page_id, concat('page', CAST(page_id AS VARCHAR), CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' WHEN 2 THEN '.exe' ELSE '.md' END) AS name, CASE WHEN page_id % 7 = 0 THEN 0 ELSE octet_length(encode(html)) * 2000 END AS n_bytes FROM pages)
       SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 3 THEN 'md' END AS file_type,
         CASE WHEN page_id % 4 = 2 THEN 'upload.unsupported-type' WHEN n_bytes <= 0 THEN 'upload.empty' WHEN n_bytes > 26214400 THEN 'upload.too-large' END AS code FROM f""",
@@ -209,7 +203,7 @@ def _re2(p: str) -> str:
 
 
 @query(
-    "injection_scan", "N8 N10 N11",
+    "injection_scan", "N8",
     "SELECT doc_id AS document_id, CAST(least(10, " + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{_re2(p)}'))" for _, p in T.INJECTIONS) + ") AS INT) AS found FROM documents",
 )
 def injection_scan(spark, sf_dir):
@@ -227,12 +221,12 @@ def neutralize(spark, sf_dir):
     return documents(spark, sf_dir).select("document_id", F.sha2(T.neutralize(F.col("text")), 256).alias("sha"))
 
 
-@query("redact", "N4 N12", "SELECT c_custkey, concat(substr(c_name, 1, 4), repeat('*', least(24, length(c_name) - 8)), right(c_name, 4)) AS redacted FROM customer WHERE length(c_name) > 8 UNION ALL SELECT c_custkey, repeat('*', length(c_name)) FROM customer WHERE length(c_name) <= 8")
+@query("redact", "N12", "SELECT c_custkey, concat(substr(c_name, 1, 4), repeat('*', least(24, length(c_name) - 8)), right(c_name, 4)) AS redacted FROM customer WHERE length(c_name) > 8 UNION ALL SELECT c_custkey, repeat('*', length(c_name)) FROM customer WHERE length(c_name) <= 8")
 def redact(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", T.redact_secret(F.col("c_name")).alias("redacted"))
 
 
-@query("norm_phrase", "N2 N6 N7 T1", f"SELECT c_custkey, {sql_phrase('c_name')} AS key, CASE WHEN length(c_name) > 10 THEN concat(rtrim(substr(c_name, 1, 9)), '…') ELSE c_name END AS short FROM customer")
+@query("norm_phrase", "N6 N7 T1", f"SELECT c_custkey, {sql_phrase('c_name')} AS key, CASE WHEN length(c_name) > 10 THEN concat(rtrim(substr(c_name, 1, 9)), '…') ELSE c_name END AS short FROM customer")
 def norm_phrase(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", T.phrase(F.col("c_name")).alias("key"), T.cut(F.col("c_name"), 10).alias("short"))
 
@@ -260,9 +254,3 @@ def capitalized_terms(spark, sf_dir):
 @query("secret_scan", "N13", "SELECT doc_id AS document_id, CAST(" + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{_re2(p)}'))" for p in T.SECRETS.values()) + " AS INT) AS secrets FROM documents")
 def secret_scan(spark, sf_dir):
     return documents(spark, sf_dir).select("document_id", F.size(T.secrets(F.col("text"))).alias("secrets"))
-
-
-@query("document_ids", "S13")
-def document_ids(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return d.select("document_id", S.fingerprint(F.col("document_id"), F.col("text")).alias("fingerprint"))
