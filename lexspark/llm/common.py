@@ -19,10 +19,12 @@ BATCH = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a local one, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + os.path.join(tempfile.gettempdir(), "lexspark-shared")
     os.makedirs(made.removeprefix("file://"), exist_ok=True)
     return made
