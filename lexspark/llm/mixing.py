@@ -3,8 +3,9 @@
 Each document of a source gets the same inclusion count, target over size; its whole part is taken
 at once, and the fractional part is an inclusion probability. The flight phase moves these
 probabilities along the null space of two constraints, the number of documents and the words
-taken, until at most two documents of a block are undecided. The undecided of all blocks form new
-blocks, and so on, until one small block is left, which the landing phase rounds.
+taken, until at most two documents of a block are undecided. The undecided of all blocks of a source
+form new blocks, with a few decided ones beside them that may still change, and so on, until the
+source has one block left, which the landing phase rounds. How a source is landed depends on that source alone.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import materialize, n_words
 
 #: Documents of one flight; bounds what a task holds.
 BLOCK = 1_000
+#: Part of a block that goes on beside its undecided documents, so that the landing has what to exchange.
+SPARE = 0.25
 #: Most times that a document may be taken.
 MOST = 3
 EPS = 1e-9
@@ -75,18 +78,24 @@ def flight(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def landing(before: np.ndarray, after: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Round the last undecided documents, then change at most two decisions of the block.
+    """Round the last undecided documents, then change decisions until the words are near what they were before the flight.
 
-    Of all these the one whose words are nearest to the words expected before the flight, then
-    nearest in number of documents. Without the changes a very long undecided document would miss
-    the target by up to half its length.
+    A very long document stays undecided, since its steps are small beside those of the others, and
+    rounding it misses by up to half its length. So of each rounding the longest decisions that do
+    not overshoot are changed, then at most two more, those that come nearest in words, then in
+    number of documents; the rounding that comes nearest is kept.
     """
     words, docs = float(before @ size), float(before.sum())
     open_ = [i for i, x in enumerate(after) if EPS < x < 1 - EPS]
     best: tuple = (np.inf, np.inf, None)
+    longest = np.argsort(-size, kind="stable")
     for m in range(2 ** len(open_)):
         taken = after.copy()
         taken[open_] = [m >> k & 1 for k in range(len(open_))]
+        off = float(taken @ size) - words
+        for i in longest:
+            if taken[i] == (off > 0) and size[i] <= abs(off):
+                taken[i], off = 1 - taken[i], off - size[i] * np.sign(off)
         sign = 1 - 2 * taken
         off, many = float(taken @ size) - words, float(taken.sum()) - docs
         change = np.append(sign * size, 0.0)
@@ -102,14 +111,29 @@ def landing(before: np.ndarray, after: np.ndarray, size: np.ndarray) -> np.ndarr
     return best[2] if best[2] is not None else after
 
 
-def _fly(last: bool, most: int):
+def _carried(most: int) -> int:
+    """Documents that a block of ``most`` hands on: two undecided and some spare ones, at most half of it."""
+    return 2 + int(SPARE * most)
+
+
+def _spread(size: np.ndarray, among: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the places ``among``, spread evenly over their sizes, the smallest and the largest included."""
+    ordered = among[np.argsort(size[among], kind="stable")]
+    return ordered[np.unique(np.linspace(0, len(ordered) - 1, min(n, len(ordered))).round().astype(int))]
+
+
+def _fly(most: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["turn", "size"], kind="stable").reset_index(drop=True)
         before, size = block["chance"].to_numpy(float), block["size"].to_numpy(float)
         p = flight(before, size)
-        if last:
+        onward = np.zeros(len(p), bool)
+        if block["blocks"].iloc[0] <= 1:
             p = landing(before, p, size)
-        return block.assign(chance=p, blocks=-(-2 * block["blocks"] // most))[["row", "source", "size", "turn", "chance", "blocks"]]
+        else:
+            onward = (EPS < p) & (p < 1 - EPS)
+            onward[_spread(size, np.flatnonzero(~onward), _carried(most) - 2)] = True
+        return block.assign(chance=p, onward=onward, blocks=-(-_carried(most) * block["blocks"] // most))[["row", "source", "size", "turn", "chance", "blocks", "onward"]]
 
     return run
 
@@ -118,13 +142,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     """``docs(doc_id, text, source)`` to ``(doc_id, size, source_size, target, taken, source)``, one row a document.
 
     ``size`` is the number of words, ``taken`` the words that the mix takes from the document with
-    repeats: 0 to ``most`` times ``size``. The words taken from a source come within a document or
-    two of its target.
+    repeats: 0 to ``most`` times ``size``. The words taken from a source come within a short document
+    of its target, however long its longest one is, as long as the documents of its last block, at
+    least half of ``block`` if it had more than one, hold the words to exchange for it.
 
     A null or empty text has size 0 and is taken 0 times. A null source is a source of its own,
     last in order. Rows that repeat in id, source and size get the same number of copies, so that
     a rerun agrees whatever the partitions. An empty table gives an empty result.
     """
+    if block < 8:
+        raise ValueError("a block holds at least 8 documents")
     ship(docs.sparkSession)
     sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size")), "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("filled"))
@@ -139,19 +166,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     units = rows.select(F.struct("doc_id", "source", "size").alias("row"), "source", (F.col("size") * F.col("copies")).alias("size"), key.alias("turn"))
     plan = named.select(F.col("source").alias("s"), F.col("part").alias("chance"), F.ceil(F.col("filled") / block).alias("blocks"))
     live = units.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").where("chance > 0")
-    schema = "row struct<doc_id:bigint,source:string,size:bigint>, source string, size bigint, turn bigint, chance double, blocks bigint"
+    schema = "row struct<doc_id:bigint,source:string,size:bigint>, source string, size bigint, turn bigint, chance double, blocks bigint, onward boolean"
     most_blocks = plan.agg(F.coalesce(F.max("blocks"), F.lit(1))).first()[0]
     chosen, level = None, 0
     while True:
-        last = most_blocks <= 1
         blocks = live.select("row", "source", "size", "turn", "chance", "blocks", F.pmod(F.xxhash64(F.lit(level), "turn"), F.greatest("blocks", F.lit(1))).alias("block"))
-        done = materialize(blocks.groupBy("source", "block").applyInPandas(_fly(last, block), schema), "flight")
-        taken = done.where(F.col("chance") >= 1 - EPS).select("row")
+        done = materialize(blocks.groupBy("source", "block").applyInPandas(_fly(block), schema), "flight")
+        taken = done.where(~F.col("onward") & (F.col("chance") >= 1 - EPS)).select("row")
         chosen = taken if chosen is None else chosen.unionByName(taken)
-        if last:
+        if most_blocks <= 1:
             break
-        live = done.where((F.col("chance") > EPS) & (F.col("chance") < 1 - EPS))
-        most_blocks, level = -(-2 * most_blocks // block), level + 1
+        live = done.where("onward")
+        most_blocks, level = -(-_carried(block) * most_blocks // block), level + 1
     extra = chosen.select("row.doc_id", "row.source", "row.size", F.lit(1).cast("long").alias("more"))
     marked = sized.join(extra, [sized[c].eqNullSafe(extra[c]) for c in ("doc_id", "source", "size")], "left").select(sized["doc_id"], sized["source"], sized["size"], "more")
     out = marked.join(named.select(F.col("source").alias("s"), "source_size", "target", "whole"), F.col("source").eqNullSafe(F.col("s")))

@@ -441,6 +441,17 @@ def test_mixing_meets_targets(spark, docs):
     assert all(abs(taken[s] - target[s]) <= 2 * longest[s] for s in size)
 
 
+def test_mixing_small_source_with_a_long_text_beside_a_large_one(spark):
+    """Whatever blocks the other sources have, a source comes near its target, however long its longest document is."""
+    rows = [(i, "w " * (40 + i * 37 % 260), "a") for i in range(300)] + [(300, "w " * 20_000, "a")]
+    rows += [(1_000 + i, "w " * (40 + i * 91 % 500), "b") for i in range(9_000)] + [(20_000, "w " * 60_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1, 60), share=0.5)
+    for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r["taken"] - r["target"]) <= 300, r
+    assert got.where("taken > 3 * size or taken % size <> 0").count() == 0
+
+
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == 7 and all(r["taken"] == 0 for r in got if r["size"] == 0) and mixing.mix(none).count() == 0
