@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +35,52 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: What this Python worker holds between the tasks of one table: models, by a name of their training.
+HELD: dict = {}
+_ENTERED: list[str] = []
+
+
+def held(name: str, make):
+    """The object of that name, made once in a worker; only one is held at a time."""
+    if name not in HELD:
+        HELD.clear()
+        HELD[name] = make()
+    return HELD[name]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker is used again for later tables, and what it keeps adds to theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        return
+
+
+def _enter(table: str) -> None:
+    """Drop what an earlier table left in the worker."""
+    if _ENTERED != [table]:
+        HELD.clear()
+        _ENTERED[:] = [table]
+        _give_back()
+
+
+def _bounded(run, table: str):
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _enter(table)
+        yield from run(batches)
+        _give_back()
+
+    return one
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInPandas`` with this package on the executors, and at most :data:`BATCH` rows of text at a time."""
     spark = ship(df.sparkSession)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(_bounded(run, uuid.uuid4().hex), schema)
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import held, map_batches
 
 #: Longest context in bytes.
 ORDER = 4
@@ -187,15 +187,8 @@ def hash_limit(share: float) -> int:
     return min(2**63 - 1, -(2**63) + max(1, int(share * 2**64)))
 
 
-#: The trees that this Python worker has frozen, by training.
-_FROZEN: dict[str, ContextTrees] = {}
-
-
 def _frozen(shared, name: str) -> ContextTrees:
-    if name not in _FROZEN:
-        _FROZEN.clear()
-        _FROZEN[name] = shared.value.freeze()
-    return _FROZEN[name]
+    return held(name, lambda: shared.value.freeze())
 
 
 def _judged(trees: ContextTrees, texts: list, most_bits: float) -> list[tuple[str, float, float | None, bool]]:

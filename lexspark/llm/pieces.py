@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import held, map_batches
 
 #: Where the model lies on every machine; a parameter of all that follows.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -335,15 +335,8 @@ class Pieces:
         return "".join(out) + raw.decode("utf-8", "surrogatepass")
 
 
-#: The models that this Python worker has loaded.
-_LOADED: dict[tuple, Pieces] = {}
-
-
 def loaded(*setting) -> Pieces:
-    if setting not in _LOADED:
-        _LOADED.clear()
-        _LOADED[setting] = Pieces(*setting)
-    return _LOADED[setting]
+    return held(repr(setting), lambda: Pieces(*setting))
 
 
 def _encode(setting: tuple, with_ids: bool):
