@@ -26,7 +26,7 @@ from .common import held, map_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
 #: Texts whose parts are encoded together.
-GROUP = 500
+GROUP = 200
 #: Occurrences after which a part's agendas are remembered, and how many new ones of a part in one group.
 OFTEN, WAVES = 16, 4
 SPACE = "▁"
@@ -68,7 +68,7 @@ class Pieces:
     mark and all characters without a piece become byte pieces, so decoding gives back any text.
     """
 
-    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, remembered: int = 200_000):
+    def __init__(self, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, remembered: int = 50_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -343,15 +343,17 @@ def _encode(setting: tuple, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = loaded(*setting)
         for batch in batches:
-            rows, texts, docs = [], [t or "" for t in batch["text"]], batch["doc_id"].tolist()
+            texts, docs = [t or "" for t in batch["text"]], batch["doc_id"].tolist()
             for a in range(0, len(texts), GROUP):
-                some = texts[a : a + GROUP]
+                rows, some = [], texts[a : a + GROUP]
                 keys = [0 if pd.isna(d) else int(d) + 1 for d in docs[a : a + GROUP]]
                 for text, ids in zip(some, pieces.encode_all(some, keys), strict=True):
-                    row = (len(ids), hashlib.sha256(np.array(ids, np.int32).tobytes()).hexdigest(), pieces.decode(ids) == text)
-                    rows.append((*row, ids) if with_ids else row)
-            found = pd.DataFrame(rows, columns=["n_pieces", "pieces_sha256", "lossless", *["pieces"] * with_ids], index=batch.index)
-            yield pd.concat([batch[["doc_id"]], found], axis=1)
+                    packed = np.array(ids, np.int32)
+                    row = (len(ids), hashlib.sha256(packed.tobytes()).hexdigest(), pieces.decode(ids) == text)
+                    rows.append((*row, packed) if with_ids else row)
+                part = batch[["doc_id"]].iloc[a : a + GROUP]
+                found = pd.DataFrame(rows, columns=["n_pieces", "pieces_sha256", "lossless", *["pieces"] * with_ids], index=part.index)
+                yield pd.concat([part, found], axis=1)
 
     return run
 
