@@ -105,6 +105,19 @@ def totals(changes: DataFrame, by: str = "document_id") -> DataFrame:
     return changes.groupBy(by, "change").agg(F.count("*").alias("n"))
 
 
+def clause_citations(clauses: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The quotes of each clause: its own, and those of every fact that hangs off it by its clause or by a quote.
+
+    ``(document_id, of_clause, clause_id, source_text, start_offset, id)``; of quotes with the same place and
+    text the smallest ``id`` stands. A quote without a clause counts where its fact hangs.
+    """
+    cited = evidence.select("document_id", F.col("entity_id").alias("id"), "clause_id").join(facts.select("document_id", "id"), ["document_id", "id"], "left_semi")
+    own = clauses.select("document_id", F.col("clause_id").alias("id"), "clause_id")
+    hung = facts.select("document_id", "id", "clause_id").unionByName(cited).unionByName(own).where("clause_id is not null").distinct()
+    pairs = hung.select("document_id", F.col("id").alias("entity_id"), F.col("clause_id").alias("of_clause"))
+    return pairs.join(evidence, ["document_id", "entity_id"]).groupBy("document_id", "of_clause", "clause_id", "source_text", "start_offset").agg(F.min("id").alias("id"))
+
+
 def period_change(before: Column, after: Column) -> Column:
     """Whether a period in days became shorter or longer."""
     return F.when(before == after, "same").when(after < before, "shortened").when(after > before, "extended").when(before.isNull() & after.isNotNull(), "stated").when(after.isNull() & before.isNotNull(), "dropped").otherwise("same")

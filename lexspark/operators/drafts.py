@@ -79,6 +79,57 @@ def fixture_provider(payloads: dict[str, str], default: str | None = None) -> Pr
     return provider
 
 
+# What is said of a prompt or a reply that cannot be used.
+NO_SYSTEM = "Prompt must include a non-empty system instruction."
+NO_USER = "Prompt must include a non-empty user message."
+NO_TEXT = "Provider returned no text."
+EMPTY_REPLY = "Provider returned an empty response."
+LONG_REPLY = "Provider response exceeded the accepted size limit."
+
+
+def _blank(text: Column) -> Column:
+    return ~F.coalesce(text, F.lit("")).rlike(r"\S")
+
+
+def prompt_problems(system: Column, user: Column) -> Column:
+    """What a prompt lacks; empty if nothing."""
+    return F.array_compact(F.array(F.when(_blank(system), NO_SYSTEM), F.when(_blank(user), NO_USER)))
+
+
+def reply_problem(reply: Column) -> Column:
+    """Why a reply is not parsed; null if it is."""
+    return F.when(reply.isNull(), NO_TEXT).when(_blank(reply), EMPTY_REPLY).when(F.length(reply) > MOST_TEXT, LONG_REPLY)
+
+
+def checked(replies: DataFrame) -> DataFrame:
+    """Replies of :func:`call` with those that cannot be used taken out and said why in ``error``; an error of the call itself stays."""
+    x = replies.withColumn("__p", reply_problem(F.col("reply"))).withColumn("error", F.coalesce("error", "__p"))
+    return x.withColumn("reply", F.when(F.col("__p").isNull(), F.col("reply"))).drop("__p")
+
+
+def choose_provider(settings: dict[str, str], providers: dict[str, Provider]) -> Provider:
+    """The provider that the settings name; ``mock`` without a name and for one that is not known."""
+    return providers.get(str(settings.get("provider") or "mock").lower(), providers["mock"])
+
+
+def ready(settings: dict[str, str]) -> bool:
+    """The mock provider always is, another one with an address of the service that holds its credential."""
+    return str(settings.get("provider") or "mock").lower() == "mock" or bool(settings.get("url"))
+
+
+def document_entities(content: DataFrame, hints: DataFrame) -> DataFrame:
+    """The document entity of each ``content(document_id, file_name, file_type, page_count, text, warnings)``.
+
+    ``hints(document_id, title, document_type, effective_date)`` has at most one row a document and goes before the file's own facts.
+    """
+    x = content.join(hints.select("document_id", "title", "document_type", "effective_date"), "document_id", "left")
+    metadata = F.struct("file_name", "file_type", F.coalesce(F.length("text"), F.lit(0)).alias("char_count"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    return x.select(
+        "document_id", F.coalesce("title", "file_name", F.lit("Untitled document")).alias("title"), F.coalesce("document_type", F.lit("unknown")).alias("document_type"),
+        "effective_date", "page_count", metadata.alias("metadata"), F.lit("parser").alias("provenance"),
+    )
+
+
 def json_text(reply: Column) -> Column:
     """The outermost braces of a reply that is not too long; null without."""
     body = F.when(F.length(reply) <= MOST_TEXT, F.regexp_replace(reply, r"```(?:json)?", ""))

@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..operators import ask as A
 from ..operators import clauses as C
 from ..operators import compare as M
+from ..operators import consistency as I
+from ..operators import drafts as X
 from ..operators import evidence as V
 from ..operators import graph as R
 from ..operators import risk as K
@@ -15,7 +17,7 @@ from ..operators import views as U
 from ..sources import ingest as S
 from .corpus import corpus, ctes
 from .model import documents, model
-from .queries_duties import DUTIES, SIGNALS, signals, sql_cut
+from .queries_duties import _SAID, DUTIES, I1_SQL, SIGNALS, signals, sql_cut
 from .queries_model import _DERIVED, _KINDS, _NODES, _kinds, _nodes, _owes
 from .queries_text import _LINES, _SPACE, _content, _sql_neutral, sql_clause_type, sql_phrase, sql_sanitize
 from .registry import query
@@ -348,3 +350,51 @@ def document_rows(spark, sf_dir):
 @query("fact_rows", "U11", DUTIES + "SELECT document_id, right_id AS id, place, field, value FROM (SELECT document_id, right_id, CAST(0 AS INT) AS place, 'holder_party_id' AS field, holder_id AS value FROM corpus_rights UNION ALL SELECT document_id, right_id, 1, 'counterparty_party_id', counterparty_id FROM corpus_rights) z")
 def fact_rows(spark, sf_dir):
     return U.fact_rows(model(spark, sf_dir).rights, ["holder_party_id", "counterparty_party_id"])
+
+
+# --- citations of clauses, findings of entities, providers ---------------------------------------
+
+
+@query(
+    "clause_citations", "D7",
+    ctes("corpus_obligations", "corpus_deadlines") + """, ev AS (
+        SELECT document_id, CASE WHEN ord % 2 = 0 THEN clause_id ELSE concat(document_id, '-1') END AS cited, summary AS q, concat('e', clause_id) AS id, clause_id AS home FROM corpus_obligations
+        UNION ALL SELECT document_id, NULL, description, concat('f', clause_id), clause_id FROM corpus_deadlines),
+      hung AS (SELECT document_id, home AS clause_id, cited, q, id FROM ev UNION SELECT document_id, cited, cited, q, id FROM ev WHERE cited IS NOT NULL)
+      SELECT document_id, clause_id, count(*) AS quotes, min(id) AS first_id FROM (SELECT document_id, clause_id, cited, q, min(id) AS id FROM hung GROUP BY ALL) z GROUP BY ALL""",
+)
+def clause_citations(spark, sf_dir):
+    """Duties quote their own clause or the first one of the contract; deadlines quote without a clause."""
+    m = model(spark, sf_dir)
+    offset = F.lit(None).cast("int").alias("start_offset")
+    place = F.when(F.col("ord") % 2 == 0, F.col("clause_id")).otherwise(F.concat(F.col("document_id").cast("string"), F.lit("-1")))
+    duties = m.obligations.select("document_id", F.col("id").alias("entity_id"), place.alias("clause_id"), F.col("summary").alias("source_text"), offset, F.concat(F.lit("e"), "clause_id").alias("id"))
+    dates = m.deadlines.select("document_id", F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("clause_id"), F.col("description").alias("source_text"), offset, F.concat(F.lit("f"), "clause_id").alias("id"))
+    facts = V.collect_facts({"obligation": m.obligations, "deadline": m.deadlines})
+    found = M.clause_citations(m.clauses, facts, duties.unionByName(dates))
+    return found.groupBy("document_id", F.col("of_clause").alias("clause_id")).agg(F.count("*").alias("quotes"), F.min("id").alias("first_id"))
+
+
+@query("findings_of_entity", "I10", ctes("corpus_rights") + f", {_SAID}, f AS ({I1_SQL}) SELECT r.document_id, r.right_id AS id, count(*) AS findings FROM f JOIN corpus_rights r ON r.document_id = f.document_id AND (r.clause_id = f.clause_id OR r.clause_id = f.entity_id) GROUP BY ALL")
+def findings_of_entity(spark, sf_dir):
+    m = model(spark, sf_dir)
+    wanted = m.rights.select("document_id", "id", F.array("clause_id").alias("clause_ids"))
+    return I.of_entities(I.conflicting_notice(m.clauses), wanted).groupBy("document_id", "id").agg(F.count("*").alias("findings"))
+
+
+@query("document_entities", "X17", "SELECT page_id AS document_id, CASE WHEN page_id % 2 = 0 THEN concat('Contract ', page_id) WHEN page_id % 3 = 0 THEN 'Untitled document' ELSE url END AS title, CASE WHEN page_id % 2 = 0 THEN 'lease' ELSE 'unknown' END AS document_type, CAST(coalesce(length(html), 0) AS INT) AS char_count FROM pages")
+def document_entities(spark, sf_dir):
+    """Every second page has hints, every third no file name."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    content = pages.select(F.col("page_id").alias("document_id"), F.when(F.col("page_id") % 3 != 0, F.col("url")).alias("file_name"), F.lit("html").alias("file_type"), F.lit(None).cast("int").alias("page_count"), F.col("html").alias("text"), F.lit(None).cast("array<string>").alias("warnings"))
+    hints = pages.where("page_id % 2 = 0").select(F.col("page_id").alias("document_id"), F.concat(F.lit("Contract "), F.col("page_id").cast("string")).alias("title"), F.lit("lease").alias("document_type"), F.lit(None).cast("date").alias("effective_date"))
+    return X.document_entities(content, hints).select("document_id", "title", "document_type", F.col("metadata.char_count").alias("char_count"))
+
+
+@query("reply_checks", "X18", rf"WITH r AS (SELECT doc_id AS document_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE text END AS reply FROM documents) SELECT document_id, CASE WHEN reply IS NULL THEN '{X.NO_TEXT}' WHEN NOT regexp_matches(reply, '[^ \t\n\x0B\f\r]') THEN '{X.EMPTY_REPLY}' WHEN length(reply) > 2000000 THEN '{X.LONG_REPLY}' END AS error, reply IS NULL OR NOT regexp_matches(reply, '[^ \t\n\x0B\f\r]') AS no_user FROM r")
+def reply_checks(spark, sf_dir):
+    """Texts as replies, of which every fourth is missing and every fourth blank, and as prompts."""
+    n = F.col("doc_id") % 4
+    said = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.when(n == 0, None).when(n == 1, "  ").otherwise(F.col("text")).alias("reply"))
+    asked = X.prompt_problems(F.lit("Extract."), F.col("reply"))
+    return X.checked(said.withColumn("no_user", F.array_contains(asked, X.NO_USER)).withColumn("error", F.lit(None).cast("string"))).select("document_id", "error", "no_user")

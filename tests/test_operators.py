@@ -133,3 +133,29 @@ def test_confidence(spark):
 def test_termination_wording(spark):
     says = lambda text: one(spark, T.matches(F.lit(text), K.PATTERNS["termination-act"]))
     assert [says(t) for t in ("The Buyer shall be entitled to terminate", "The Buyer may suspend", "a right to terminate", "shall terminate", "is entitled to terminate", "right to suspend", "may lawfully terminate")] == [True, True, True, False, False, False, False]
+
+
+def test_findings_of_an_entity_count_once(spark):
+    found = spark.createDataFrame([(1, "f1", "c1", "c2"), (1, "f2", None, "o1"), (2, "f3", "c1", None), (1, "f4", None, None)], "document_id long, finding_id string, clause_id string, entity_id string")
+    wanted = spark.createDataFrame([(1, "o1", ["c1", "c2"]), (1, "o2", None), (2, "o3", [])], "document_id long, id string, clause_ids array<string>")
+    assert values(I.of_entities(found, wanted).select("document_id", "id", "finding_id"), "finding_id") == [(1, "o1", "f1"), (1, "o1", "f2")]
+
+
+def test_citations_of_a_clause(spark):
+    clauses = spark.createDataFrame([(1, "c1"), (1, "c2")], "document_id long, clause_id string")
+    facts = spark.createDataFrame([(1, "o1", "c1"), (1, "o2", None)], "document_id long, id string, clause_id string")
+    quotes = [(1, "o1", "c2", "q", 3, "b"), (1, "o2", "c2", "q", 3, "a"), (1, "c1", "c1", "own", None, "z"), (1, "gone", "c1", "lost", None, "y")]
+    evidence = spark.createDataFrame(quotes, "document_id long, entity_id string, clause_id string, source_text string, start_offset int, id string")
+    assert values(M.clause_citations(clauses, facts, evidence).select("of_clause", "source_text", "id"), "of_clause", "id") == [("c1", "q", "b"), ("c1", "own", "z"), ("c2", "q", "a")]
+
+
+def test_provider_choice_and_checks(spark):
+    mock, far = (lambda p: "m"), (lambda p: "f")
+    assert X.choose_provider({}, {"mock": mock}) is mock
+    assert X.choose_provider({"provider": "FAR"}, {"mock": mock, "far": far}) is far
+    assert X.choose_provider({"provider": "nowhere"}, {"mock": mock, "far": far}) is mock
+    assert [X.ready({}), X.ready({"provider": "far"}), X.ready({"provider": "far", "url": "https://x"})] == [True, False, True]
+    replies = spark.createDataFrame([(1, "{}", None), (2, " \n", None), (3, None, "Timeout: x"), (4, None, None)], "document_id long, reply string, error string")
+    assert values(X.checked(replies), "document_id") == [(1, "{}", None), (2, None, X.EMPTY_REPLY), (3, None, "Timeout: x"), (4, None, X.NO_TEXT)]
+    asked = one(spark, X.prompt_problems(F.lit(None).cast("string"), F.lit(" ")))
+    assert asked == [X.NO_SYSTEM, X.NO_USER]
