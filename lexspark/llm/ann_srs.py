@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import discard, map_batches, materialize
+from .common import discard, hash_limit, map_batches, materialize
 
 #: Projected dimensions, an even number; vectors of a block; vectors of a leaf.
 DIMS, BLOCK, LEAF = 24, 16_384, 128
@@ -132,22 +132,21 @@ class Block:
         self.ids, self.vectors, self.points = ids[tree.order], vectors[tree.order], points[tree.order]
         self.leaves, self.low, self.high, self.top = tree.leaves, tree.low, tree.high, top
         self.size = (self.points * self.points).sum(axis=1)
-        #: Most vectors that share an id.
-        self.most = int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 1
+        #: Whether an id has several vectors.
+        self.repeats = len(np.unique(ids)) < len(ids)
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, at: np.ndarray, k: int, limit: float, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """The ``k`` best of the block for each query with a projection ``at``: ids and inner products, best first, -1 where there are fewer.
+        """The ``k`` best ids of the block for each query with a projection ``at``, and their inner products, best first; minus infinity where there are fewer.
 
         ``bound`` is a score that each query has ``k`` others at or above. Returns also how many
         leaves were visited and how many vectors verified.
         """
-        keep = k * self.most
         gap = gaps(at, self.low, self.high)
         turn = np.argsort(gap, axis=1, kind="stable")
         gap = np.take_along_axis(gap, turn, axis=1)
         own, own_at = (queries * queries).sum(axis=1), (at * at).sum(axis=1)
         n, visited, verified = len(queries), 0, 0
-        best_id, best = np.full((n, keep), np.iinfo(np.int64).max), np.full((n, keep), -np.inf)
+        best_id, best = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
         live = np.arange(n)
         for step in range(len(self.leaves)):
             # A nearer vector than the k-th would project to within this distance with the wanted probability.
@@ -172,9 +171,13 @@ class Block:
                 who, score = who[better], score[better]
                 s = np.concatenate([best[who], score], axis=1)
                 i = np.concatenate([best_id[who], np.broadcast_to(self.ids[a:b], score.shape)], axis=1)
-                first = np.lexsort((i, -s), axis=1)[:, :keep]
+                if self.repeats:  # of an id's vectors the best counts
+                    by_id = np.lexsort((-s, i), axis=1)
+                    s, i = np.take_along_axis(s, by_id, axis=1), np.take_along_axis(i, by_id, axis=1)
+                    s[:, 1:][i[:, 1:] == i[:, :-1]] = -np.inf
+                first = np.lexsort((i, -s), axis=1)[:, :k]
                 best[who], best_id[who] = np.take_along_axis(s, first, axis=1), np.take_along_axis(i, first, axis=1)
-        return np.where(np.isinf(best), -1, best_id), best, visited, verified
+        return best_id, best, visited, verified
 
 
 def _usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,10 +276,10 @@ def _searched(shared, k: int, limit: float):
                     raise ValueError(f"no block {now} for its queries")
                 who, queries = asked["query_id"].to_numpy(np.int64), _matrix(asked["v"])
                 found, score, visited, verified = block.search(queries, who, queries @ shared.value[now[0]].plane[:-1], k, limit, asked["bound"].to_numpy(float))
-                keep = found >= 0
+                keep = ~np.isinf(score)
                 out = pd.DataFrame({"query_id": np.repeat(who, found.shape[1])[keep.ravel()], "vec_id": found[keep], "score": score[keep]})
                 yield out.assign(visited=0, verified=0)
-                yield pd.DataFrame({"query_id": [-1], "vec_id": [-1], "score": [0.0], "visited": [visited], "verified": [verified]})
+                yield pd.DataFrame({"query_id": [None], "vec_id": [None], "score": [0.0], "visited": [visited], "verified": [verified]})
 
     return run
 
@@ -312,8 +315,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sure: float = SURE, dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     limit = chi_square_point(sure, dims)
     # A bounded sample for the coarse tree, the smallest hashes of each length; every vector is indexed.
-    first = Window.partitionBy("width").orderBy(F.xxhash64("v"), "vec_id")
-    sample = good.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).select("width", "v").toPandas()
+    # The known counts give a hash up to which at most a few times the sample lies, so that no task sorts more.
+    upto = spark.createDataFrame([(r["width"], hash_limit(min(1.0, 2 * SAMPLE / r["n"]))) for r in stats], "width int, upto long")
+    drawn = good.withColumn("h", F.xxhash64("v", "vec_id")).join(F.broadcast(upto), "width").where("h <= upto")
+    first = Window.partitionBy("width").orderBy("h", "vec_id")
+    sample = drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).select("width", "v").toPandas()
     known = {r["width"]: Cells(_matrix(sample.loc[sample["width"] == r["width"], "v"]), r["n"], r["top"], dims, block) for r in stats}
     shared = spark.sparkContext.broadcast(known)
     live = good.where(F.col("width").isin(list(known)))
@@ -333,7 +339,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, sure: float = SURE, dims:
     routed = "query_id long, v binary, width int, bound double, cell long, part long"
     found = materialize(_search(blocks, map_batches(asked, _routed(shared, shared_boxes, limit, True), routed), shared, k, limit), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = lambda rows: rows.where("query_id >= 0 or vec_id >= 0").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = lambda rows: rows.where("vec_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     kth = best(found).withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
     bounded = asked.drop("bound").join(kth, "query_id", "left").select("query_id", "v", "width", F.coalesce("kth", F.lit(float("-inf"))).alias("bound"))
     more = materialize(_search(blocks, map_batches(bounded, _routed(shared, shared_boxes, limit, False), routed), shared, k, limit), "found")

@@ -13,14 +13,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 
 #: One word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that a Python worker holds at once; texts can be long.
-BATCH = 1_000
+#: Rows, and bytes of them, that a Python worker holds at once; texts can be long. A longer row comes alone.
+BATCH, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,21 +68,46 @@ def _enter(table: str) -> None:
         _give_back()
 
 
-def _bounded(run, table: str):
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """The batch in pandas; whole numbers beside nulls stay Python numbers and never become floats."""
+    return batch.to_pandas(integer_object_nulls=True)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most :data:`BATCH` rows and about :data:`BATCH_BYTES`."""
+    todo = [batch]
+    while todo:
+        part = todo.pop()
+        n = part.num_rows
+        if n > BATCH or (n > 1 and part.nbytes > BATCH_BYTES):
+            todo += [part.slice(n // 2), part.slice(0, n // 2)]
+        else:
+            yield part
+
+
+def _bounded(run, table: str, schema: pa.Schema):
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from map(_frame, _pieces(batch))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _enter(table)
-        yield from run(batches)
+        for out in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
         _give_back()
 
     return one
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInPandas`` with this package on the executors, and at most :data:`BATCH` rows of text at a time."""
-    spark = ship(df.sparkSession)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    return df.mapInPandas(_bounded(run, uuid.uuid4().hex), schema)
+def map_batches(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """``run`` over frames of at most :data:`BATCH` rows, with this package on the executors.
+
+    Whole numbers come and go as they are: beside nulls a column holds Python numbers and None, so
+    that an id of 64 bits does not depend on the rows that share its batch.
+    """
+    ship(df.sparkSession)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return df.mapInArrow(_bounded(run, uuid.uuid4().hex, to_arrow_schema(kind)), schema)
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -117,6 +144,11 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hash_limit(share: float) -> int:
+    """The signed 64-bit hash up to which this share of hashes lies; never below the smallest few, whatever the number of texts."""
+    return min(2**63 - 1, -(2**63) + max(1, int(share * 2**64)))
+
+
 #: A key with more than this share of the rows is hot, so fewer than 1 / HOT_SHARE keys are.
 HOT_SHARE = 0.001
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, map_batches
+from .common import hash_limit, held, map_batches
 
 #: Longest context in bytes.
 ORDER = 4
@@ -182,11 +182,6 @@ def train(docs: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -
     return ContextTrees({lang: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(float)) for lang, part in found.groupby("lang")}, order)
 
 
-def hash_limit(share: float) -> int:
-    """The signed 64-bit hash up to which this share of hashes lies; never below the smallest few, whatever the number of texts."""
-    return min(2**63 - 1, -(2**63) + max(1, int(share * 2**64)))
-
-
 def _frozen(shared, name: str) -> ContextTrees:
     return held(name, lambda: shared.value.freeze())
 
