@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_srs, extract, imatch, langid, licenses, mixing, pieces, pii, superminhash, warc
+from . import ann_srs, extract, imatch, langid, licenses, mixing, pieces, pii, superminhash, warc, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +39,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files: a directory for each source and thousand ids, in it every hundredth id a licence file."""
+    """The documents as files: a directory for each source and thousand ids, in it every hundredth id a licence file; documents without id are one file of their source."""
     name = F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), name)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.coalesce(name, F.lit("none.txt")))
     files = _docs(spark, sf_dir).select(path.alias("path"), "text")
-    doc_id = F.regexp_extract("path", r"([0-9]+)(\.txt)?$", 1).cast("long")
+    doc_id = F.regexp_extract("path", r"(?:^|/)(?:LICENSE\.)?(-?[0-9]+)(?:\.txt)?$", 1).try_cast("long")
     return licenses.scan(files).select(doc_id.alias("doc_id"), "path", "licence", "score", "origin", "from_directory")
 
 
@@ -65,6 +65,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(_pages(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
     "op10_main_text": op10_main_text,
+    "op11_whitening": op11_whitening,
     "pipeline": pipeline,
 }
 
