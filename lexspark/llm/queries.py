@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_srs, extract, imatch, langid, licenses, mixing, pieces, pii, superminhash, warc, whitening
+from . import ann_srs, extract, imatch, langid, licenses, mixing, pieces, pii, superminhash, tiles, warc, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.components(_docs(spark, sf_dir), words=5, percent=80)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_main_text": op10_main_text,
     "op11_whitening": op11_whitening,
+    "op12_tiles": op12_tiles,
     "pipeline": pipeline,
 }
 

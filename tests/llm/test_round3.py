@@ -1,10 +1,12 @@
 """The operators on whitening, set joins and spelling variants, and what all operators owe to ids."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import ann_srs, extract, langid, mixing, pieces, pii, queries, superminhash, warc, whitening
+from lexspark.llm import ann_srs, extract, langid, mixing, pieces, pii, queries, superminhash, tiles, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,3 +116,88 @@ def test_neighbours_of_negative_and_repeated_ids(spark, many):
         met += sum(s >= fifth - 1e-9 for s in got[-20 * i].values())
         assert len(got[-20 * i]) == 5
     assert met >= 0.9 * 5 * len(v)
+
+
+# --- set join ----------------------------------------------------------------------------------
+
+
+def shingle_set(text, words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    k = min(words, len(w))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def brute_links(rows, percent=80):
+    """Linked pairs of different sets, and the smallest id that each document reaches."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    distinct = sorted({s for s in sets.values() if s}, key=lambda s: (len(s), sorted(s)))
+    links = [(a, b) for n, a in enumerate(distinct) for b in distinct[n + 1 :] if 100 * len(a & b) >= percent * len(a | b)]
+    up = {s: s for s in distinct}
+
+    def root(s):
+        while up[s] is not s:
+            s = up[s]
+        return s
+
+    for a, b in links:
+        if (x := root(a)) is not (y := root(b)):
+            up[x] = y
+    low = {}
+    for i, s in sets.items():
+        if s:
+            low[root(s)] = min(low.get(root(s), i), i)
+    return links, {i: (len(s), low[root(s)] if s else i) for i, s in sets.items()}
+
+
+def family(n, edits, seed=5, length=120):
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 900, length)]
+    for i in range(n):
+        w = list(base)
+        for at in rng.integers(0, length, int(rng.integers(0, edits))):
+            w[at] = f"x{rng.integers(0, 40)}"
+        yield i, " ".join(w)
+
+
+@pytest.mark.parametrize("percent", [80, 100])
+def test_tiles_by_brute_force(spark, percent):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute_links([(r["doc_id"], r["text"]) for r in docs.collect()], percent)[1]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tiles.components(docs, percent=percent).collect()} == want
+
+
+def test_tiles_of_a_family(spark, monkeypatch):
+    """Edited copies that meet in hot tiles, cut into blocks; some linked only through others; lengths that fill several bands."""
+    monkeypatch.setattr(tiles, "BLOCK", 32)
+    rows = list(family(220, 5)) + [(1_000 + i, " ".join(t.split()[: 60 + i])) for i, t in family(60, 2, seed=5)] + [(2_000 + i, " ".join(f"v{j}" for j in range(5, 5 + i))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    links, want = brute_links(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tiles.components(docs).collect()} == want
+    pairs, members = tiles.similar(docs)
+    found = pairs.collect()
+    node = {r["doc_id"]: r["node"] for r in members.collect()}
+    sets = {bytes(node[i]): shingle_set(t) for i, t in rows if node[i] is not None}
+    got = {frozenset((sets[bytes(r["a"])], sets[bytes(r["b"])])) for r in found}
+    assert len(found) == len(links) and got == {frozenset(p) for p in links}
+    assert all((r["overlap"], r["n_union"]) == (len(x & y), len(x | y)) for r in found for x, y in [(sets[bytes(r["a"])], sets[bytes(r["b"])])])
+
+
+def test_bitmaps_never_exceed_the_difference():
+    """The bits by which two bitmaps differ, of any sizes, are at most the elements by which the sets do."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 3_000, n).astype(np.uint64)) for n in (1, 5, 64, 65, 300, 2_000, 9_000)]
+    maps = tiles.Bitmaps([tiles.bitmap(s).tobytes() for s in sets])
+    x, y = (a.reshape(-1) for a in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    for a, b, d in zip(x, y, maps.apart(x, y), strict=True):
+        assert d <= len(np.setxor1d(sets[a], sets[b])) and (a != b or d == 0)
+
+
+def test_tiles_odd_rows(spark):
+    """Null, empty, blank, short and very long texts, copies, null ids, clashing columns, an empty table."""
+    long = " ".join(f"w{i % 4_000}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (5, "one TWO"), (6, "two one"), (9, long), (8, long + " w0 w1 w2 w3 w4"), (None, "one two"), (None, "lone text without an id at all"), (2**63 - 1, "number of all"), (-7, "number of all")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("n", F.lit("x")).withColumn("members", F.lit(0))
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in tiles.components(table).collect()))
+    n = len(shingle_set(long))
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 1, 6), (9, n, 8), (8, n, 8), (0, 1, 4), (0, 3, 0), (2**63 - 1, 1, -7), (-7, 1, -7)])
+    assert tiles.components(table.limit(0)).count() == 0
