@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_srs, extract, imatch, langid, licenses, mixing, pieces, pii, superminhash, tiles, warc, whitening
+from . import ann_srs, extract, imatch, langid, licenses, mixing, pieces, pii, spelling, superminhash, tiles, warc, whitening
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.components(_docs(spark, sf_dir), words=5, percent=80)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
     "op11_whitening": op11_whitening,
     "op12_tiles": op12_tiles,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 

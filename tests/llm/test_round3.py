@@ -1,12 +1,14 @@
 """The operators on whitening, set joins and spelling variants, and what all operators owe to ids."""
 
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import ann_srs, extract, langid, mixing, pieces, pii, queries, superminhash, tiles, warc, whitening
+from lexspark.llm import ann_srs, extract, langid, mixing, pieces, pii, queries, spelling, superminhash, tiles, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -201,3 +203,77 @@ def test_tiles_odd_rows(spark):
     n = len(shingle_set(long))
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 1, 6), (9, n, 8), (8, n, 8), (0, 1, 4), (0, 3, 0), (2**63 - 1, 1, -7), (-7, 1, -7)])
     assert tiles.components(table.limit(0)).count() == 0
+
+
+# --- spelling variants -------------------------------------------------------------------------
+
+
+def brute_words(rows, least_length, least_count):
+    n = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate({c: c + 32 for c in range(65, 91)})
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    return {w: c for w, c in n.items() if len(w) >= least_length and c >= least_count}
+
+
+def brute_near(n):
+    """Near words by edits of every word with every letter that is used."""
+    alphabet = sorted({c for w in n for c in w})
+    near = defaultdict(set)
+    for w in n:
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + k :] for c in alphabet for k in (0, 1) for i in range(len(w) + 1 - k)}
+        near[w] = {x for x in edits if x in n and x != w}
+    return near
+
+
+def brute_variants(rows, least_length, least_count, times):
+    n = brute_words(rows, least_length, least_count)
+    near = brute_near(n)
+    form = {}
+    for w, some in near.items():
+        best = min(some, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= times * n[w] else None
+    out = {}
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None)
+    return out
+
+
+def test_spelling_by_brute_force(spark):
+    """A given table, with bounds that leave many words and long chains of forms."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute_variants([(r["doc_id"], r["text"]) for r in docs.collect()], 3, 2, 2)
+    got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.variants(docs, 3, 2, 2).collect()}
+    assert got == want and sum(f is not None for f, *_ in want.values()) > 100
+    assert any(want[f][0] is not None for f, *_ in want.values() if f is not None)
+
+
+def test_spelling_over_many_shards(spark):
+    """Shards of 40 words in bundles of a few: the same near words as by brute force."""
+    rng = np.random.default_rng(8)
+    n = {}
+    while len(n) < 900:
+        n["".join(rng.choice(list("abz\u00c0\u00e9\u00ff\u00d7"), int(rng.integers(1, 7))))] = int(rng.integers(1, 40))
+    want = {}
+    for w, some in brute_near(n).items():
+        best = min(some, key=lambda x: (-n[x], x), default=None)
+        want[w] = (n[w], len(some), n.get(best), best)
+    table = spark.createDataFrame(list(n.items()), "word string, n long")
+    got = {r["word"]: (r["n"], r["n_near"], r["best_n"], r["best"]) for r in spelling.near_words(table, shard_words=40, bundle_bytes=6_000).collect()}
+    assert got == want
+
+
+def test_spelling_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, letters outside the runs, words of many letters, clashing columns, an empty table."""
+    long = "xy" * 4_000 + "x" * 8_000
+    rows = [(1, None, 1), (2, "", 1), (None, "colours Colours " * 3, 1), (3, "colour " * 40, 1), (3, "colour " * 40, 1), (4, "na\u00efvely " * 5 + "Na\u00efvely", None), (5, f"{long} {long}y " * 6, 1), (6, "five5five five_ six \u0101bcdefgh", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("word", F.lit("w")).withColumn("root", F.lit(0))
+    want = brute_variants([(r[0], r[1]) for r in rows if r[0] != 5], 6, 5, 5) | {long: (None, long, 6, 1, None), long + "y": (None, long + "y", 6, 1, None)}
+    got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.variants(table).collect()}
+    assert got == want and want["colours"] == ("colour", "colour", 6, 1, 80)
+    assert spelling.variants(table.limit(0)).count() == 0
