@@ -31,7 +31,7 @@ from .superminhash import PERCENT, WORDS, Shingler, mix
 #: Counters of shingles by hash, and how many of them go in one row. A table of fixed size for any
 #: input: it only sets the order in which shingles count as rare, which every order would do exactly.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
-#: Smallest hashes of a set, in whose tiles it meets a centre.
+#: Smallest hashes of the rarer half of a set, in whose tiles it meets a centre.
 STARS = 8
 #: Members of a block of a tile.
 BLOCK = 512
@@ -114,7 +114,10 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _noded(words: int, percent: int, shared):
-    """Texts to nodes: bitmap, smallest hashes, and the rarest shingles in the order of rising level, then hash."""
+    """Texts to nodes: bitmap, smallest hashes of the rarer half, and the rarest shingles in the order of rising level, then hash.
+
+    The rarer half leaves out what most texts of a common passage share, but not what copies share.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, levels = Shingler(words), shared.value
@@ -122,15 +125,9 @@ def _noded(words: int, percent: int, shared):
             rows = []
             for doc_id, text_key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
                 s = shingles(text)
-                first = reach(len(s), percent)
-                level = levels[(s >> np.uint64(44)).astype(np.int64)]
-                if first < len(s):  # what lies beyond the level of the last one cannot be among the first
-                    near = level <= np.partition(level, first - 1)[first - 1]
-                    some, level = s[near], level[near]
-                else:
-                    some = s
-                rare = some[np.lexsort((some, level))][:first]
-                rows.append((doc_id, text_key, xxhash.xxh3_128_digest(s.tobytes()), len(s), bitmap(s).tobytes(), np.sort(mix(s))[:STARS].view(np.int64), rare.view(np.int64)))
+                in_order = s[np.lexsort((s, levels[(s >> np.uint64(44)).astype(np.int64)]))]
+                rare, half = in_order[: reach(len(s), percent)], in_order[: -(-len(s) // 2)]
+                rows.append((doc_id, text_key, xxhash.xxh3_128_digest(s.tobytes()), len(s), bitmap(s).tobytes(), np.sort(mix(half))[:STARS].view(np.int64), rare.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "text_key", "node", "n", "bits", "stars", "rare"])
 
     return run
