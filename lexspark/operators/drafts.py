@@ -204,33 +204,6 @@ def unique_ids(rows: DataFrame, order: list[str], by: str = "document_id") -> Da
     return x.withColumn("id", F.when(again == 1, F.col("__new")).otherwise(F.concat("__new", F.lit("x"), again.cast("string")))).drop("__n", "__new")
 
 
-def party_ids(parties: DataFrame) -> DataFrame:
-    """Parties of a document by name, with names and aliases that stand for them: ``(document_id, name_key, party_id)``; the first wins."""
-    numbered = parties.withColumn("party_id", F.concat(F.lit("party_"), F.regexp_replace(phrase(F.col("name")), " ", "-")))
-    names = numbered.select("document_id", "party_id", "chunk", "pos", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    return first_of_each(names.withColumn("name_key", phrase(F.col("name"))), F.col("name_key"), ["chunk", "pos", "party_id"]).select("document_id", "name_key", "party_id")
-
-
-def clause_of(rows: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``clause_id`` by clause number; of clauses with one number the last."""
-    last = clauses.where("number is not null").groupBy("document_id", F.lower("number").alias("n")).agg(F.max_by("clause_id", "ord").alias("clause_id"))
-    return rows.withColumn("n", F.lower("clauseNumber")).join(last, ["document_id", "n"], "left").drop("n")
-
-
-def assemble_obligations(drafted: DataFrame, parties: DataFrame, deadlines: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Duties with resolved clause, parties and deadline; what does not resolve is null and listed in ``issues``."""
-    names = party_ids(parties)
-    a = names.select("document_id", F.col("name_key").alias("ka"), F.col("party_id").alias("obligor_party_id"))
-    b = names.select("document_id", F.col("name_key").alias("kb"), F.col("party_id").alias("obligee_party_id"))
-    d = first_of_each(deadlines.where("ref is not null"), F.col("ref"), ["chunk", "pos"]).select("document_id", F.col("ref").alias("deadlineRef"), F.concat(F.lit("dl_"), phrase(F.col("ref"))).alias("deadline_id"))
-    x = clause_of(drafted, clauses).withColumn("ka", phrase(F.col("obligorParty"))).withColumn("kb", phrase(F.col("obligeeParty")))
-    x = x.join(a, ["document_id", "ka"], "left").join(b, ["document_id", "kb"], "left").join(d, ["document_id", "deadlineRef"], "left")
-    open_ = lambda said, got, name: F.when(F.col(said).isNotNull() & F.col(got).isNull(), F.lit(name))
-    issues = F.array_compact(F.array(open_("obligorParty", "obligor_party_id", "unknown-party"), open_("obligeeParty", "obligee_party_id", "unknown-party"), open_("deadlineRef", "deadline_id", "unknown-deadline"), open_("clauseNumber", "clause_id", "unknown-clause")))
-    ident = F.concat(F.lit("obl_"), F.substring(F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), phrase(F.col("summary"))), 256), 1, 12))
-    return x.select("document_id", ident.alias("id"), "chunk", "pos", "summary", "obligor_party_id", "obligee_party_id", "clause_id", "standard", "deadline_id", F.col("triggerText").alias("trigger_text"), F.col("consequenceText").alias("consequence_text"), issues.alias("issues"))
-
-
 def apply_hints(clauses: DataFrame, hints: DataFrame) -> DataFrame:
     """A proposed type for clauses whose own type is weak: ``hints(document_id, number, clause_type)``."""
     h = hints.groupBy("document_id", F.lower("number").alias("n")).agg(F.first("clause_type").alias("hint"))

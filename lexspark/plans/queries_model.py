@@ -333,6 +333,44 @@ def ask_topk(spark, sf_dir):
     return A.retrieve(a, _asked(spark)).select("document_id", "question_id", "place", "clause_id", "score")
 
 
+def _paragraphs(spark, sf_dir):
+    """Documents with their lines as clauses, numbered."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text"))
+    return docs.where("text <> ''").select("document_id", "ord", F.concat_ws("-", F.col("document_id").cast("string"), F.col("ord").cast("string")).alias("clause_id"), F.concat(F.col("ord").cast("string"), F.lit(".1")).alias("number"), F.lit(None).cast("string").alias("heading"), "text")
+
+
+def _user_questions(spark, sf_dir):
+    """What users ask in conversations, each asked of the documents whose id, modulo 100, is the conversation's."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question"), (F.col("conv_id") % 100).alias("c"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 100).alias("c"))
+    return said.join(docs, "c").select("question_id", "document_id", "question")
+
+
+_USER_TOP = rf"""WITH p AS (SELECT doc_id AS document_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ord FROM documents),
+    t AS (SELECT concat(conv_id, '/', turn) AS question_id, conv_id % 100 AS c, list_filter(list_transform(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.\s''-]', ' ', 'g'), '\s+'), lambda x: regexp_replace(x, '^[.''-]+|[.''-]+$', '', 'g')), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS terms FROM conversations WHERE role = 'user'),
+    u AS (SELECT question_id, c, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM t),
+    s AS (SELECT document_id, question_id, ord, CAST(sum((CASE WHEN contains(lower(text), term) THEN 1 ELSE 0 END + CASE WHEN contains(concat(ord, '.1'), term) THEN 4 ELSE 0 END) * CASE WHEN length(term) >= 6 THEN 3 ELSE 2 END) AS INT) AS score,
+      list(term ORDER BY pos) FILTER (contains(lower(concat_ws(' ', concat(ord, '.1'), text)), term)) AS matched FROM p JOIN u ON p.document_id % 100 = u.c WHERE text <> '' GROUP BY ALL),
+    top AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id, question_id ORDER BY score DESC, ord) AS INT) AS place FROM s WHERE score > 0)"""
+
+
+@query("ask_conversations", "A1 A2 A3", f"{_USER_TOP} SELECT document_id, question_id, place, concat(document_id, '-', ord) AS clause_id, score, array_to_string(matched, ' ') AS matched FROM top WHERE place <= 5")
+def ask_conversations(spark, sf_dir):
+    """The questions of all users, by the inverted index."""
+    return A.retrieve(_paragraphs(spark, sf_dir), _user_questions(spark, sf_dir)).select("document_id", "question_id", "place", "clause_id", "score", F.array_join("matched", " ").alias("matched"))
+
+
+@query(
+    "ask_excerpts", "A3 A10",
+    f"""{_USER_TOP}, e AS (SELECT top.document_id, question_id, place, left(p.text, 4000) AS text FROM top JOIN p ON p.document_id = top.document_id AND p.ord = top.ord WHERE place <= 3),
+    r AS (SELECT *, 12000 - coalesce(sum(length(text)) OVER (PARTITION BY document_id, question_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM e)
+    SELECT document_id, question_id, place, md5(left(text, CAST(room AS BIGINT))) AS digest FROM r WHERE room > 0""",
+)
+def ask_excerpts(spark, sf_dir):
+    clauses = _paragraphs(spark, sf_dir)
+    return A.excerpts(A.retrieve(clauses, _user_questions(spark, sf_dir), most=3), clauses).select("document_id", "question_id", "place", F.md5("text").alias("digest"))
+
+
 @query(
     "ask_confidence", "A5 A6 A8",
     ctes("corpus_a") + f""", {_RANKED}, best AS (SELECT document_id, question_id, max(score) AS s FROM top GROUP BY ALL), grid AS (SELECT DISTINCT document_id, q AS question_id FROM corpus_a, (VALUES (1), (2), (3)) v(q))

@@ -325,14 +325,19 @@ def findings_by_category(spark, sf_dir):
     return K.by_category(signals(spark, sf_dir)).select("document_id", "category", F.array_join("finding_ids", ",").alias("finding_ids"))
 
 
+_CLEAN = r"lower(regexp_replace(trim(s), '[.\s]+$', ''))"
+
+
 @query(
     "question_suggestions", "A9",
-    DUTIES + """, k AS (SELECT document_id, 0 AS kind, right_id AS id, summary AS s FROM corpus_rights UNION ALL SELECT document_id, 1, deadline_id, description FROM corpus_deadlines UNION ALL SELECT document_id, 2, obligation_id, summary FROM corpus_obligations),
-      t AS (SELECT *, row_number() OVER (PARTITION BY document_id, kind ORDER BY id) AS r FROM k) SELECT document_id, place, concat('What about ', s, '?') AS question FROM (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY kind, r) AS INT) AS place FROM t WHERE r <= 2) z WHERE place <= 5""",
+    DUTIES + f""", k AS (SELECT document_id, 0 AS kind, ord, concat(heading, ' risk. . ') AS s FROM corpus_a WHERE l_suppkey % 3 = 0 UNION ALL SELECT document_id, 1, ord, description FROM corpus_deadlines UNION ALL SELECT document_id, 2, ord, summary FROM corpus_obligations),
+      t AS (SELECT *, row_number() OVER (PARTITION BY document_id, kind ORDER BY ord) AS r FROM k), q AS (SELECT document_id, kind, r, CASE kind WHEN 0 THEN concat('What does the document say about ', {_CLEAN}, '?') WHEN 1 THEN concat('When is the deadline for ', {_CLEAN}, '?') ELSE concat('Who is responsible for: ', {_CLEAN}, '?') END AS question FROM t WHERE r <= 2)
+      SELECT document_id, place, question FROM (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY kind, r) AS INT) AS place FROM q) z WHERE place <= 5""",
 )
 def question_suggestions(spark, sf_dir):
     m = model(spark, sf_dir)
-    return A.suggestions(m.rights.withColumn("title", F.col("summary")), m.deadlines, m.obligations)
+    risks = m.a.where("l_suppkey % 3 = 0").select("document_id", "ord", F.concat("heading", F.lit(" risk. . ")).alias("title"))
+    return A.suggestions(risks, m.deadlines, m.obligations)
 
 
 @query("obligation_rows", "U5", DUTIES + "SELECT o.document_id, o.obligation_id, p.name AS obligor, q.name AS obligee, a.number AS clause_number, d.description AS deadline FROM corpus_obligations o LEFT JOIN corpus_parties p ON p.document_id = o.document_id AND p.party_id = o.obligor_id LEFT JOIN corpus_parties q ON q.document_id = o.document_id AND q.party_id = o.obligee_id LEFT JOIN corpus_a a ON a.clause_id = o.clause_id LEFT JOIN corpus_deadlines d ON d.deadline_id = o.deadline_id")
