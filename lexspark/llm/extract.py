@@ -40,6 +40,10 @@ WHOLE = frozenset("html body main".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 #: Names that content has too.
 WEAK = frozenset("promo promotion social share sharing related recommended side alert header notice notices discussion widget widgets login search skip".split())
+#: Words that turn a name into one of another thing: in such a compound the name says what is with, about or
+#: around the content. It counts as a weak one, and within an article not at all if it is of the first kind.
+TURNS = frozenset("has have with without no not non of on for about under".split())
+LAYOUT = frozenset("content page layout main body article entry text story".split())
 #: A start of one of these ends an open paragraph.
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "summary", "html", "body"}
 ENDS_P = frozenset("td th button object article section div main aside footer body".split())
@@ -128,9 +132,9 @@ class Lines(HTMLParser):
         hidden = was_hidden or self.furniture(tag, given, inside)
         named = was_named
         if not hidden and not named and self.named(tag, given, inside):
-            words = self.words(given) & NAMES
-            self.holds_article.append(None if words & COMMENTS else False)
-            self.weak.append(words <= WEAK)
+            clear = self.words(given, inside)[0] & NAMES
+            self.holds_article.append(None if clear & COMMENTS else False)
+            self.weak.append(clear <= WEAK)
             named = len(self.weak) - 1
         if (hidden, named) != (was_hidden, was_named):
             self.flush()
@@ -174,13 +178,21 @@ class Lines(HTMLParser):
         return (attrs.get("role") or "").lower() in ROLES
 
     @staticmethod
-    def words(attrs: dict) -> set[str]:
-        return {w.lower() for key in ("class", "id") for w in _NAME.findall(attrs.get(key) or "")}
+    def words(attrs: dict, inside: bool) -> tuple[set[str], set[str]]:
+        """The words of classes and id: those of plain names, and those of compounds that may mean something else."""
+        clear, turned = set(), set()
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+            words = {w.lower() for w in _NAME.findall(name)}
+            if not words & (TURNS | LAYOUT):
+                clear |= words
+            elif not (inside and words & TURNS):
+                turned |= words
+        return clear, turned
 
     def named(self, tag: str, attrs: dict, inside: bool) -> bool:
         if tag in WHOLE or tag == "header":
             return False
-        return bool(self.words(attrs) & (COMMENTS if tag == "article" else NAMES - {"header", "side", "alert", "search"} if inside else NAMES))
+        return bool(set.union(*self.words(attrs, inside)) & (COMMENTS if tag == "article" else NAMES - {"header", "side", "alert", "search"} if inside else NAMES))
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

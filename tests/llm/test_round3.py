@@ -277,3 +277,24 @@ def test_spelling_odd_rows(spark):
     got = {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in spelling.variants(table).collect()}
     assert got == want and want["colours"] == ("colour", "colour", 6, 1, 80)
     assert spelling.variants(table.limit(0)).count() == 0
+
+
+# --- main text ---------------------------------------------------------------------------------
+
+PROSE = "<p>" + "A long paragraph of prose with many words in it, which goes on for a while and says things. " * 4 + "</p>"
+PAGE = "<html><body><nav><a href=1>Home</a><a href=2>About</a></nav>{}<footer>Copyright</footer></body></html>"
+
+
+@pytest.mark.parametrize("attrs", ['class="content-sidebar-wrap"', 'class="post with-comments"', 'id="page" class="no-banner"', 'class="has-sidebar"'])
+def test_compound_names_hide_no_content(attrs):
+    got = extract.main_text(PAGE.format(f"<div {attrs}><h2>Title</h2>{PROSE * 4}</div>"))
+    assert got.startswith("Title\n\nA long") and len(got.split("\n\n")) == 5 and "Copyright" not in got
+
+
+def test_names_within_an_article():
+    """What is about something stays in an article; plain names of furniture go, in and outside of it."""
+    kept = extract.main_text(PAGE.format(f'<main><h1>T</h1>{PROSE * 4}<div class="comment-on-ruling"><p>First said.</p></div><p class="notice-of-meeting">Second said.</p></main>'))
+    assert "First said." in kept and "Second said." in kept
+    gone = extract.main_text(PAGE.format(f'<div class="x">{PROSE * 4}</div><div class="comments-section">{PROSE * 9}</div><div class="cookie-notice">{PROSE}</div>'))
+    assert len(gone.split("\n\n")) == 4
+    assert extract.main_text(PAGE.format(f'<div class="cookie-notice">{PROSE}</div>')) == ""
