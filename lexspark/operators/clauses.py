@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ascii_edges, collapse, cut, matches
+from .sweeps import innermost, last_before, overlaps
 
 # Heading shapes as (pattern, group of the number, group of the heading, level, longest line).
 HEADINGS = [
@@ -190,17 +191,15 @@ def paragraphs(content: DataFrame) -> DataFrame:
 
 
 def innermost_clause(points: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``points(document_id, offset)`` with the smallest clause around each, the first of equals; equality on the document keeps the join local."""
-    c = clauses.select("document_id", "clause_id", "ord", "start_offset", "end_offset")
-    hit = points.join(c, "document_id").where("offset >= start_offset and offset < end_offset")
-    best = hit.groupBy("document_id", "offset").agg(F.min_by("clause_id", F.struct(F.col("end_offset") - F.col("start_offset"), "ord")).alias("clause_id"))
-    return points.join(best, ["document_id", "offset"], "left")
+    """``points(document_id, offset)`` with the smallest clause around each, the first of equals; by a sweep over each document."""
+    rank = F.struct((F.col("end_offset") - F.col("start_offset")).alias("size"), "ord")
+    return points.join(innermost(points, clauses, "clause_id", rank), ["document_id", "offset"], "left")
 
 
 def clauses_in_range(ranges: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Clauses that overlap ``ranges(document_id, range_id, from_offset, to_offset)``, both ends included."""
-    c = clauses.select("document_id", "clause_id", "start_offset", "end_offset")
-    return ranges.join(c, "document_id").where("start_offset <= to_offset and end_offset >= from_offset").select("document_id", "range_id", "clause_id")
+    """Clauses that overlap ``ranges(document_id, range_id, from_offset, to_offset)``, both ends included; by a sweep over each document."""
+    asked = ranges.select("document_id", "range_id", F.col("from_offset").alias("lo"), F.col("to_offset").alias("hi"))
+    return overlaps(asked, clauses.select("document_id", "clause_id", F.col("start_offset").alias("lo"), F.col("end_offset").alias("hi")), "range_id", "clause_id")
 
 
 def pack_chunks(clauses: DataFrame, most: int = 48_000) -> DataFrame:
@@ -255,9 +254,12 @@ def with_offsets(clauses: DataFrame, gap: int = 1) -> DataFrame:
 
 
 def locate(points: DataFrame, clauses: DataFrame, paragraph_table: DataFrame, pages: DataFrame) -> DataFrame:
-    """Page, paragraph and innermost clause of ``points(document_id, offset)``."""
+    """Page, paragraph and innermost clause of ``points(document_id, offset)``.
+
+    Paragraphs and pages are in order and apart, so that the last one to start tells; a point after
+    the end of its paragraph has none.
+    """
     p = paragraph_table.select("document_id", "paragraph", F.col("start_offset").alias("p0"), F.col("end_offset").alias("p1"))
-    inside = points.join(p, "document_id").where("offset >= p0 and offset <= p1").groupBy("document_id", "offset").agg(F.min("paragraph").alias("paragraph"))
-    g = pages.select("document_id", "page_number", "char_start")
-    page = points.join(g, "document_id").where("char_start <= offset").groupBy("document_id", "offset").agg(F.max_by("page_number", "char_start").alias("page"))
+    inside = last_before(points, p, "p0", ["paragraph", "p1"]).where("offset <= p1").drop("p1")
+    page = last_before(points, pages.select("document_id", "page_number", "char_start"), "char_start", ["page_number"]).withColumnRenamed("page_number", "page")
     return innermost_clause(points, clauses).join(inside, ["document_id", "offset"], "left").join(page, ["document_id", "offset"], "left")

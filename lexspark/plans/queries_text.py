@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import clauses as C
+from ..operators import views as U
 from ..sources import ingest as S
 from .corpus import corpus, ctes
 from .model import documents, model
@@ -134,6 +135,46 @@ def clause_range_overlap(spark, sf_dir):
     return C.clauses_in_range(ranges, placed)
 
 
+# Intervals that nest, cross, touch and are empty, from the clauses, and points all over them.
+_NESTED = """spans AS (SELECT document_id, ord, clause_id, CAST(ord * 7 + l_partkey % 5 AS INT) AS start_offset, CAST(ord * 7 + l_partkey % 5 + l_suppkey % 40 AS INT) AS end_offset FROM corpus_a),
+    points AS (SELECT DISTINCT document_id, CAST(ord * 7 + q AS INT) AS "offset" FROM corpus_a, (VALUES (0), (3), (4), (20)) v(q))"""
+
+
+def _nested(spark, sf_dir):
+    (a,) = corpus(spark, sf_dir, "corpus_a")
+    start = F.col("ord") * 7 + F.col("l_partkey") % 5
+    spans = a.select("document_id", "ord", "clause_id", start.cast("int").alias("start_offset"), (start + F.col("l_suppkey") % 40).cast("int").alias("end_offset"))
+    points = a.select("document_id", F.explode(F.transform(F.array(*[F.lit(q) for q in (0, 3, 4, 20)]), lambda q: F.col("ord") * 7 + q)).alias("offset")).distinct()
+    return spans, points
+
+
+@query(
+    "nested_clauses", "C15",
+    ctes("corpus_a") + f""", {_NESTED} SELECT p.document_id, p."offset", min_by(clause_id, (end_offset - start_offset) * 1000 + ord) AS clause_id
+      FROM points p LEFT JOIN spans s ON s.document_id = p.document_id AND p."offset" >= start_offset AND p."offset" < end_offset GROUP BY ALL""",
+)
+def nested_clauses(spark, sf_dir):
+    spans, points = _nested(spark, sf_dir)
+    return C.innermost_clause(points, spans).select("document_id", "offset", "clause_id")
+
+
+@query(
+    "highlight_segments", "U9",
+    ctes("corpus_a") + f""", {_NESTED}, marks AS (SELECT document_id, start_offset AS h0, end_offset AS h1 FROM spans WHERE end_offset > start_offset AND ord % 2 = 0), blocks AS (SELECT document_id, ord, CAST(ord * 20 - 20 AS BIGINT) AS b0, CAST(ord * 20 - 1 AS BIGINT) AS b1 FROM corpus_a),
+      cuts AS (SELECT document_id, ord, b0 AS c FROM blocks UNION SELECT document_id, ord, b1 FROM blocks UNION SELECT b.document_id, ord, greatest(h, b0) FROM blocks b JOIN (SELECT document_id, h0 AS h, h0, h1 FROM marks UNION ALL SELECT document_id, h1, h0, h1 FROM marks) m ON m.document_id = b.document_id AND h > b0 AND h < b1),
+      parts AS (SELECT document_id, ord, c, lead(c) OVER (PARTITION BY document_id, ord ORDER BY c) AS d FROM cuts), each AS (SELECT *, EXISTS (SELECT 1 FROM marks m WHERE m.document_id = p.document_id AND h0 <= c AND h1 >= d) AS marked FROM parts p WHERE d IS NOT NULL),
+      runs AS (SELECT *, CASE WHEN marked = lag(marked) OVER (PARTITION BY document_id, ord ORDER BY c) THEN 0 ELSE 1 END AS fresh FROM each), named AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id, ord ORDER BY c) AS run FROM runs)
+      SELECT document_id, ord AS block, min(c) AS "from", max(d) AS "to", marked FROM named GROUP BY document_id, ord, run, marked""",
+)
+def highlight_segments(spark, sf_dir):
+    """Blocks cut by their merged highlights."""
+    spans, _ = _nested(spark, sf_dir)
+    merged = U.merge_intervals(spans.where("end_offset > start_offset and ord % 2 = 0"), ["document_id"])
+    (a,) = corpus(spark, sf_dir, "corpus_a")
+    blocks = a.select("document_id", F.col("ord").alias("block"), (F.col("ord") * 20 - 20).alias("start_offset"), (F.col("ord") * 20 - 1).alias("end_offset"))
+    return U.segments(blocks, merged)
+
+
 _LINES = "lines0 AS (SELECT doc_id AS document_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)"
 
 

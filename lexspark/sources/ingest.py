@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import collapse, cut, sanitize, stable_hash
+from ..operators.sweeps import last_before
 
 MOST_BYTES, MOST_PAGES, MOST_CHARS = 25 * 1024 * 1024, 400, 2_000_000
 # File types by MIME type and by extension.
@@ -102,9 +103,8 @@ def joined(page_table: DataFrame) -> DataFrame:
 
 def page_at(points: DataFrame, page_table: DataFrame) -> DataFrame:
     """The last page that starts at or before each offset, else the first: an as-of join by document."""
-    p = page_table.select("document_id", "page_number", "char_start")
-    hit = points.join(p, "document_id").where("char_start <= offset").groupBy("document_id", "offset").agg(F.max_by("page_number", "char_start").alias("page"))
-    return points.join(hit, ["document_id", "offset"], "left").withColumn("page", F.coalesce("page", F.lit(1)))
+    p = page_table.select("document_id", F.col("page_number").alias("page"), "char_start")
+    return points.join(last_before(points, p, "char_start", ["page"]), ["document_id", "offset"], "left").withColumn("page", F.coalesce("page", F.lit(1)))
 
 
 def snippet(text: Column, start: Column, end: Column, most: int = 400) -> Column:
