@@ -100,4 +100,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = spelling.UPPER, spelling.LOWER
+
+
+def _sql_components(words: int, percent: int, kept: bool) -> str:
+    """Components of documents linked by their shingle sets, by counting common shingles of every pair that has one."""
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {words - 2}), lambda i: array_to_string(ws[i:i + {words - 1}], ' ')) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+    r(doc, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT doc, b FROM r JOIN links ON a = root),
+    c AS (SELECT doc, min(root) AS component_id FROM r GROUP BY doc)
+    SELECT doc AS doc_id, coalesce(n, 0) AS n_shingles, component_id{", doc = component_id AS kept" if kept else ""} FROM c LEFT JOIN n ON n.doc_id = doc"""
+
+
+#: A byte at a time: the remainder of each byte value, then the bytes of the text.
+_CRC = (
+    "crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t)"
+)
+_SPELLING = rf"""WITH RECURSIVE {_CRC}, runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+    low AS (SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+    hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(hex(encode(s))), 2), lambda i: CAST(('0x' || hex(encode(s))[i + 1:i + 2]) AS BIGINT))), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) AS h
+      FROM (SELECT run, k, concat(doc_id, ':', run) AS s FROM low), crc),
+    v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN concat(run[:h % length(run)], run[h % length(run) + 2:]) ELSE run END AS word, k FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+    cut AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v), gone AS MATERIALIZED (SELECT word, n, i, concat(word[:i - 1], word[i + 1:]) AS rest FROM cut),
+    near AS (SELECT a.word, b.word AS other, b.n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM gone a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM gone a JOIN v b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+    f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+    up(word, stop) AS (SELECT word, word FROM f UNION SELECT up.word, f.form FROM up JOIN f ON f.word = up.stop WHERE f.form IS NOT NULL)
+    SELECT f.word, form, (SELECT stop FROM up JOIN f e ON e.word = up.stop WHERE up.word = f.word AND e.form IS NULL) AS root, n, n_near, form_n FROM f"""
+
+#: The others need trees, projections, transducers, whole archives or a search for which SQL has no words.
+ORACLE_SQL: dict[str, str] = {
+    "op2_superminhash": _sql_components(3, 85, True),
+    "op12_tiles": _sql_components(5, 80, False),
+    "op13_spelling": _SPELLING,
+}

@@ -7,9 +7,10 @@ differ in d bits belong to sets that differ in at least d shingles, which bounds
 above. Pairs that the bound leaves are compared exactly, as sorted arrays. Hot tiles are cut into
 blocks, of which any two meet in a tile of their own.
 
-For components, nodes meet first at one centre of each tile of a few small hashes, so that a family
-of near copies is one component after work in proportion to its size; then only tiles of several
-components are compared, and in them only pairs of different ones.
+For components, nodes meet first at one centre of each tile of a few small hashes, so that most of a
+family of near copies is one component after work in proportion to its size; then only tiles of several
+components are compared, first by the one likeliest pair of any two, then by all pairs of those that are
+still apart.
 """
 
 from __future__ import annotations
@@ -194,8 +195,12 @@ class Sets:
         discard(tiles, mine, centres)
         return pairs
 
-    def met_in_tiles(self, roots: DataFrame | None = None) -> DataFrame:
-        """All pairs ``(a, b)`` that may be similar enough, of different roots in ``roots(node, root)`` if that is given."""
+    def met_in_tiles(self, roots: DataFrame | None = None, one_each: bool = False) -> DataFrame:
+        """All pairs ``(a, b)`` that may be similar enough, of different roots in ``roots(node, root)`` if that is given.
+
+        With ``one_each`` only the pair with the highest bound of any two roots: what is left of a
+        family is linked by one pair to all of it, and not to each member.
+        """
         named = self.nodes.select("nid", "n", "rare") if roots is None else self.nodes.select("nid", "n", "rare").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
         named = named.withColumn("root", F.col("nid") if roots is None else F.coalesce("root", "nid"))
         posts = named.select("nid", "n", "root", F.posexplode("rare").alias("place", "s"))
@@ -210,8 +215,10 @@ class Sets:
         tile = banded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         rows = tile.select("s", "band", "i", "j", "up", "block", "nid", "root", "n", "place", "bits")
         keys = ["s", "band", "i", "j"]
-        met = map_batches(rows.repartition(*keys).sortWithinPartitions(*keys, "nid"), _tiled(self.percent), "a long, b long")
-        pairs = materialize(met.distinct(), "pairs")
+        met = map_batches(rows.repartition(*keys).sortWithinPartitions(*keys, "nid"), _tiled(self.percent, one_each), "a long, b long, lo long, hi long, near double")
+        if one_each:
+            met = met.groupBy("lo", "hi").agg(F.max(F.struct("near", "a", "b")).alias("m")).select("m.a", "m.b")
+        pairs = materialize(met.select("a", "b").distinct(), "pairs")
         discard(tiles, live)
         return pairs
 
@@ -258,12 +265,15 @@ def _verified(percent: int):
     return run
 
 
-def _compared(rows: pd.DataFrame, tile: np.ndarray, percent: int) -> pd.DataFrame:
-    """The pairs of rows of one tile that size, place and bitmap leave; ``tile`` numbers the tiles, in order."""
+def _compared(rows: pd.DataFrame, tile: np.ndarray, percent: int, one_each: bool) -> pd.DataFrame:
+    """The pairs of rows of one tile that size, place and bitmap leave, with their roots and the bound of their similarity; ``tile`` numbers the tiles, in order.
+
+    With ``one_each`` the pair with the highest bound of each two roots.
+    """
     nid, root, n, place, block, up = (rows[c].to_numpy(np.int64) for c in ("nid", "root", "n", "place", "block", "up"))
     two_blocks = rows["i"].to_numpy(np.int64) != rows["j"].to_numpy(np.int64)
     maps = Bitmaps(rows["bits"].tolist())
-    found = []
+    found = [np.empty((0, 5), np.int64)]
     for step in range(1, len(rows)):
         x = np.flatnonzero(tile[step:] == tile[:-step])
         if not len(x):
@@ -275,20 +285,34 @@ def _compared(rows: pd.DataFrame, tile: np.ndarray, percent: int) -> pd.DataFram
         low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         fit = (100 * low >= percent * high) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need(n[x], n[y], percent))
         x, y = x[fit], y[fit]
-        fit = (n[x] + n[y] - maps.apart(x, y)) // 2 >= need(n[x], n[y], percent)
-        found.append(np.stack([np.minimum(nid[x[fit]], nid[y[fit]]), np.maximum(nid[x[fit]], nid[y[fit]])], axis=1))
-    pairs = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _tiled(percent: int):
+        most = (n[x] + n[y] - maps.apart(x, y)) // 2
+        fit = most >= need(n[x], n[y], percent)
+        x, y, most = x[fit], y[fit], most[fit]
+        near = (1_000_000 * most) // (n[x] + n[y] - most)
+        found.append(np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y]), near, np.minimum(nid[x], nid[y]), np.maximum(nid[x], nid[y])], axis=1))
+        if one_each and len(found) > 64:
+            found = [_highest(np.concatenate(found))]
+    pairs = np.unique(np.concatenate(found), axis=0)
+    pairs = _highest(pairs) if one_each else pairs
+    return pd.DataFrame({"a": pairs[:, 3], "b": pairs[:, 4], "lo": pairs[:, 0], "hi": pairs[:, 1], "near": pairs[:, 2] / 1e6})
+
+
+def _highest(pairs: np.ndarray) -> np.ndarray:
+    """Of rows ``(lo, hi, near, ...)`` the one with the highest bound for each two roots."""
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    last = np.ones(len(pairs), bool)
+    last[:-1] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+    return pairs[last]
+
+
+def _tiled(percent: int, one_each: bool):
     """Rows by tile to pairs; a tile that goes on in the next frame waits for it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, waiting = ["s", "band", "i", "j"], []
 
         def out(rows: pd.DataFrame, numbers: np.ndarray) -> pd.DataFrame:
-            return _compared(rows.reset_index(drop=True), numbers, percent)
+            return _compared(rows.reset_index(drop=True), numbers, percent, one_each)
 
         for batch in batches:
             rows = pd.concat([*waiting, batch], ignore_index=True) if waiting else batch
@@ -343,13 +367,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     links = sets.verified(near)
     roots = materialize(connected_components(links.select("a", "b")), "roots")
     discard(pairs, near)
-    pairs = sets.met_in_tiles(roots)
-    if pairs.limit(1).count():
-        more = sets.verified(pairs)
-        discard(roots)
-        roots = materialize(connected_components(links.select("a", "b").unionByName(more.select("a", "b"))), "roots")
-        discard(more)
-    discard(pairs, links)
+    # What is still apart: first one pair for any two components that may be one, then all that is left.
+    for one_each in (True, False):
+        pairs = sets.met_in_tiles(roots, one_each)
+        if pairs.limit(1).count():
+            more = sets.verified(pairs)
+            every = materialize(links.select("a", "b").unionByName(more.select("a", "b")), "links")
+            discard(roots, links, more)
+            links = every
+            roots = materialize(connected_components(links), "roots")
+        discard(pairs)
+    discard(links)
     placed = sets.nodes.select("nid", "node").join(roots.withColumnRenamed("node", "nid"), "nid", "left").groupBy("node").agg(F.min(F.coalesce("root", "nid")).alias("root"))
     named = materialize(sets.members.select("node", "doc", "members").join(placed, "node"), "named")
     lowest = named.groupBy("root").agg(F.min("doc").alias("low"))

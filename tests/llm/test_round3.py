@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -298,3 +299,17 @@ def test_names_within_an_article():
     gone = extract.main_text(PAGE.format(f'<div class="x">{PROSE * 4}</div><div class="comments-section">{PROSE * 9}</div><div class="cookie-notice">{PROSE}</div>'))
     assert len(gone.split("\n\n")) == 4
     assert extract.main_text(PAGE.format(f'<div class="cookie-notice">{PROSE}</div>')) == ""
+
+
+# --- SQL ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    got = queries.QUERIES[name](spark, SF)
+    assert set(got.columns) == set(columns)
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(columns).collect())
