@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import edge_schema
+from ..shared import discard, written
 from ..shipping import ship
 
 EDGE = ["document_id", "type", "from_id", "from_type", "to_id", "to_type"]
@@ -151,19 +152,33 @@ def clusters(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
-    """``pairs(document_id, a, b)`` to the nodes of a shortest undirected path, the smallest of equals; null beyond ``most`` steps."""
-    links = both_ways(edges).select("document_id", "node", "neighbour").distinct()
-    at = pairs.select("document_id", "a", "b", F.array("a").alias("path"), F.col("a").alias("node"))
-    found = at.where("node = b").select("document_id", "a", "b", "path")
-    live = at.where("node <> b")
+    """``pairs(document_id, a, b)`` to the nodes of a shortest undirected path, the smallest of equals; null beyond ``most`` steps.
+
+    A search from ``a`` in rounds. Each frontier is written down, so that a round costs one join
+    however many came before it, and the search ends with the first empty one: ``most`` may be as
+    large as the longest path. Pairs that have met leave the search, as do nodes that a pair has seen.
+    """
+    links = written(both_ways(edges).select("document_id", "node", "neighbour").distinct(), "links")
+    key = ["document_id", "a", "b"]
+    live = written(pairs.distinct().select(*key, F.array("a").alias("path"), F.col("a").alias("node")), "frontier")
+    seen = [live.select(*key, "node")]
+    found = [live.where("node = b").select(*key, "path")]
+    tables = [live]
     for _ in range(most):
-        step = live.join(links, ["document_id", "node"]).where(~F.array_contains("path", F.col("neighbour")))
+        step = live.where("node <> b").join(links, ["document_id", "node"]).select(*key, "path", F.col("neighbour").alias("node"))
+        before = reduce(DataFrame.unionByName, seen)
         # Of the paths to one node only the smallest goes on.
-        live = step.groupBy("document_id", "a", "b", F.col("neighbour").alias("node")).agg(F.min(F.concat("path", F.array("neighbour"))).alias("path"))
-        found = found.unionByName(live.where("node = b").select("document_id", "a", "b", "path"))
-        live = live.where("node <> b")
-    best = found.groupBy("document_id", "a", "b").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("s"))
-    return pairs.select("document_id", "a", "b").join(best, ["document_id", "a", "b"], "left").select("document_id", "a", "b", F.col("s.path").alias("path"))
+        near = step.join(before, [*key, "node"], "left_anti").groupBy(*key, "node").agg(F.min(F.concat("path", F.array("node"))).alias("path"))
+        met = near.withColumn("met", F.max((F.col("node") == F.col("b")).cast("int")).over(Window.partitionBy(*key)))
+        live = written(met.where("met = 0 or node = b").drop("met"), "frontier")
+        tables.append(live)
+        if not live.limit(1).count():
+            break
+        seen.append(live.select(*key, "node"))
+        found.append(live.where("node = b").select(*key, "path"))
+    paths = written(reduce(DataFrame.unionByName, found), "paths")
+    discard(links, *tables)
+    return pairs.select(key).join(paths, key, "left")
 
 
 def cycles(edges: DataFrame, most: int = 25) -> DataFrame:
@@ -241,15 +256,61 @@ def label(kind: Column) -> Column:
     return _edge_word(kind, 1, F.replace(kind, F.lit("-"), F.lit(" ")))
 
 
-def search(nodes: DataFrame, text: str) -> DataFrame:
-    """Nodes whose label holds a text."""
-    return nodes.where(F.contains(F.lower("label"), F.lit(text.lower())))
+# How each entity type reads, and the groups that a view switches on and off.
+TYPE_LABELS = {
+    "document": "Document", "clause": "Clause", "definition": "Definition", "party": "Party", "obligation": "Obligation", "right": "Right",
+    "condition": "Condition", "deadline": "Deadline", "consequence": "Consequence", "risk": "Risk signal", "inconsistency": "Inconsistency",
+}
+GROUPS = {
+    "document": ["document", "clause", "definition"],
+    "parties": ["party"],
+    "duties": ["obligation", "right"],
+    "timing": ["condition", "deadline"],
+    "findings": ["consequence", "risk", "inconsistency"],
+}
+FINDINGS = ["risk", "inconsistency"]
+
+
+def type_label(entity_type: Column) -> Column:
+    """An entity type as a reader sees it."""
+    words = F.create_map(*[F.lit(x) for kv in TYPE_LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(words, entity_type), F.lit("Entity"))
 
 
-def rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each node with its neighbours as a sorted list."""
-    near = both_ways(edges).groupBy("document_id", F.col("node").alias("id")).agg(F.array_sort(F.collect_set(F.struct("type", "direction", "neighbour"))).alias("links"))
-    return nodes.join(near, ["document_id", "id"], "left")
+def in_groups(nodes: DataFrame, edges: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The nodes of some groups, and the edges among them."""
+    kept = nodes.where(F.col("entity_type").isin([t for g in groups for t in GROUPS[g]]))
+    return kept, subgraph(edges, kept)
+
+
+def search(nodes: DataFrame, text: str | None) -> DataFrame:
+    """Nodes whose label, type or type's label holds a text, whatever its case; all for an empty one."""
+    needle = F.lit((text or "").strip().lower())
+    hit = lambda value: F.contains(F.lower(F.coalesce(value, F.lit(""))), needle)
+    return nodes.where(hit(F.col("label")) | hit(F.col("entity_type")) | hit(type_label(F.col("entity_type"))))
+
+
+def rows(nodes: DataFrame, edges: DataFrame, text: str | None = None) -> DataFrame:
+    """Each node with its type, citations and what it is related to, as text.
+
+    ``nodes(document_id, id, entity_type, label[, provenance, evidence_count])``, ``edges`` with
+    ``provenance`` if known. ``links`` has of each edge the phrase, category, provenance and the
+    other end, sorted; ``text`` keeps the rows whose label, type, phrases or neighbours hold it.
+    """
+    have = lambda table, name, other: F.coalesce(F.col(name), F.lit(other)) if name in table.columns else F.lit(other)
+    told = edges.select("document_id", "from_id", "to_id", "type", have(edges, "provenance", "unknown").alias("edge_provenance"))
+    ends = [told.select("document_id", F.col(x).alias("id"), F.col(y).alias("other_id"), "type", F.lit(tail).alias("tail"), "edge_provenance") for x, y, tail in (("from_id", "to_id", ""), ("to_id", "from_id", " (incoming)"))]
+    others = nodes.select("document_id", F.col("id").alias("other_id"), F.col("label").alias("other_label"), F.col("entity_type").alias("other_type"))
+    near = ends[0].unionByName(ends[1]).join(others, ["document_id", "other_id"], "left")
+    link = F.struct(
+        F.concat(label(F.col("type")), "tail").alias("phrase"), semantics(F.col("type")).alias("category"), F.col("edge_provenance").alias("provenance"), "type", "other_id",
+        F.coalesce("other_label", "other_id").alias("other_label"), F.when(F.col("other_type").isNull(), "Entity").otherwise(type_label(F.col("other_type"))).alias("other_type_label"),
+    )
+    linked = near.groupBy("document_id", "id").agg(F.array_sort(F.collect_list(link)).alias("links"))
+    out = nodes.select("document_id", "id", "entity_type", "label", type_label(F.col("entity_type")).alias("type_label"), have(nodes, "provenance", "unknown").alias("provenance"), have(nodes, "evidence_count", 0).alias("evidence_count"))
+    out = out.join(linked, ["document_id", "id"], "left").withColumn("links", F.coalesce("links", F.array().cast(linked.schema["links"].dataType)))
+    said = F.lower(F.concat_ws(" ", "label", "type_label", F.transform("links", lambda k: F.concat_ws(" ", k["phrase"], k["other_label"]))))
+    return out.where(F.contains(said, F.lit((text or "").strip().lower())))
 
 
 def with_findings(nodes: DataFrame, edges: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -261,6 +322,45 @@ def with_findings(nodes: DataFrame, edges: DataFrame, findings: DataFrame) -> tu
 
 
 def default_focus(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The duty with most edges, the first of equals."""
-    n = nodes.where("entity_type = 'obligation'").join(degrees(edges), ["document_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return n.groupBy("document_id").agg(F.min_by("id", F.struct(-F.col("degree"), "id")).alias("focus"))
+    """Where a view starts: the duty with most edges, else the right, deadline or condition with most, else the first node.
+
+    ``nodes`` are in the order of ``place``, which also decides between equals.
+    """
+    turn = F.when(F.col("entity_type") == "obligation", 0).when(F.col("entity_type").isin("right", "deadline", "condition"), 1).otherwise(2)
+    n = nodes.withColumn("turn", turn).join(degrees(edges), ["document_id", "id"], "left")
+    rank = F.struct("turn", F.when(F.col("turn") < 2, -F.coalesce("degree", F.lit(0))).otherwise(0).alias("minus"), "place")
+    return n.groupBy("document_id").agg(F.min_by("id", rank).alias("focus"))
+
+
+def topics(nodes: DataFrame, most: int = 6) -> DataFrame:
+    """What a reader may start from: the first three duties, one inconsistency and two deadlines of each document."""
+    # How many of each type, in this order.
+    take = {"obligation": 3, "inconsistency": 1, "deadline": 2}
+    chain = lambda values: reduce(lambda acc, t: acc.when(F.col("entity_type") == t, values[t]), take, F.when(F.lit(False), 0))
+    ranked = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("document_id", "entity_type").orderBy("place"))).where(F.col("nth") <= chain(take))
+    order = Window.partitionBy("document_id").orderBy(chain({t: i for i, t in enumerate(take)}), "nth")
+    return ranked.withColumn("topic", F.row_number().over(order)).where(F.col("topic") <= most).select("document_id", "topic", "id", "label", F.col("entity_type").alias("type"))
+
+
+def focused_view(nodes: DataFrame, edges: DataFrame, focus: DataFrame | None = None, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Nodes within ``depth`` steps of each document's focus, with the findings on them, and the edges among them.
+
+    ``focus(document_id, focus)`` may name a node; a document where it names none starts at
+    :func:`default_focus`. Risks and inconsistencies are no nodes of the view, unless one is its
+    focus; they are listed in ``findings`` of what they are about.
+    """
+    # Read by every step below.
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")
+    start = default_focus(nodes, edges)
+    if focus is not None:
+        named = focus.join(nodes.select("document_id", F.col("id").alias("focus")), ["document_id", "focus"], "left_semi").withColumnRenamed("focus", "named")
+        start = start.join(named, "document_id", "left").select("document_id", F.coalesce("named", "focus").alias("focus"))
+    primary = nodes.join(start, "document_id").where((F.col("id") == F.col("focus")) | ~F.col("entity_type").isin(FINDINGS))
+    among = subgraph(edges, primary)
+    near = reach(among, start.select("document_id", F.col("focus").alias("id")), depth).select("document_id", "id", "depth")
+    seen = primary.join(near, ["document_id", "id"])
+    finding = nodes.where(F.col("entity_type").isin(FINDINGS)).select("document_id", F.col("id").alias("node"), F.lit(True).alias("finding"))
+    about = both_ways(edges).join(finding, ["document_id", "node"]).select("document_id", F.col("neighbour").alias("id"), F.col("node").alias("finding"))
+    about = about.join(finding.select("document_id", F.col("node").alias("id")), ["document_id", "id"], "left_anti").groupBy("document_id", "id").agg(F.array_sort(F.collect_list("finding")).alias("findings"))
+    shown = seen.join(about, ["document_id", "id"], "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
+    return shown.select("document_id", "id", "entity_type", "label", "depth", "findings"), subgraph(among, shown)

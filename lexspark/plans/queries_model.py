@@ -172,8 +172,9 @@ def clusters_topk(spark, sf_dir):
 
 @query(
     "shortest_path", "R7",
-    DUTIES + """SELECT c.document_id, c.party_id AS a, s.party_id AS b, CASE WHEN o.via IS NOT NULL THEN concat_ws('>', c.party_id, o.via, s.party_id) END AS path FROM corpus_parties c JOIN corpus_parties s ON s.document_id = c.document_id AND s.role = 'supplier'
-      LEFT JOIN (SELECT document_id, obligee_id, min(obligation_id) AS via FROM corpus_obligations GROUP BY ALL) o ON o.document_id = c.document_id AND o.obligee_id = s.party_id WHERE c.role = 'customer'""",
+    DUTIES + """, people AS MATERIALIZED (SELECT * FROM corpus_parties), duties AS MATERIALIZED (SELECT document_id, obligee_id, min(obligation_id) AS via FROM corpus_obligations GROUP BY ALL)
+      SELECT c.document_id, c.party_id AS a, s.party_id AS b, CASE WHEN o.via IS NOT NULL THEN concat_ws('>', c.party_id, o.via, s.party_id) END AS path FROM people c JOIN people s ON s.document_id = c.document_id AND s.role = 'supplier'
+      LEFT JOIN duties o ON o.document_id = c.document_id AND o.obligee_id = s.party_id WHERE c.role = 'customer'""",
 )
 def shortest_path(spark, sf_dir):
     m = model(spark, sf_dir)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import ask as A
@@ -218,22 +221,70 @@ def facts_by_clause(spark, sf_dir):
 
 # --- graph -------------------------------------------------------------------------------------
 
-# Written from the table that readers see, and not from the engine's.
-_WORDS = ", ".join(f"('{t}', '{c}', '{w}')" for c, rows in {
-    "structure": "document-has-party=has party|document-has-clause=has clause|clause-defines=defines",
-    "reference": "clause-references=references clause|definition-applies-to=applies to|entity-relates-to=relates to|no-such-type=no such type",
-    "duties": "clause-imposes-obligation=imposes obligation|clause-grants-right=grants right|party-obligated-by=is obligated by|obligation-owed-to=is owed to|party-holds-right=holds right|right-held-against=is held against",
-    "time": "clause-states-condition=states condition|clause-sets-deadline=sets deadline|obligation-triggered-by=triggered by|obligation-has-deadline=has deadline|condition-triggers=triggers|condition-has-deadline=has deadline|deadline-anchored-to=anchored to",
-    "findings": "clause-states-consequence=states consequence|clause-flags-risk=flags risk|obligation-results-in=results in|consequence-follows-condition=follows condition|consequence-affected-party=affects party|risk-about=about|inconsistency-between=between",
-}.items() for t, w in (x.split("=") for x in rows.split("|")))
+# How the edge types of the corpus read, as (type, category, words).
+_READS = """reads AS (SELECT * FROM (VALUES
+    ('document-has-party', 'structure', 'has party'),
+    ('document-has-clause', 'structure', 'has clause'),
+    ('clause-imposes-obligation', 'duties', 'imposes obligation'),
+    ('clause-grants-right', 'duties', 'grants right'),
+    ('clause-sets-deadline', 'time', 'sets deadline'),
+    ('party-obligated-by', 'duties', 'is obligated by'),
+    ('obligation-owed-to', 'duties', 'is owed to'),
+    ('party-holds-right', 'duties', 'holds right'),
+    ('right-held-against', 'duties', 'is held against'),
+    ('obligation-has-deadline', 'time', 'has deadline'),
+    ('risk-about', 'findings', 'about')) v(type, category, words))"""
+#: The corpus as a graph with findings: nodes in order, edges, and how often each node is an end.
+_VIEW = f"""{_DERIVED}, {_READS}, seen0 AS (SELECT document_id, clause_id AS id, 'clause' AS entity_type, heading AS label, 0 AS k FROM corpus_a UNION ALL SELECT document_id, party_id, 'party', name, 1 FROM corpus_parties
+    UNION ALL SELECT document_id, obligation_id, 'obligation', summary, 2 FROM corpus_obligations UNION ALL SELECT document_id, right_id, 'right', summary, 3 FROM corpus_rights UNION ALL SELECT document_id, deadline_id, 'deadline', description, 4 FROM corpus_deadlines
+    UNION ALL SELECT document_id, concat('x', clause_id), 'risk', concat('Risk of ', heading), 5 FROM corpus_a WHERE l_suppkey % 5 = 0),
+    vnodes AS (SELECT document_id, id, entity_type, label, row_number() OVER (PARTITION BY document_id ORDER BY k, id) AS place, CASE entity_type WHEN 'risk' THEN 'Risk signal' ELSE concat(upper(entity_type[1]), entity_type[2:]) END AS type_label FROM seen0),
+    vedges AS (SELECT document_id, type, from_id, to_id FROM derived WHERE type NOT LIKE 'document%' UNION ALL SELECT document_id, 'risk-about', concat('x', clause_id), clause_id FROM corpus_a WHERE l_suppkey % 5 = 0),
+    vends AS (SELECT document_id, from_id AS id, to_id AS other_id, type, '' AS tail FROM vedges UNION ALL SELECT document_id, to_id, from_id, type, ' (incoming)' FROM vedges),
+    vdegree AS (SELECT document_id, id, count(*) AS degree FROM vends GROUP BY ALL)"""
+
+
+def _view(spark, sf_dir):
+    m = model(spark, sf_dir)
+    of = lambda t, kind, key, text, k: t.select("document_id", F.col(key).alias("id"), F.lit(kind).alias("entity_type"), F.col(text).alias("label"), F.lit(k).alias("k"))
+    risky = m.a.where("l_suppkey % 5 = 0").select("document_id", "clause_id", F.concat(F.lit("x"), "clause_id").alias("id"), F.concat(F.lit("Risk of "), "heading").alias("title"))
+    parts = [of(m.clauses, "clause", "clause_id", "heading", 0), of(m.parties, "party", "id", "name", 1), of(m.obligations, "obligation", "id", "summary", 2), of(m.rights, "right", "id", "summary", 3), of(m.deadlines, "deadline", "id", "description", 4), of(risky, "risk", "id", "title", 5)]
+    nodes = reduce(lambda x, y: x.unionByName(y), parts).withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("k", "id"))).drop("k")
+    edges = R.derive_edges(m.clauses, m.parties, m.obligations, m.rights, m.deadlines).where("type not like 'document%'")
+    return nodes, edges.unionByName(R.edge(risky, "risk-about", "id", "risk", "clause_id", "clause"))
 
 
-@query("edge_words", "R12 R18", f"SELECT * FROM (VALUES {_WORDS}) v(type, category, label)")
+@query("edge_words", "R12 R18", DUTIES + f", {_VIEW} SELECT type, category, words AS label, count(*) AS n FROM vedges JOIN reads USING (type) GROUP BY ALL")
 def edge_words(spark, sf_dir):
-    from ..schemas import EDGE_TYPES
+    """How the edges of the corpus read, with counts."""
+    _, edges = _view(spark, sf_dir)
+    return edges.groupBy("type").agg(F.count("*").alias("n")).select("type", R.semantics(F.col("type")).alias("category"), R.label(F.col("type")).alias("label"), "n")
+
+
+@query("graph_groups", "R13", DUTIES + f", {_VIEW} SELECT document_id, count(*) AS n FROM vedges e WHERE type IN ('party-obligated-by', 'obligation-owed-to', 'party-holds-right', 'right-held-against') GROUP BY ALL")
+def graph_groups(spark, sf_dir):
+    """Edges that are left when only parties and duties are switched on."""
+    _, edges = R.in_groups(*_view(spark, sf_dir), ["parties", "duties"])
+    return edges.groupBy("document_id").agg(F.count("*").alias("n"))
 
-    kinds = spark.createDataFrame([(t,) for t in [*EDGE_TYPES, "no-such-type"]], "type string")
-    return kinds.select("type", R.semantics(F.col("type")).alias("category"), R.label(F.col("type")).alias("label"))
+
+@query("graph_topics", "R17", DUTIES + f""", {_VIEW}, t AS (SELECT *, row_number() OVER (PARTITION BY document_id, entity_type ORDER BY place) AS nth FROM vnodes WHERE entity_type IN ('obligation', 'deadline'))
+      SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY entity_type DESC, nth) AS INT) AS topic, id, label, entity_type AS type FROM t WHERE nth <= CASE entity_type WHEN 'obligation' THEN 3 ELSE 2 END""")
+def graph_topics(spark, sf_dir):
+    return R.topics(_view(spark, sf_dir)[0])
+
+
+_FOCUS = "vfocus AS (SELECT document_id, min_by(id, rank) AS focus FROM (SELECT n.document_id, n.id, CASE entity_type WHEN 'obligation' THEN 0 WHEN 'right' THEN 1 WHEN 'deadline' THEN 1 ELSE 2 END * 1000000 - CASE WHEN entity_type IN ('obligation', 'right', 'deadline') THEN coalesce(degree, 0) ELSE 0 END * 1000 + place AS rank FROM vnodes n LEFT JOIN vdegree d ON d.document_id = n.document_id AND d.id = n.id) z GROUP BY document_id)"
+
+
+@query(
+    "focused_view", "R8 R13 R17",
+    DUTIES + f""", {_VIEW}, {_FOCUS}, shown AS (SELECT document_id, focus AS id, 0 AS depth FROM vfocus UNION SELECT v.document_id, other_id, 1 FROM vfocus f JOIN vends v ON v.document_id = f.document_id AND v.id = f.focus WHERE v.type <> 'risk-about' AND other_id <> focus)
+      SELECT s.document_id, s.id, n.label, CAST(depth AS INT) AS depth, coalesce((SELECT string_agg(e.from_id, ',' ORDER BY e.from_id) FROM vedges e WHERE e.document_id = s.document_id AND e.to_id = s.id AND e.type = 'risk-about'), '') AS findings FROM shown s JOIN vnodes n ON n.document_id = s.document_id AND n.id = s.id""",
+)
+def focused_view(spark, sf_dir):
+    shown, _ = R.focused_view(*_view(spark, sf_dir))
+    return shown.select("document_id", "id", "label", "depth", F.array_join("findings", ",").alias("findings"))
 
 
 @query("graph_build", "R4", DUTIES + "SELECT document_id, count(*) FILTER (ord % 5 <> 0) AS whole, count(*) FILTER (ord % 5 = 0) AS broken FROM corpus_obligations GROUP BY document_id")
@@ -252,16 +303,23 @@ def subgraph(spark, sf_dir):
     return R.subgraph(_owes(m), keep).select("document_id", "from_id", "to_id")
 
 
-@query("node_search", "R13", DUTIES + f", {_NODES} SELECT document_id, id FROM nodes WHERE contains(lower(label), '#00000001')")
+@query("node_search", "R13", DUTIES + f", {_VIEW}, asked AS (SELECT * FROM (VALUES ('party'), (' Signal '), ('renew'), ('')) v(needle)) SELECT needle, document_id, count(*) AS n, min(id) AS first FROM vnodes JOIN asked ON contains(lower(label), lower(trim(needle))) OR contains(entity_type, lower(trim(needle))) OR contains(lower(type_label), lower(trim(needle))) GROUP BY ALL")
 def node_search(spark, sf_dir):
-    return R.search(_nodes(model(spark, sf_dir)), "#00000001").select("document_id", "id")
+    nodes, _ = _view(spark, sf_dir)
+    found = [R.search(nodes, text).withColumn("needle", F.lit(text)) for text in ("party", " Signal ", "renew", "")]
+    return reduce(lambda x, y: x.unionByName(y), found).groupBy("needle", "document_id").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
-@query("node_rows", "R15", DUTIES + f", {_NODES} SELECT n.document_id, n.id, string_agg(e.d || ' ' || e.other, ',' ORDER BY e.d, e.other) AS links FROM nodes n LEFT JOIN (SELECT document_id, obligor_id AS id, 'out' AS d, obligation_id AS other FROM corpus_obligations UNION ALL SELECT document_id, obligation_id, 'in', obligor_id FROM corpus_obligations) e ON e.document_id = n.document_id AND e.id = n.id GROUP BY ALL")
+@query(
+    "node_rows", "R15",
+    DUTIES + f""", {_VIEW}, near AS (SELECT v.document_id, v.id, concat(words, tail) AS phrase, category, type, other_id, label AS other_label, type_label AS other_type FROM vends v JOIN reads USING (type) JOIN vnodes n ON n.document_id = v.document_id AND n.id = v.other_id),
+      told AS (SELECT document_id, id, string_agg(concat(category, ':', phrase, ' ', other_type, ' ', other_id), ',' ORDER BY phrase, category, type, other_id) AS links, string_agg(concat(phrase, ' ', other_label), ' ' ORDER BY phrase, category, type, other_id) AS said FROM near GROUP BY ALL)
+      SELECT n.document_id, n.id, type_label, coalesce(links, '') AS links FROM vnodes n LEFT JOIN told t ON t.document_id = n.document_id AND t.id = n.id WHERE contains(lower(concat_ws(' ', label, type_label, said)), 'written')""",
+)
 def node_rows(spark, sf_dir):
-    m = model(spark, sf_dir)
-    links = F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["direction"], x["neighbour"])), ",")
-    return R.rows(_nodes(m), _owes(m)).select("document_id", "id", links.alias("links"))
+    """The rows that hold a word, in label, type, phrases or neighbours."""
+    links = F.array_join(F.transform("links", lambda x: F.concat(x["category"], F.lit(":"), x["phrase"], F.lit(" "), x["other_type_label"], F.lit(" "), x["other_id"])), ",")
+    return R.rows(*_view(spark, sf_dir), text=" WRITTEN").select("document_id", "id", "type_label", links.alias("links"))
 
 
 @query("graph_findings", "R16", DUTIES + f", {SIGNALS} SELECT document_id, finding_id AS from_id, clause_id AS to_id FROM signals WHERE clause_id IS NOT NULL")
@@ -272,11 +330,9 @@ def graph_findings(spark, sf_dir):
     return edges.where("type = 'risk-about'").select("document_id", "from_id", "to_id")
 
 
-@query("default_focus", "R17", DUTIES + f""", {_DERIVED}, ends AS (SELECT document_id, from_id AS id FROM derived UNION ALL SELECT document_id, to_id FROM derived), g AS (SELECT document_id, id, count(*) AS n FROM ends GROUP BY ALL)
-      SELECT document_id, obligation_id AS focus FROM (SELECT o.document_id, o.obligation_id, row_number() OVER (PARTITION BY o.document_id ORDER BY coalesce(n, 0) DESC, o.obligation_id) AS r FROM corpus_obligations o LEFT JOIN g ON g.document_id = o.document_id AND g.id = o.obligation_id) z WHERE r = 1""")
+@query("default_focus", "R17", DUTIES + f", {_VIEW}, {_FOCUS} SELECT document_id, focus FROM vfocus")
 def default_focus(spark, sf_dir):
-    m = model(spark, sf_dir)
-    return R.default_focus(_nodes(m), R.derive_edges(m.clauses, m.parties, m.obligations, m.rights, m.deadlines))
+    return R.default_focus(*_view(spark, sf_dir))
 
 
 @query("cycles", "R10", ctes("corpus_a") + "SELECT document_id, CAST(0 AS INT) AS cycle, concat(string_agg(clause_id, '>' ORDER BY clause_id), '>', min(clause_id)) AS path FROM corpus_a GROUP BY document_id HAVING count(*) > 1")
