@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import collapse, cut, first_match, matches, periods
+from ..shared import written
 from . import rulekit
 from .deadlines import resolve
 
@@ -44,9 +45,9 @@ PATTERNS = {
     ],
     "termination-act": [r"may (?:terminate|suspend|cease)", r"shall be entitled to terminate", r"right to terminate"],
 }
+# Words of notice, standards that qualify a duty, and category and severity of each rule.
 NOTICE = r"notice|notify|notification"
 QUALIFIED = ["best-efforts", "reasonable-efforts", "commercially-reasonable"]
-#: Rule, category and severity.
 RULES = {
     "obligation-without-deadline": ("ambiguity", "medium"), "obligation-without-consequence": ("missing-remedy", "low"), "deadline-unresolvable": ("ambiguity", "medium"),
     "short-notice-period": ("short-notice-period", "medium"), "unlimited-liability": ("unlimited-liability", "high"), "automatic-renewal": ("auto-renewal", "medium"),
@@ -92,16 +93,28 @@ def short_notice(deadlines: DataFrame, clauses: DataFrame, threshold: int = 30)
     return _make(best, "short-notice-period", F.concat(F.lit("Notice period of "), F.col("p.phrase")), F.col("clause_id"), F.col("id"))
 
 
+def wordings(clauses: DataFrame, rules: list[str]) -> DataFrame:
+    """K5 to K8: clauses with the wording of one of the rules, each clause read once for all of them; the title holds the words found."""
+    read = clauses.select("document_id", "clause_id", clause_scope().alias("scope"))
+    tried = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(RULES[r][0]).alias("category"), F.lit(RULES[r][1]).alias("severity"), first_match(F.col("scope"), PATTERNS[r]).alias("found")) for r in rules])
+    hits = read.select("document_id", "clause_id", F.inline(F.filter(tried, lambda t: t["found"].isNotNull())))
+    title = F.concat("rule_id", F.lit(": "), F.lower("found"))
+    return hits.select("document_id", "rule_id", "category", "severity", F.col("clause_id").cast("string").alias("clause_id"), F.col("clause_id").cast("string").alias("entity_id"), title.alias("title"))
+
+
 def worded(clauses: DataFrame, rule: str) -> DataFrame:
-    """K5 to K7: clauses with a rule's wording; the title holds the words found."""
-    rows = clauses.withColumn("found", first_match(clause_scope(), PATTERNS[rule])).where("found is not null")
-    return _make(rows, rule, F.concat(F.lit(f"{rule}: "), F.lower("found")), F.col("clause_id"), F.col("clause_id"))
+    """K5 to K7: clauses with a rule's wording."""
+    return wordings(clauses, [rule])
+
+
+def qualified(obligations: DataFrame) -> DataFrame:
+    """K8: duties with a qualified standard."""
+    return _make(obligations.where(F.col("standard").isin(QUALIFIED)), "vague-standard", F.concat(F.lit("vague-standard: "), F.col("standard")), F.col("clause_id"), F.col("id"))
 
 
 def vague(clauses: DataFrame, obligations: DataFrame) -> DataFrame:
     """K8: qualified standards of duties, and clauses with such wording."""
-    duties = obligations.where(F.col("standard").isin(QUALIFIED))
-    return worded(clauses, "vague-standard").unionByName(_make(duties, "vague-standard", F.concat(F.lit("vague-standard: "), F.col("standard")), F.col("clause_id"), F.col("id")))
+    return worded(clauses, "vague-standard").unionByName(qualified(obligations))
 
 
 def mentions(clauses: DataFrame, parties: DataFrame) -> DataFrame:
@@ -141,10 +154,14 @@ def imbalance(obligations: DataFrame, least: int = 3, factor: int = 3) -> DataFr
 
 
 def signals(clauses: DataFrame, obligations: DataFrame, deadlines: DataFrame, conditions: DataFrame, rights: DataFrame, parties: DataFrame, as_of: Column, per_rule: int = 12, total: int = 80) -> DataFrame:
-    """All rules, ranked and limited for each document."""
+    """All rules, ranked and limited for each document.
+
+    Tables that several rules read are derived once, and every clause is read once for all wordings.
+    """
+    clauses, obligations, deadlines = written(clauses, "clauses"), written(obligations, "obligations"), written(deadlines, "deadlines")
     found = [
         without_deadline(obligations), without_consequence(obligations), unresolvable(deadlines, as_of), short_notice(deadlines, clauses),
-        worded(clauses, "unlimited-liability"), worded(clauses, "automatic-renewal"), worded(clauses, "broad-discretion"), vague(clauses, obligations),
+        wordings(clauses, ["unlimited-liability", "automatic-renewal", "broad-discretion", "vague-standard"]), qualified(obligations),
         one_sided_termination(clauses, parties, rights), renewal_without_window(clauses, deadlines, conditions), imbalance(obligations),
     ]
     return rulekit.run(found, per_rule, total)
