@@ -45,28 +45,30 @@ def edge(rows: DataFrame, kind: str, from_id: str, from_type: str, to_id: str, t
     )
 
 
+def edges_of(rows: DataFrame, *ends: tuple[str, str, str, str, str]) -> DataFrame:
+    """All edges ``(type, from_id, from_type, to_id, to_type)`` of each row of a table, in one pass over it; those with an open end are left out."""
+    one = lambda kind, a, a_type, b, b_type: F.struct(F.lit(kind).alias("type"), F.col(a).cast("string").alias("from_id"), F.lit(a_type).alias("from_type"), F.col(b).cast("string").alias("to_id"), F.lit(b_type).alias("to_type"))
+    return rows.select("document_id", F.inline(F.array(*[one(*e) for e in ends]))).where("from_id is not null and to_id is not null and from_id <> to_id")
+
+
 def derive_edges(clauses: DataFrame, parties: DataFrame, obligations: DataFrame, rights: DataFrame, deadlines: DataFrame, references: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
-    """Edges that follow from the foreign keys, each once, without self-loops, open ends and those that exist."""
-    doc = lambda df: df.withColumn("doc", F.col("document_id").cast("string"))
+    """Edges that follow from the foreign keys, each once, without self-loops, open ends and those that exist; each table is read once for its edges."""
     every = [
-        edge(doc(parties), "document-has-party", "doc", "document", "id", "party"),
-        edge(doc(clauses), "document-has-clause", "doc", "document", "clause_id", "clause"),
-        edge(obligations, "clause-imposes-obligation", "clause_id", "clause", "id", "obligation"),
-        edge(obligations, "party-obligated-by", "obligor_party_id", "party", "id", "obligation"),
-        edge(obligations, "obligation-owed-to", "id", "obligation", "obligee_party_id", "party"),
-        edge(obligations, "obligation-has-deadline", "id", "obligation", "deadline_id", "deadline"),
-        edge(rights, "clause-grants-right", "clause_id", "clause", "id", "right"),
-        edge(rights, "party-holds-right", "holder_party_id", "party", "id", "right"),
-        edge(rights, "right-held-against", "id", "right", "counterparty_party_id", "party"),
-        edge(deadlines, "clause-sets-deadline", "clause_id", "clause", "id", "deadline"),
-    ]
+        edges_of(parties, ("document-has-party", "document_id", "document", "id", "party")),
+        edges_of(clauses, ("document-has-clause", "document_id", "document", "clause_id", "clause")),
+        edges_of(
+            obligations,
+            ("clause-imposes-obligation", "clause_id", "clause", "id", "obligation"), ("party-obligated-by", "obligor_party_id", "party", "id", "obligation"),
+            ("obligation-owed-to", "id", "obligation", "obligee_party_id", "party"), ("obligation-has-deadline", "id", "obligation", "deadline_id", "deadline"),
+        ),
+        edges_of(rights, ("clause-grants-right", "clause_id", "clause", "id", "right"), ("party-holds-right", "holder_party_id", "party", "id", "right"), ("right-held-against", "id", "right", "counterparty_party_id", "party")),
+        edges_of(deadlines, ("clause-sets-deadline", "clause_id", "clause", "id", "deadline")),
+    ]
     if references is not None:
-        every.append(edge(references, "clause-references", "clause_id", "clause", "to_clause_id", "clause"))
-    out = reduce(DataFrame.unionByName, every).where("from_id <> to_id").distinct()
-    nodes = reduce(DataFrame.unionByName, [
-        clauses.select("document_id", F.col("clause_id").alias("id")), *(t.select("document_id", "id") for t in (parties, obligations, rights, deadlines)),
-        clauses.select("document_id", F.col("document_id").cast("string").alias("id")), parties.select("document_id", F.col("document_id").cast("string").alias("id")),
-    ]).distinct()
+        every.append(edges_of(references, ("clause-references", "clause_id", "clause", "to_clause_id", "clause")))
+    out = reduce(DataFrame.unionByName, every).distinct()
+    ids = lambda rows, *keys: rows.select("document_id", F.explode(F.array(*[F.col(k).cast("string") for k in keys])).alias("id"))
+    nodes = reduce(DataFrame.unionByName, [ids(clauses, "clause_id", "document_id"), ids(parties, "id", "document_id"), *(ids(t, "id") for t in (obligations, rights, deadlines))])
     for end in ("from_id", "to_id"):
         out = out.join(nodes.withColumnRenamed("id", end), ["document_id", end], "left_semi")
     if existing is not None:
