@@ -12,6 +12,7 @@ from ..operators import ask as A
 from ..operators import clauses as C
 from ..operators import compare as M
 from ..operators import consistency as I
+from ..operators import dictionary as N
 from ..operators import drafts as X
 from ..operators import evidence as V
 from ..operators import graph as R
@@ -287,6 +288,19 @@ def focused_view(spark, sf_dir):
     return shown.select("document_id", "id", "label", "depth", F.array_join("findings", ",").alias("findings"))
 
 
+@query(
+    "dictionary_hits", "K15 C5",
+    ctes("corpus_a") + """, names AS (SELECT concat('supplier ', s_suppkey) AS name_key FROM supplier UNION SELECT concat(' ', p_size, ' days') FROM part UNION SELECT lower(heading) FROM corpus_a UNION SELECT concat('clause ', l_linenumber, '.1') FROM lineitem)
+      SELECT document_id, clause_id, name_key FROM corpus_a JOIN names ON contains(lower(concat_ws(' ', heading, text)), name_key)""",
+)
+def dictionary_hits(spark, sf_dir):
+    """Aliases of all suppliers, periods, headings and references in all clauses, by one automaton."""
+    (a,) = corpus(spark, sf_dir, "corpus_a")
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    names = [read("supplier").select(F.concat(F.lit("Supplier "), "s_suppkey").alias("name")), read("part").select(F.concat(F.lit(" "), "p_size", F.lit(" days")).alias("name")), a.select(F.col("heading").alias("name")), read("lineitem").select(F.concat(F.lit("Clause "), "l_linenumber", F.lit(".1")).alias("name"))]
+    return N.find(a.select("document_id", "clause_id", F.concat_ws(" ", "heading", "text").alias("text")), reduce(lambda x, y: x.unionByName(y), names), ["document_id", "clause_id"])
+
+
 @query("graph_build", "R4", DUTIES + "SELECT document_id, count(*) FILTER (ord % 5 <> 0) AS whole, count(*) FILTER (ord % 5 = 0) AS broken FROM corpus_obligations GROUP BY document_id")
 def graph_build(spark, sf_dir):
     m = model(spark, sf_dir)

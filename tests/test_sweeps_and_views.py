@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 from lexspark.operators import clauses as C
+from lexspark.operators import dictionary as N
 from lexspark.operators import graph as R
 from lexspark.operators import sweeps as W
 from lexspark.operators import views as U
@@ -107,3 +108,15 @@ def test_tracker_state():
             seq, at, stage, status, message = reports[i]
             T.taken(again, seq, f"2024-01-01 {at}", stage, status, message)
         assert T.shown("r", again).equals(rows)
+
+
+def test_dictionary_by_all_pairs(spark):
+    """Names within names and words, any case, of a large dictionary in one shard and in several; nulls and empty names."""
+    rng = random.Random(7)
+    names = [None, "", "Ann", "annual", "ANN", "é b"] + ["".join(rng.choice("abc ") for _ in range(rng.randint(2, 5))) for _ in range(3_000)]
+    texts = [(1, None), (2, ""), (3, "Bi-Annual É B"), (None, "ann")] + [(i, "".join(rng.choice("abcA ") for _ in range(60))) for i in range(4, 40)]
+    want = sorted({(i, n.lower()) for i, t in texts if i is not None and t for n in names if n and n.lower() in t.lower()})
+    table, dictionary = spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for size in (8 << 20, 3_000):
+        assert sorted(map(tuple, N.find(table, dictionary, ["k"], size).collect())) == want
+    assert N.find(table, dictionary.limit(0), ["k"]).count() == 0
