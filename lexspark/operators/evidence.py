@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import comparable, stable_hash
+from ..functions.text import SPACES, comparable, stable_hash
+from ..shipping import ship
+
+# What the comparison form leaves out, takes for white space, and writes straight.
+_GONE = re.compile(r"[\u0000-\u0008\u000B\u000E-\u001F\u007F-\u009F\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF]")
+_SPACE = re.compile(SPACES)
+_STRAIGHT = str.maketrans("‘’“”", "''\"\"")
 
 #: Entity types that do not stand without a verified quote.
 REQUIRED = ["obligation", "right", "condition", "deadline", "consequence", "definition"]
@@ -28,7 +37,8 @@ def verify(evidence: DataFrame, content: DataFrame, clauses: DataFrame) -> DataF
     else in the whole text; both in the comparison form.
     """
     known = clauses.select("document_id", "clause_id", F.lit(True).alias("known")).distinct()
-    doc = content.select("document_id", F.col("text").alias("doc_text"), "page_count", F.lit(True).alias("has_doc"))
+    # A document's text is put in its comparison form once, and not for each quote.
+    doc = content.select("document_id", F.col("text").alias("doc_text"), comparable(F.col("text")).alias("doc_plain"), "page_count", F.lit(True).alias("has_doc"))
     x = evidence.join(doc, "document_id", "left").join(known, ["document_id", "clause_id"], "left")
     c = F.col
     needle = comparable(c("source_text"))
@@ -44,10 +54,10 @@ def verify(evidence: DataFrame, content: DataFrame, clauses: DataFrame) -> DataF
         .when(F.coalesce(c("doc_text"), F.lit("")) == "", "no-text")
         .when(ranged & ((c("start_offset") < 0) | (c("end_offset") <= c("start_offset")) | (c("end_offset") > F.length("doc_text"))), "invalid-range")
         .when(ranged & at_range, "verified")
-        .when(F.contains(comparable(c("doc_text")), needle), "verified")
+        .when(F.contains(c("doc_plain"), needle), "verified")
         .otherwise("text-mismatch")
     )
-    return x.withColumn("status", status).withColumn("verified", F.col("status") == "verified").drop("doc_text", "page_count", "has_doc", "known")
+    return x.withColumn("status", status).withColumn("verified", F.col("status") == "verified").drop("doc_text", "doc_plain", "page_count", "has_doc", "known")
 
 
 def by_entity(verified: DataFrame) -> DataFrame:
@@ -111,6 +121,59 @@ def source_offset(evidence: DataFrame, content: DataFrame) -> DataFrame:
     return x.withColumn("offset", F.coalesce("start_offset", F.expr("position(source_text in doc_text) - 1"))).drop("doc_text")
 
 
+def plain(text: str) -> tuple[str, list[int]]:
+    """The comparison form of a text, and for each of its characters the offset in the text."""
+    out: list[str] = []
+    at: list[int] = []
+    gap = None
+    for i, c in enumerate(text):
+        if _GONE.match(c):
+            continue
+        if _SPACE.match(c):
+            gap = i if gap is None else gap
+            continue
+        if gap is not None and out:
+            out.append(" ")
+            at.append(gap)
+        gap = None
+        low = c.lower().translate(_STRAIGHT)
+        out += low
+        at += [i] * len(low)
+    return "".join(out), at
+
+
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by document, its text first: each quote to where it first stands in the text that the task holds."""
+    document, text, at = None, "", []
+    for batch in batches:
+        rows = []
+        for doc, content, key, quote in zip(batch["document_id"].tolist(), batch["content"], batch["key"], batch["quote"], strict=True):
+            if content is not None:
+                document = doc
+                text, at = plain(content)
+                continue
+            needle = plain(quote)[0] if doc == document and quote else ""
+            found = text.find(needle) if needle else -1
+            rows.append((doc, key, at[found] if found >= 0 else -1, at[found + len(needle) - 1] + 1 if found >= 0 else -1))
+        yield pd.DataFrame(rows, columns=["document_id", "key", "start_offset", "end_offset"])
+
+
+def quote_places(quotes: DataFrame, content: DataFrame, key: str) -> DataFrame:
+    """``quotes(document_id, key, source_text)`` to ``(document_id, key, start_offset, end_offset)`` in the source text, -1 where it does not stand.
+
+    Quotes are found whatever their case, quotation marks, white space and invisible characters. A
+    document's text is normalised once, with its offsets kept, and its quotes stream past it.
+    """
+    ship(quotes.sparkSession)
+    kind = quotes.schema["document_id"].dataType.simpleString()
+    none = F.lit(None).cast("string")
+    docs = content.where("document_id is not null and text is not null").select("document_id", F.lit(0).alias("turn"), F.col("text").alias("content"), none.alias("key"), none.alias("quote"))
+    asked = quotes.where("document_id is not null").select("document_id", F.lit(1).alias("turn"), none.alias("content"), F.col(key).cast("string").alias("key"), F.col("source_text").alias("quote"))
+    rows = docs.unionByName(asked).repartition("document_id").sortWithinPartitions("document_id", "turn").drop("turn")
+    found = rows.mapInPandas(_placed, f"document_id {kind}, key string, start_offset int, end_offset int")
+    return found.select("document_id", F.col("key").cast(quotes.schema[key].dataType).alias(key), "start_offset", "end_offset")
+
+
 def merge(evidence: DataFrame) -> DataFrame:
     """Of quotes of one entity with the same place and text the first."""
     w = Window.partitionBy("document_id", "entity_id", "clause_id", "source_text", "start_offset").orderBy("id")

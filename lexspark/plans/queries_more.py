@@ -182,6 +182,15 @@ def source_places(spark, sf_dir):
     return V.source_offset(quotes, _content(a)).select("document_id", "clause_id", F.col("offset").cast("int").alias("offset"))
 
 
+@query("quote_places", "V2 V10", ctes("corpus_a") + f", {_BODY} SELECT a.document_id, a.clause_id, CAST(CASE WHEN ord % 4 = 3 THEN -1 ELSE strpos(t, text) - 1 END AS INT) AS start_offset, CAST(CASE WHEN ord % 4 = 3 THEN -1 ELSE strpos(t, text) - 1 + length(text) END AS INT) AS end_offset FROM corpus_a a JOIN body USING (document_id)")
+def quote_places(spark, sf_dir):
+    """Quotes in capitals, with wide spaces and line ends, with invisible characters, and some that do not stand."""
+    (a,) = corpus(spark, sf_dir, "corpus_a")
+    n = F.col("ord") % 4
+    quote = F.when(n == 0, F.upper("text")).when(n == 1, F.concat(F.lit(" \u2003"), F.replace("text", F.lit(" "), F.lit("\u00a0\n ")))).when(n == 2, F.replace("text", F.lit("i"), F.lit("\u200bi"))).otherwise(F.concat("text", F.lit(" not")))
+    return V.quote_places(a.select("document_id", "clause_id", quote.alias("source_text")), _content(a), "clause_id")
+
+
 @query("citations", "V11", ctes("corpus_a") + "SELECT document_id, clause_id, CASE WHEN ord % 2 = 0 THEN concat('§', number) ELSE concat('§', number, ' · p. ', ord) END AS citation FROM corpus_a")
 def citations(spark, sf_dir):
     (a,) = corpus(spark, sf_dir, "corpus_a")

@@ -5,6 +5,7 @@ from datetime import datetime
 
 from lexspark.operators import clauses as C
 from lexspark.operators import dictionary as N
+from lexspark.operators import evidence as V
 from lexspark.operators import graph as R
 from lexspark.operators import sweeps as W
 from lexspark.operators import views as U
@@ -120,3 +121,22 @@ def test_dictionary_by_all_pairs(spark):
     for size in (8 << 20, 3_000):
         assert sorted(map(tuple, N.find(table, dictionary, ["k"], size).collect())) == want
     assert N.find(table, dictionary.limit(0), ["k"]).count() == 0
+
+
+def test_plain_form_is_that_of_the_columns(spark):
+    """The form with offsets equals the column's, and offsets point at the characters that they came from."""
+    rng = random.Random(9)
+    letters = list("aB \t\n\r‘”\u200b\u00a0\u2003İß.\x07") + ["\r\n", "\n\n\n\n", " \n"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    want = [r["p"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(V.comparable(V.F.col("t")).alias("p")).collect()]
+    for text, form in zip(texts, want, strict=True):
+        got, at = V.plain(text)
+        assert got == form and len(at) == len(got) and at == sorted(at)
+        assert all(text[i].lower().translate(V._STRAIGHT).startswith(c) or c == " " or len(text[i].lower()) > 1 for c, i in zip(got, at, strict=True))
+
+
+def test_quote_places(spark):
+    content = spark.createDataFrame([(1, "The “Buyer”\n shall\u200b PAY."), (2, None)], "document_id long, text string")
+    quotes = spark.createDataFrame([(1, "a", '"buyer" shall pay'), (1, "b", " the "), (1, "c", "seller"), (1, "d", ""), (1, "e", None), (2, "f", "x"), (3, "g", "pay")], "document_id long, k string, source_text string")
+    got = {r["k"]: (r["start_offset"], r["end_offset"]) for r in V.quote_places(quotes, content, "k").collect()}
+    assert got == {"a": (4, 23), "b": (0, 3)} | {k: (-1, -1) for k in "cdefg"}
