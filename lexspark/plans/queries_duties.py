@@ -219,9 +219,17 @@ def k11(spark, sf_dir):
 
 
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END"
-SIGNALS = f"""every AS ({' UNION ALL '.join(K_SQL.values())}), own AS (SELECT *, row_number() OVER (PARTITION BY document_id, rule_id ORDER BY {_RANK}, title, coalesce(clause_id, ''), coalesce(entity_id, '')) AS r FROM every),
-  once AS (SELECT DISTINCT * EXCLUDE (r) FROM own WHERE r <= 12), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY {_RANK}, rule_id, title, coalesce(clause_id, ''), coalesce(entity_id, '')) AS INT) AS place FROM once),
-  signals AS (SELECT *, concat('f_', substr(sha256(concat_ws('|', rule_id, coalesce(clause_id, ''), coalesce(entity_id, ''), title)), 1, 12)) AS finding_id FROM placed WHERE place <= 80)"""
+
+
+def _ranked(name: str, rules: list[str], per_rule: int, total: int) -> str:
+    """SQL of the findings of rules, ranked and limited for each document, as a table of that name."""
+    tie = "title, coalesce(clause_id, ''), coalesce(entity_id, '')"
+    return f"""{name}_every AS ({' UNION ALL '.join(rules)}), {name}_own AS (SELECT *, row_number() OVER (PARTITION BY document_id, rule_id ORDER BY {_RANK}, {tie}) AS r FROM {name}_every),
+  {name}_once AS (SELECT DISTINCT * EXCLUDE (r) FROM {name}_own WHERE r <= {per_rule}), {name}_placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY {_RANK}, rule_id, {tie}) AS INT) AS place FROM {name}_once),
+  {name} AS (SELECT *, concat('f_', substr(sha256(concat_ws('|', rule_id, coalesce(clause_id, ''), coalesce(entity_id, ''), title)), 1, 12)) AS finding_id FROM {name}_placed WHERE place <= {total})"""
+
+
+SIGNALS = _ranked("signals", list(K_SQL.values()), 12, 80)
 
 
 def signals(spark, sf_dir):
@@ -258,13 +266,15 @@ def i1(spark, sf_dir):
     return _shown(I.conflicting_notice(model(spark, sf_dir).clauses))
 
 
-@query(
-    "i_contradictory_dates", "I2",
-    ctes("corpus_deadlines") + """, k AS (SELECT d.document_id, d.deadline_id AS id, d.clause_id, d.date, CASE a.l_returnflag WHEN 'A' THEN 'the customer shall pay each invoice of the' ELSE concat('supplier ', a.l_suppkey, ' may terminate on written notice under') END AS key
-      FROM corpus_deadlines d JOIN corpus_a a ON a.clause_id = d.clause_id WHERE d.date IS NOT NULL) """
-    + _conflict("contradictory-dates", "ca", "ib", "concat_ws(' ', key, CAST(a AS VARCHAR), CAST(b AS VARCHAR))",
-                "FROM (SELECT document_id, key, min(date) AS a, max(date) AS b, first(clause_id ORDER BY date, id) AS ca, last(id ORDER BY date, id) AS ib FROM k GROUP BY ALL HAVING min(date) <> max(date)) z"),
+_EVENTS = """k AS (SELECT d.document_id, d.deadline_id AS id, d.clause_id, d.date, CASE a.l_returnflag WHEN 'A' THEN 'the customer shall pay each invoice of the' ELSE concat('supplier ', a.l_suppkey, ' may terminate on written notice under') END AS key
+      FROM corpus_deadlines d JOIN corpus_a a ON a.clause_id = d.clause_id WHERE d.date IS NOT NULL)"""
+I2_SQL = _conflict(
+    "contradictory-dates", "ca", "ib", "concat_ws(' ', key, CAST(a AS VARCHAR), CAST(b AS VARCHAR))",
+    "FROM (SELECT document_id, key, min(date) AS a, max(date) AS b, first(clause_id ORDER BY date, id) AS ca, last(id ORDER BY date, id) AS ib FROM k GROUP BY ALL HAVING min(date) <> max(date)) z",
 )
+
+
+@query("i_contradictory_dates", "I2", ctes("corpus_deadlines") + f", {_EVENTS} {I2_SQL}")
 def i2(spark, sf_dir):
     return _shown(I.contradictory_dates(model(spark, sf_dir).deadlines))
 
@@ -289,20 +299,24 @@ def i4(spark, sf_dir):
     return _shown(I.undefined_terms(d, m.definitions, m.parties.where("document_id < 0")))
 
 
-@query(
-    "i_duplicate_obligations", "I5",
-    ctes("corpus_obligations") + _conflict("duplicate-obligation", "a", "b", "concat('Stated more than once: ', substr(key, 1, 80))",
-        f"FROM (SELECT document_id, obligor_id, {sql_phrase('summary')} AS key, min(clause_id) AS a, max(obligation_id) AS b FROM corpus_obligations GROUP BY ALL HAVING count(DISTINCT clause_id) > 1) z"),
+I5_SQL = _conflict(
+    "duplicate-obligation", "a", "b", "concat('Stated more than once: ', substr(key, 1, 80))",
+    f"FROM (SELECT document_id, obligor_id, {sql_phrase('summary')} AS key, min(clause_id) AS a, max(obligation_id) AS b FROM corpus_obligations GROUP BY ALL HAVING count(DISTINCT clause_id) > 1) z",
 )
+
+
+@query("i_duplicate_obligations", "I5", ctes("corpus_obligations") + I5_SQL)
 def i5(spark, sf_dir):
     return _shown(I.duplicate_obligations(model(spark, sf_dir).obligations))
 
 
-@query(
-    "i_missing_references", "I6",
-    ctes("corpus_a") + _conflict("missing-cross-reference", "clause_id", "CAST(NULL AS VARCHAR)", "concat('Refers to missing ', l_linenumber + 1, '.1')",
-        "FROM corpus_a c WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM corpus_a n WHERE n.document_id = c.document_id AND n.number = concat(c.l_linenumber + 1, '.1'))"),
+I6_SQL = _conflict(
+    "missing-cross-reference", "clause_id", "CAST(NULL AS VARCHAR)", "concat('Refers to missing ', l_linenumber + 1, '.1')",
+    "FROM corpus_a c WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM corpus_a n WHERE n.document_id = c.document_id AND n.number = concat(c.l_linenumber + 1, '.1'))",
 )
+
+
+@query("i_missing_references", "I6", ctes("corpus_a") + I6_SQL)
 def i6(spark, sf_dir):
     return _shown(I.missing_references(model(spark, sf_dir).clauses))
 
@@ -320,9 +334,12 @@ def i7(spark, sf_dir):
     return _shown(I.orphan_references(entities, m.clauses, edges))
 
 
-@query("inconsistency_findings", "I8")
+INCONSISTENCIES = f"""{_SAID}, {_EVENTS}, {_ranked('inconsistencies', [I1_SQL, I2_SQL, I5_SQL, I6_SQL], 10, 60)}"""
+
+
+@query("inconsistency_findings", "I8", DUTIES + f", {INCONSISTENCIES} SELECT document_id, rule_id, severity, clause_id, entity_id, title, place, finding_id FROM inconsistencies")
 def inconsistency_findings(spark, sf_dir):
     m = model(spark, sf_dir)
     entities = m.obligations.select("document_id", "id", "clause_id").unionByName(m.parties.select("document_id", "id", F.lit(None).cast("string").alias("clause_id")))
     edges = m.obligations.select("document_id", F.concat(F.lit("e"), "id").alias("id"), F.col("obligor_party_id").alias("from_id"), F.col("id").alias("to_id"))
-    return I.findings(m.clauses, m.obligations, m.deadlines, m.definitions, m.parties, entities, edges)
+    return I.findings(m.clauses, m.obligations, m.deadlines, m.definitions, m.parties, entities, edges).select(*_SHOWN, "place", "finding_id")

@@ -16,7 +16,7 @@ from ..operators import views as U
 from ..sources.ingest import search_clauses
 from .corpus import corpus, ctes
 from .model import as_of, model
-from .queries_duties import DUTIES, SIGNALS, assessed, signals
+from .queries_duties import DUTIES, SIGNALS, assessed, signals, sql_cut
 from .queries_text import _content, sql_clause_type
 from .registry import query
 
@@ -420,6 +420,18 @@ def checklist(spark, sf_dir):
     return P.checklist(assessed(spark, sf_dir), found, found.limit(0)).select("document_id", "kind", "severity", "item_id")
 
 
+@query(
+    "checklist_text", "P2",
+    DUTIES + f""", {SIGNALS}, items AS (SELECT a.document_id, CASE WHEN status = 'unknown' AND deadline_found THEN 'undated-deadline' WHEN status = 'unknown' THEN 'undated-duty' ELSE status END AS kind, CASE status WHEN 'overdue' THEN 'high' ELSE 'medium' END AS severity, a.obligation_id AS item_id,
+      concat(CASE WHEN status = 'overdue' THEN 'Overdue: ' WHEN status = 'due' THEN 'Due soon: ' WHEN deadline_found THEN 'Deadline without date: ' ELSE 'Duty without timing: ' END, {sql_cut('o.summary', 80)}) AS words FROM assessed a JOIN corpus_obligations o ON o.obligation_id = a.obligation_id WHERE status IN ('overdue', 'due', 'unknown')
+      UNION ALL SELECT document_id, 'risk', severity, finding_id, title FROM signals WHERE severity = 'medium')
+      SELECT document_id, md5(string_agg(concat('[ ] ', severity, ': ', words), chr(10) ORDER BY severity, list_position(['overdue', 'due', 'undated-deadline', 'undated-duty', 'risk'], kind), item_id)) AS digest FROM items GROUP BY document_id""",
+)
+def checklist_text(spark, sf_dir):
+    found = signals(spark, sf_dir)
+    return P.as_text(P.checklist(assessed(spark, sf_dir), found, found.limit(0))).select("document_id", F.md5("text").alias("digest"))
+
+
 @query("prep_plan", "P3 P4 P5 P6 P7")
 def prep_plan(spark, sf_dir):
     found, duties = signals(spark, sf_dir), assessed(spark, sf_dir)
@@ -444,6 +456,14 @@ def validate_issues(spark, sf_dir):
     return L.report(parts).select(*L.ISSUE)
 
 
+@query("validate_summary", "L6", ctes("corpus_obligations", "corpus_deadlines") + """, i AS (SELECT document_id, 1 AS e, 0 AS w FROM corpus_obligations WHERE deadline_id IS NULL UNION ALL SELECT document_id, 0, 1 FROM corpus_deadlines WHERE date_type = 'unspecified')
+    SELECT d.document_id, CAST(coalesce(sum(e), 0) AS BIGINT) AS errors, CAST(coalesce(sum(w), 0) AS BIGINT) AS warnings, coalesce(sum(e), 0) = 0 AS valid FROM (SELECT DISTINCT document_id FROM corpus_a) d LEFT JOIN i ON i.document_id = d.document_id GROUP BY d.document_id""")
+def validate_summary(spark, sf_dir):
+    m = model(spark, sf_dir)
+    parts = [L.required(m.obligations, ["summary", "deadline_id"]), L.vocabulary(m.deadlines, "date_type", ["fixed", "relative"])]
+    return L.summary(L.report(parts), m.clauses)
+
+
 @query("validate_edges", "L3", DUTIES + "SELECT document_id, 'edge-unknown-endpoint' AS code, CAST(ord AS VARCHAR) AS entity_id FROM corpus_obligations WHERE ord % 5 = 0")
 def validate_edges(spark, sf_dir):
     m = model(spark, sf_dir)
