@@ -5,6 +5,8 @@ Written once as SQL text for both engines; ``{text}`` is the name of the string
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "1998-09-02"
@@ -57,20 +59,25 @@ VIEWS: dict[str, str] = {
 }
 
 
-def corpus(spark: SparkSession, sf_dir: str, *views: str) -> tuple[DataFrame, ...]:
-    """Views of the corpus as DataFrames over the Parquet tables of ``sf_dir``."""
-    for table in ("lineitem", "orders", "customer", "supplier"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for name, sql in VIEWS.items():
-        spark.sql(sql.format(text="STRING")).createOrReplaceTempView(name)
-    return tuple(spark.table(v) for v in views)
-
-
-def ctes(*views: str) -> str:
-    """``WITH`` text for DuckDB that defines the views and what they need."""
+def needed(*views: str) -> list[str]:
+    """The views and what they need, in the order of their dependence."""
     need, todo = set(), list(views)
     while todo:
         name = todo.pop()
         need.add(name)
         todo += [v for v in VIEWS if v not in need and f" {v}" in VIEWS[name].replace("\n", " ")]
-    return "WITH " + ", ".join(f"{name} AS ({VIEWS[name].format(text='VARCHAR')})" for name in VIEWS if name in need) + " "
+    return [v for v in VIEWS if v in need]
+
+
+def corpus(spark: SparkSession, sf_dir: str, *views: str) -> tuple[DataFrame, ...]:
+    """Views of the corpus as DataFrames over the Parquet tables of ``sf_dir``; no name of the session is taken."""
+    made = {table: spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("lineitem", "orders", "customer", "supplier")}
+    for name in needed(*views):
+        sql = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in made else m[0], VIEWS[name].format(text="STRING"))
+        made[name] = spark.sql(sql, **{k: v for k, v in made.items() if f"{{{k}}}" in sql})
+    return tuple(made[v] for v in views)
+
+
+def ctes(*views: str) -> str:
+    """``WITH`` text for DuckDB that defines the views and what they need."""
+    return "WITH " + ", ".join(f"{name} AS ({VIEWS[name].format(text='VARCHAR')})" for name in needed(*views)) + " "
