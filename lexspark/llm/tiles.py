@@ -32,8 +32,8 @@ from .superminhash import PERCENT, WORDS, Shingler, mix
 #: input: it only sets the order in which shingles count as rare, which every order would do exactly.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Smallest hashes of a set, in whose tiles it meets a centre. A set with a similarity of 0.8 to the
-#: centre of its family misses it with probability 0.2 ** 4; the tiles of rare shingles find it then.
-STARS = 4
+#: centre of its family misses it with probability 0.2 ** 5; the tiles of rare shingles find it then.
+STARS = 5
 #: Members of a block of a tile.
 BLOCK = 512
 #: 64-bit words of bitmaps that are compared at once.
