@@ -29,6 +29,17 @@ def last_before(points: DataFrame, starts: DataFrame, at: str, values: list[str]
     return swept.select("document_id", F.col("offset").cast(kind).alias("offset"), "value.*")
 
 
+def by_document(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with all of a document in one task, in order, for a function that reads partitions.
+
+    A window asks for both, which holds however partitions are merged at run time. A repartition
+    does not: over a union of tables that are dealt by document already it is taken out as needless,
+    and the two tables may then be merged into partitions by themselves.
+    """
+    w = Window.partitionBy("document_id").orderBy(*order)
+    return rows.withColumn("__nth", F.row_number().over(w)).where("__nth > 0").drop("__nth")
+
+
 def _swept(names: list[str]):
     """Events in order to pairs of open intervals of the two sides; what is open is all that is kept."""
 
@@ -66,7 +77,7 @@ def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str) ->
         ids = [(F.col(key) if name == n else F.lit(None).cast("string")).cast("string").alias(n) for n in kinds]
         tables.append(good.select("document_id", *ids, F.lit(side).alias("side"), F.explode(F.array(F.struct(F.col("lo").cast("long").alias("at"), F.lit(0).alias("turn")), F.struct(F.col("hi").cast("long").alias("at"), F.lit(1).alias("turn")))).alias("e")))
     events = tables[0].unionByName(tables[1]).select("document_id", "left", "right", "side", "e.at", "e.turn")
-    in_order = events.repartition("document_id").sortWithinPartitions("document_id", "at", "turn").select("document_id", "turn", "side", "left", "right")
+    in_order = by_document(events, "at", "turn").select("document_id", "turn", "side", "left", "right")
     schema = StructType([StructField("document_id", left.schema["document_id"].dataType), StructField("left", in_order.schema["left"].dataType), StructField("right", in_order.schema["right"].dataType)])
     pairs = in_order.mapInPandas(_swept(["document_id", "left", "right"]), schema)
     return pairs.select("document_id", F.col("left").cast(kinds["left"]).alias(left_id), F.col("right").cast(kinds["right"]).alias(right_id))
