@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..shared import discard, written
 from . import drafts as X
 
 #: Jobs that the open prompts are dealt over.
@@ -45,16 +46,15 @@ def ask(prompts: DataFrame, provider: X.Provider, log: str, waves: int = WAVES,
     """
     spark = prompts.sparkSession
     wave = F.pmod(F.xxhash64("key"), F.lit(waves)).cast("int")
-    done = 0
-    for i in range(waves):
-        if stop_after is not None and done >= stop_after:
-            break
-        mine = prompts.where(wave == i).dropDuplicates(["key"]).select("key", "prompt", wave.alias("wave"))
-        open_ = mine.join(logged(spark, log).select("key"), "key", "left_anti")
-        replies = X.checked(X.call(open_, provider))
+    asked = waves if stop_after is None else min(waves, stop_after)
+    keys = prompts.where(wave < asked).join(logged(spark, log).select("key"), "key", "left_anti")
+    # Made once, a folder for each wave: a wave reads its own prompts, and no other's.
+    open_ = written(keys.dropDuplicates(["key"]).select("key", "prompt", wave.alias("wave")), "open", "wave")
+    for i in range(asked):
+        replies = X.checked(X.call(open_.where(F.col("wave") == i), provider))
         replies.select("key", "wave", "reply", "error").write.mode("append").parquet(log)
-        done += 1
-    return done
+    discard(open_)
+    return asked
 
 
 def run(prompts: DataFrame, provider: X.Provider, log: str, settings: str = "", waves: int = WAVES, stop_after: int | None = None) -> DataFrame:
@@ -67,16 +67,17 @@ def run(prompts: DataFrame, provider: X.Provider, log: str, settings: str = "",
     spark = prompts.sparkSession
     # Two folders: Spark takes two scans of one folder for the same, though one saw fewer files.
     asked, asked_again = folders(log)
-    named = prompts.where("prompt is not null").withColumn("key", key(F.col("prompt"), settings))
+    named = written(prompts.where("prompt is not null").select("document_id", "chunk", "prompt", key(F.col("prompt"), settings).alias("key")), "prompts")
     ask(named.select("key", "prompt"), provider, asked, waves, stop_after)
-    first = X.parse(named.join(logged(spark, asked).select("key", "reply", "error"), "key", "left"))
-    unread = first.where("parse_status = 'failed' and reply is not null")
-    again = unread.select(F.col("key").alias("first_key"), F.concat_ws("\n", F.lit(AGAIN), "reply", "prompt").alias("prompt"))
-    again = again.withColumn("key", key(F.col("prompt"), settings))
+    # A reply is parsed once for all prompts that share it, and prompts are read again for those that are asked again.
+    first = written(X.parse(logged(spark, asked).select("key", "reply", "error")), "parsed")
+    unread = first.where("parse_status = 'failed' and reply is not null").select("key", "reply")
+    again = named.select("key", "prompt").join(unread, "key").dropDuplicates(["key"]).select(F.col("key").alias("first_key"), F.concat_ws("\n", F.lit(AGAIN), "reply", "prompt").alias("prompt"))
+    again = written(again.withColumn("key", key(F.col("prompt"), settings)), "again")
     ask(again.select("key", "prompt"), provider, asked_again, waves, stop_after)
-    second = X.parse(again.select("first_key", "key").distinct().join(logged(spark, asked_again).select("key", "reply", "error"), "key"))
+    second = X.parse(again.select("first_key", "key").join(logged(spark, asked_again).select("key", "reply", "error"), "key"))
     second = second.select(F.col("first_key").alias("key"), F.col("json").alias("json2"), F.col("parse_status").alias("status2"), F.col("error").alias("error2"))
-    out = first.join(second, "key", "left")
+    out = named.select("document_id", "chunk", "key").join(first, "key", "left").join(second, "key", "left")
     status = F.coalesce("status2", "parse_status")
     return out.select(
         "document_id", "chunk", F.coalesce("json2", "json").alias("json"), F.when(F.col("reply").isNull(), "unasked").otherwise(status).alias("parse_status"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import assembly as X
 from ..operators import drafts as X4
 from ..operators import provider_runs as P
-from ..shared import shared_dir
+from ..shared import shared_dir, written
 from .corpus import corpus, ctes
 from .registry import query
 
@@ -193,7 +193,7 @@ def provider_replies(spark, sf_dir):
 )
 def provider_resumed(spark, sf_dir):
     """A run that stops after two waves, then a whole one, then a third: the report, and how many replies the log has in all."""
-    prompts, log = chunk_prompts(spark, sf_dir), _log(spark)
+    prompts, log = written(chunk_prompts(spark, sf_dir), "chunk-prompts"), _log(spark)
     P.run(prompts, fixture, log, stop_after=2)
     P.run(prompts, fixture, log)
     done = P.report(P.run(prompts, fixture, log))
