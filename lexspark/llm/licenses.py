@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Short licences as a whole, and the headers and opening words of long ones, as their publishers word them.
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -131,15 +132,16 @@ def own_licences(files: DataFrame, least: float = LEAST, templates=TEMPLATES) ->
     """
     spark = files.sparkSession
     known = template_terms(spark, templates)
-    cut = segments(files).groupBy("path", "segment").agg(F.lit(1)).select("path", "segment", F.xxhash64("segment").alias("s"))
+    # Dealt once by path: the steps below keep to it, so that terms and products stay where the segments are.
+    cut = segments(files).repartition("path").dropDuplicates(["path", "segment"]).select("path", "segment", F.xxhash64("segment").alias("s"))
     counted = cut.select("path", "s", F.explode(terms(F.col("segment"))).alias("term")).groupBy("path", "s", "term").agg(F.count("*").alias("tf"))
     # Terms that no template has weigh in the segment's length as the rarest.
     rare = float(spark.range(1).select(F.log(F.lit(1.0 + len(templates)) / 2.0) + 1.0).first()[0])
     idf = F.broadcast(known.select("term", "idf").distinct())
     weighed = counted.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    length = weighed.groupBy("path", "s").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.join(F.broadcast(known.select("template", "licence", "term", "weight", "norm")), "term").groupBy("path", "s", "template", "licence", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(length, ["path", "s"]).withColumn("score", F.round(F.col("dot") / (F.col("length") * F.col("norm")), 9)).where(F.col("score") >= least)
+    weighed = weighed.withColumn("length", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("path", "s"))))
+    dots = weighed.join(F.broadcast(known.select("template", "licence", "term", "weight", "norm")), "term").groupBy("path", "s", "length", "template", "licence", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / (F.col("length") * F.col("norm")), 9)).where(F.col("score") >= least)
     every = scored.select("path", F.lit(1).alias("turn"), "licence", "score").unionByName(stated(files).select("path", F.lit(0).alias("turn"), "licence", F.lit(1.0).alias("score")))
     best = every.groupBy("path").agg(F.min(F.struct("turn", (-F.col("score")).alias("minus"), "licence")).alias("b"))
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lexspark.llm import licenses
 from lexspark.operators import ask as A
 from lexspark.operators import provider_runs as P
 
@@ -57,3 +58,13 @@ def test_a_run_makes_its_prompts_once(spark, tmp_path):
     got = P.run(prompts, reply, f"{tmp_path}/log").collect()
     assert made.value == 25
     assert sorted((r["document_id"], r["asked"], r["json"]) for r in got) == [(i, 2 if i % 10 == 7 else 1, '{"a": 1}') for i in range(25)]
+
+
+def test_licence_terms_are_not_dealt_out(spark):
+    """op6: of a segment its text is dealt once, and neither its terms nor their products with the templates."""
+    text = f"{licenses._MIT} {licenses._MIT_KEEP}"
+    run = lambda n: shuffled(spark, lambda: licenses.own_licences(spark.createDataFrame([(f"d/f{i}", f"{text} {i}") for i in range(n)], "path string, text string")).collect())
+    (_, few), (got, many) = run(100), run(300)
+    assert len(got) == 300 and {r["licence"] for r in got} == {"MIT"}
+    # The templates' own terms are dealt out too, as often whatever the files.
+    assert many - few < 10 * 200
