@@ -26,3 +26,13 @@ def test_edges_without_joins(spark):
     assert sorted(map(tuple, got.collect())) == want
     known = table([(1, "party-holds-right", "p", "r")], "document_id long, type string, from_id string, to_id string")
     assert sorted(map(tuple, R.derive_edges(clauses, parties, duties, rights, deadlines, references, known).collect())) == [e for e in want if e[1] != "party-holds-right"]
+
+
+def test_subgraph_and_focus_without_joins(spark):
+    """Edges of another document, open ends and repeats of a kept node; ends that are no node do not count as duties."""
+    nodes = spark.createDataFrame([(1, "a", "right", 2), (1, "b", "right", 1), (1, "b", "clause", 3), (2, "a", "clause", 5), (2, "z", "party", 4)], "document_id long, id string, entity_type string, place int")
+    edges = spark.createDataFrame([(1, "x", "a", "b"), (1, "x", "a", "b"), (1, "y", "a", "lost"), (1, "y", None, "a"), (2, "x", "a", "b"), (2, "x", "z", "a"), (None, "x", "a", "b")], "document_id long, type string, from_id string, to_id string")
+    kept, focus = R.subgraph(edges, nodes), R.default_focus(nodes, edges)
+    assert "Join" not in plan(kept) + plan(focus)
+    assert sorted(map(tuple, kept.collect())) == [(1, "x", "a", "b"), (1, "x", "a", "b"), (2, "x", "z", "a")]
+    assert sorted(map(tuple, focus.collect())) == [(1, "a"), (2, "z")]
