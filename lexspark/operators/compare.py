@@ -205,12 +205,14 @@ def shared_terms(a: Column, b: Column, most: int = 8) -> Column:
 def links(tables: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     """M2: undirected links from foreign keys ``(table, from column, to column, via)``; of equal links the first table's ``via``."""
     each = []
-    for rank, (table, a, b, via) in enumerate(tables):
-        rows = table.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("document_id", F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"))
-        each += [rows.select("document_id", F.col("x").alias("node"), F.col("y").alias("neighbour"), F.lit(via).alias("via"), F.lit(rank).alias("rank"))]
-        each += [rows.select("document_id", F.col("y").alias("node"), F.col("x").alias("neighbour"), F.lit(via).alias("via"), F.lit(rank).alias("rank"))]
+    for rank, (table, a, b, _) in enumerate(tables):
+        x, y = F.col(a).cast("string"), F.col(b).cast("string")
+        both = F.array(F.struct(x.alias("node"), y.alias("neighbour")), F.struct(y.alias("node"), x.alias("neighbour")))
+        each.append(table.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("document_id", F.inline(both), F.lit(rank).alias("rank")))
     every = reduce(DataFrame.unionByName, each).where("node <> neighbour")
-    return every.groupBy("document_id", "node", "neighbour").agg(F.min_by("via", "rank").alias("via"))
+    # The least number and not the text by it: a text in the buffer makes Spark sort all rows, in memory, instead of hashing them.
+    least = every.groupBy("document_id", "node", "neighbour").agg(F.min("rank").alias("rank"))
+    return least.select("document_id", "node", "neighbour", F.get(F.array(*[F.lit(via) for _, _, _, via in tables]), F.col("rank")).alias("via"))
 
 
 def impact(changed: DataFrame, links_: DataFrame, levels: int = 2) -> DataFrame:
